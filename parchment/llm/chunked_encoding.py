@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 #: Pieces kept; about 150 bytes each.
-KEPT = 500_000
+KEPT = 700_000
 #: Pieces longer than this are encoded but not kept.
 KEPT_CHARS = 48
 #: Characters of text handled at once.
@@ -40,48 +40,94 @@ def pieces(block: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+#: Letters, then punctuation: two pre-tokens, or one.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-^`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as they are, the others in order from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
 class ChunkEncoder:
-    """Encodes texts; `make` turns a piece's ids into what is kept and joined."""
+    """Encodes texts; `make` turns a list of ids into a piece's value, `fold` joins the values of a text.
+
+    Pieces that the table lacks are learned together, once for each block of text: words of letters by the tokenizer's
+    own model, whose input they are but for the spelling of bytes, all others as one batch of its whole encoding.
+    """
 
-    def __init__(self, path: str, make) -> None:
+    def __init__(self, path: str, make, fold) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.make, self.kept = Tokenizer.from_file(path), make, {}
-        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-
-    def learn(self, raw: list[str]) -> list:
-        return [self.make(e.ids) for e in self.encode_batch(raw, add_special_tokens=False)]
-
-    def parts(self, text: str) -> Iterator:
-        """What `make` gave for each piece of the text, in order."""
-        for block in blocks(text):
-            led = block[:1] == " " and block[1:2] not in ("", " ") and len(block) != len(text)
-            first, rest = pieces(block[1:] if led else block)
-            if led:
-                rest.insert(0, first)
-            elif first:
-                yield self.learn([first])[0]
-            if len(self.kept) > KEPT:
-                self.kept = {}
-            long, missing = {}, list(set(rest).difference(self.kept))
-            if missing:
-                for word, made in zip(missing, self.learn([f" {w}" for w in missing]), strict=True):
-                    (self.kept if len(word) <= KEPT_CHARS else long)[word] = made
-            if long:
-                yield from (long[w] if w in long else self.kept[w] for w in rest)
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        t = self.tokenizer = Tokenizer.from_file(path)
+        self.make, self.fold, self.kept, self.tails, self.letters = make, fold, {}, {}, byte_letters()
+        self.encode_batch = getattr(t, "encode_batch_fast", t.encode_batch)
+        self.plain = isinstance(t.model, models.BPE) and isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) and t.normalizer is None
+
+    def encoded(self, raw: list[str]) -> list:
+        return [self.make(e.ids) for e in self.encode_batch(raw, add_special_tokens=False)] if raw else []
+
+    def learn(self, words: list[str]) -> dict:
+        """The value of each word with a space before it; a line feed before a word stands for none."""
+        out, others, kept, make, tokenize = {}, [], self.kept, self.make, self.tokenizer.model.tokenize
+        for word in words if self.plain else ():
+            if word.isascii() and word.isalpha():
+                out[word] = make([t.id for t in tokenize("\u0120" + word)])
+            elif m := PLAIN.fullmatch(word):
+                base, tail = m.groups()
+                value = out.get(base) or kept.get(base)
+                if value is None:
+                    spelled = base if base.isascii() else base.encode().decode("latin-1").translate(self.letters)
+                    value = out[base] = make([t.id for t in tokenize("\u0120" + spelled)])
+                if tail:
+                    if tail not in self.tails:
+                        self.tails = self.tails if len(self.tails) < KEPT // 8 else {}
+                        self.tails[tail] = self.encoded([tail])[0]
+                    value = value + self.tails[tail]
+                out[word] = value
             else:
-                yield from map(self.kept.__getitem__, rest)
+                others.append(word)
+        others = others if self.plain else words
+        out.update(zip(others, self.encoded([w[1:] if w[:1] == "\n" else f" {w}" for w in others]), strict=True))
+        return out
+
+    def folded(self, texts: list[str]) -> list:
+        """The folded values of each text."""
+        out, held, size = [[] for _ in texts], [], 0
+        for i, text in enumerate(texts):
+            for k, block in enumerate(blocks(text)):
+                first, rest = pieces(block[1:] if k else block)  # a later block begins with a safe space
+                held.append((i, [first if k else f"\n{first}", *rest]))  # no piece after a space begins with a line feed
+                size += len(block)
+                if size >= BLOCK_CHARS:
+                    self._add(held, out)
+                    held, size = [], 0
+        self._add(held, out)
+        return list(map(self.fold, out))
+
+    def _add(self, held: list[tuple[int, list[str]]], out: list[list]) -> None:
+        found = [list(map(self.kept.get, words)) for _, words in held]
+        missing = {w for f, (_, words) in zip(found, held, strict=True) if None in f for w, x in zip(words, f, strict=True) if x is None}
+        new = self.learn(list(missing)) if missing else {}
+        for f, (i, words) in zip(found, held, strict=True):
+            out[i].append(self.fold([new[w] if x is None else x for w, x in zip(words, f, strict=True)] if None in f else f))
+        if len(self.kept) > KEPT:
+            self.kept = {}
+        self.kept.update((w, x) for w, x in new.items() if len(w) <= KEPT_CHARS)
 
 
 @lru_cache(maxsize=4)
 def lengths(path: str) -> ChunkEncoder:
     """One encoder a Python worker: the worker is reused by later tasks."""
-    return ChunkEncoder(path, len)
+    return ChunkEncoder(path, len, sum)
 
 
 @lru_cache(maxsize=4)
 def id_bytes(path: str) -> ChunkEncoder:
+    """Values are ids as little-endian unsigned 32-bit integers."""
     from array import array
 
-    return ChunkEncoder(path, lambda ids: array("I", ids).tobytes())
+    return ChunkEncoder(path, lambda ids: array("I", ids).tobytes(), b"".join)

@@ -21,7 +21,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     done = 1
     while done < n:
         step = min(done, n - done)
-        out[done : done + step] = out[:step] * (out[done - 1] * base)
+        out[done : done + step] = out[:step] * (out[done - 1 : done] * base)
         done += step
     return out
 

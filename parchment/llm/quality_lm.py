@@ -278,12 +278,9 @@ def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
         """A row a block with its documents and what needs no count, and a row a shard with the pairs that may have one."""
         import pyarrow as pa
         from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_type
-        from pyspark.sql.types import _parse_datatype_string as parse
 
         m, task, number = send.value, TaskContext.get().partitionId(), 0
-        id_type = to_arrow_type(parse(f"x {kind}")[0].dataType)
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(id_type), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), None, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())]
         for batch, rows, docs_, hashes in tokens(batches, 2):
             block, number = (task << 32) + number, number + 1
             ids = ids_of(hashes, m["vocab"])
@@ -293,7 +290,7 @@ def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
             place = where * (m["n_bits"] // shards) + slot.astype(np.int64)
             maybe = np.flatnonzero((ids > 0) & ((m["bits"][place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool))
             maybe = maybe[np.argsort(key[maybe])]
-            taken = pa.array(rows, pa.int64())
+            taken, types = pa.array(rows, pa.int64()), [*kinds[:6], pa.list_(batch.column(0).type), *kinds[7:]]
             out = [(block % shards, 1, block, None, None, len(rows), batch.column(0).take(taken).to_pylist(), batch.column(1).take(taken).to_pylist(), np.bincount(docs_, minlength=len(rows)).tolist(), base.tolist())]
             for s, at in by_shard(where[maybe], shards):
                 out.append((s, 1, block, pack(key[maybe[at]], "u8"), pack(docs_[maybe[at]], "u2"), len(rows), None, None, None, None))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, shuffle_partitions, text_or_empty
+from .common import shared_path, shuffle_partitions, stored, text_or_empty
 
 #: Rows beside the ids, so that a read of them touches no page of ids.
 SCHEMA = "part int, doc_id {kind}, n_tokens long, ids array<int>"
@@ -30,14 +30,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         encoder, end, part = id_bytes(tokenizer_path), np.uint32(end_id).tobytes(), TaskContext.get().partitionId()
         for batch in batches:
-            start = 0
-            while start < batch.num_rows:  # the ids of a few MB of text at a time
-                flat, counts, size = [], [], 0
-                while start + len(counts) < batch.num_rows and size < 4 << 20:
-                    joined = b"".join(encoder.parts(batch.column(1)[start + len(counts)].as_py())) + end
-                    flat.append(joined)
-                    counts.append(len(joined) // 4)
-                    size += len(joined)
+            start, texts = 0, batch.column(1).to_pylist()
+            while start < batch.num_rows:  # a few MB of text at a time
+                stop, size = start, 0
+                while stop < batch.num_rows and size < 4 << 20:
+                    size += len(texts[stop])
+                    stop += 1
+                flat = [made + end for made in encoder.folded(texts[start:stop])]
+                counts = [len(f) // 4 for f in flat]
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), batch.column(0).slice(start, n), pa.array(counts, pa.int64()), ids], names=["part", "doc_id", "n_tokens", "ids"])
@@ -93,7 +93,8 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.parquet(path).select("part", "doc_id", "ids")
     kind = files.schema["doc_id"].dataType.simpleString()
-    return starts(files.mapInArrow(digest, f"part int, doc_id {kind}, n_tokens long, ids_crc32 long")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = stored(files.mapInArrow(digest, f"part int, doc_id {kind}, n_tokens long, ids_crc32 long"), "digests")  # the ids are read once
+    return starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
