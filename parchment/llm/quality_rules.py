@@ -19,8 +19,8 @@ SYMBOLS = "[#*$%&|<>]"
 SHINGLE = 8
 CHAR_CLASSES = ("lower", "space", "upper", "digit", "punctuation", "other")
 #: Largest distance from the language reference that is kept, and the least size at which it is judged.
-MOST_CHAR_DISTANCE, LEAST_CHARS = 0.35, 200
-MOST_WORD_DISTANCE, LEAST_WORDS = 0.45, 50
+MOST_CHAR_DISTANCE, LEAST_CHARS = 0.25, 200
+MOST_WORD_DISTANCE, LEAST_WORDS = 0.28, 100
 
 
 def words_of(text: Column) -> Column:

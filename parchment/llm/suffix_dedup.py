@@ -115,7 +115,7 @@ class RunIndex:
         for place in range(high - 1, low - 1, -1):
             at = self.anchor[order] + place
             inside = (at >= self.begin[order]) & (at < self.end[order])
-            symbol = np.where(inside, self.text[np.where(inside, at, 0)], 256).astype(np.int64)
+            symbol = np.where(inside, self.text[np.where(inside, at, 0)].astype(np.int64), 256)
             key = self.group[order] * 257 + symbol
             heads = np.flatnonzero(np.diff(key, prepend=-1))  # runs of the transform at this place
             ends = np.append(heads[1:], n)
