@@ -22,7 +22,7 @@ BLOCK_WORDS = 1_500_000
 ID_BITS = np.uint64(21)
 #: Of trusted documents, one in HELD_OUT (by hash of the id) sets the thresholds and isn't trained on.
 HELD_OUT = 5
-QUANTILE, MARGIN, LEAST_WORDS, LEAST_HELD_OUT = 0.99, 1.1, 10, 30
+QUANTILE, MARGIN, LEAST_WORDS, LEAST_HELD_OUT = 0.99, 1.05, 10, 30
 
 
 def pack(values: np.ndarray, kind: str) -> bytes:

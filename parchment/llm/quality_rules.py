@@ -56,7 +56,8 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
         "common": F.filter(F.transform("words", F.lower), lambda w: w.isin(every)), "bins": bins[F.coalesce("lang", F.lit(""))],
         "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "hashes": F.transform("words", lambda w: F.xxhash64(w)),
     })
-    a = a.withColumn("grams", F.when(F.size("words") >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1), lambda i: F.xxhash64(F.slice("hashes", i, SHINGLE)))).otherwise(F.array().cast("array<long>")))
+    # hashes are used twice here, which keeps the optimizer from computing them anew inside the lambda for each window
+    a = a.withColumn("grams", F.when(F.size("hashes") >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size("hashes") - SHINGLE + 1), lambda i: F.xxhash64(F.slice("hashes", i, SHINGLE)))).otherwise(F.array().cast("array<long>")))
     # only texts with a repeated window go on to sort their windows
     a = a.withColumn("grams", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.col("grams")).otherwise(F.array().cast("array<long>")))
     a = a.withColumn("sorted", F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
