@@ -78,12 +78,12 @@ def scores(text: Column) -> Column:
     return F.array(*(F.struct(F.lit(c).alias("category"), score(text, c).alias("score")) for c in CATEGORIES))
 
 
-def best(scored: Column) -> Column:
-    """Of scores(): the highest, the earlier of equals; OTHER if none is above 0."""
-    ranked = F.transform(scored, lambda s, i: F.struct(s["score"].alias("score"), (-i).alias("place"), s["category"].alias("category")))
-    top = F.array_max(ranked)
-    return F.when(top["score"] > 0, top["category"]).otherwise(OTHER)
+def top(scored: Column) -> Column:
+    """Of scores(): the highest, the earlier of equals, as (score, place, category)."""
+    return F.array_max(F.transform(scored, lambda s, i: F.struct(s["score"].alias("score"), (-i).alias("place"), s["category"].alias("category"))))
 
 
-def categorize(vendor: Column, items: Column) -> Column:
-    return best(scores(category_text(vendor, items)))
+def with_category(rows: DataFrame, vendor: str = "vendor", items: str = "line_items") -> DataFrame:
+    """rows with `category`: of vendor and items, OTHER if no term is found. Each step is a column, computed once."""
+    out = rows.withColumn("_text", category_text(F.col(vendor), F.col(items))).withColumn("_top", top(scores(F.col("_text"))))
+    return out.withColumn("category", F.when(F.col("_top.score") > 0, F.col("_top.category")).otherwise(OTHER)).drop("_text", "_top")

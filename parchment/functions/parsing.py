@@ -39,15 +39,19 @@ def iso_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(ok, F.concat_ws("-", year.cast("string"), two(month), two(day)))
 
 
-def parse_date(text: Column) -> Column:
-    """The first date of the first pattern that matches, as YYYY-MM-DD; null where it is no date.
+def date_parts(text: Column) -> Column:
+    """The numbers, as text, of the first date of the first pattern that matches; null without one."""
+    found = F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in (YEAR_FIRST, YEAR_LAST, SHORT_YEAR)))
+    return F.split(F.translate(F.translate(found, "/", "-"), OTHER_DIGITS, DIGITS), "-")
+
+
+def date_of(parts: Column) -> Column:
+    """date_parts as YYYY-MM-DD; null where they are no date. Give it a column: it is used many times.
 
     Day first, else month first; two-digit years: 69 to 99 are 1900s; year-month-day with a short year needs two
     digits for the year.
     """
-    found = F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in (YEAR_FIRST, YEAR_LAST, SHORT_YEAR)))
-    digits = F.split(F.translate(F.translate(found, "/", "-"), OTHER_DIGITS, DIGITS), "-")
-    part = lambda i: F.try_element_at(digits, F.lit(i + 1))
+    part = lambda i: F.try_element_at(parts, F.lit(i + 1))
     a, b, c = (part(i).try_cast("int") for i in range(3))
     century = lambda y: F.when(y < 69, y + 2000).otherwise(y + 1900)
     return (
@@ -57,6 +61,11 @@ def parse_date(text: Column) -> Column:
     )
 
 
+def parse_date(text: Column) -> Column:
+    """The first date of the first pattern that matches, as YYYY-MM-DD; null where it is no date."""
+    return F.get(F.transform(F.array(date_parts(text)), date_of), F.lit(0))  # the parts are taken once
+
+
 def parse_amount(text: Column) -> Column:
     """The first amount with grouped thousands. 0.0 is an amount here; `present` tells those that count."""
     bare = stripped(F.regexp_replace(stripped(text), CURRENCY, ""))

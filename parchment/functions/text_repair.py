@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Confusions between scripts, as parallel strings for translate().
@@ -81,12 +81,20 @@ def fix_numbers(text: Column) -> Column:
     return F.when(code, text).when(ascii_.rlike(r"(?U)\d"), fixed).otherwise(ascii_)
 
 
-def fix_currency(text: Column) -> Column:
-    upper = F.upper(text)
+def is_currency(text: Column) -> Column:
+    return (F.upper(text) == "EGP") | F.upper(text).startswith("EGP ")
+
+
+def recode_currency(text: Column) -> Column:
+    """Misread codes become EGP and Arabic-Indic digits ASCII, but in a text that begins with the code."""
     seen = F.regexp_replace(text, r"(?iuU)(?:[٤E][0O6oGgق\[]?[Pp؟)]+|E+P|\b[0O6][Pp]|\[[0O6]?[Pp])(?=\s|$|\d)", "EGP")
-    seen = F.translate(seen, ARABIC_DIGITS, DIGITS)
-    coded = F.when(F.upper(seen) == "EGP", seen).otherwise(F.regexp_replace(seen, rf"(?iuU)\b(?:{'|'.join(CODES)})\b", "EGP"))
-    return F.when((upper == "EGP") | upper.startswith("EGP "), text).otherwise(F.regexp_replace(coded, r"(?U)\[(\d)", "EGP $1"))
+    return F.when(is_currency(text), text).otherwise(F.translate(seen, ARABIC_DIGITS, DIGITS))
+
+
+def finish_currency(text: Column, recoded: Column) -> Column:
+    """What is left of known misreadings, and a bracket before a digit; `text` is what was recoded."""
+    coded = F.when(F.upper(recoded) == "EGP", recoded).otherwise(F.regexp_replace(recoded, rf"(?iuU)\b(?:{'|'.join(CODES)})\b", "EGP"))
+    return F.when(is_currency(text), text).otherwise(F.regexp_replace(coded, r"(?U)\[(\d)", "EGP $1"))
 
 
 def fuzzy_match(text: Column, word: str, threshold: float = SIMILAR) -> Column:
@@ -119,9 +127,21 @@ def fix_misread(text: Column) -> Column:
     return found.otherwise(text)
 
 
-def fix_common_words(text: Column) -> Column:
-    return fix_misread(fix_keywords(text))
-
-
-#: The steps with their names, in the order in which `repaired` applies them.
-STEPS = (("cleaned", clean_text), ("script", fix_mixed_script), ("dates", fix_dates), ("numbers", fix_numbers), ("currency", fix_currency), ("words", fix_common_words))
+def repaired(rows: DataFrame, column: str = "text", normalize: bool = True, steps: tuple[str, ...] | None = None) -> DataFrame:
+    """rows with the steps (STEPS, all by default) done on a column in order. Each step is a projection of its own, as
+    its expression uses the text many times."""
+    for step in steps or STEPS:
+        text = F.col(column)
+        if step == "cleaned":
+            rows = rows.withColumn(column, clean_text(text, normalize))
+        elif step == "currency":
+            rows = rows.withColumn("_seen", recode_currency(text)).withColumn(column, finish_currency(text, F.col("_seen"))).drop("_seen")
+        elif step == "words":
+            rows = rows.withColumn(column, fix_keywords(text)).withColumn(column, fix_misread(text))
+        else:
+            rows = rows.withColumn(column, {"script": fix_mixed_script, "dates": fix_dates, "numbers": fix_numbers}[step](text))
+    return rows
+
+
+#: The steps in their order.
+STEPS = ("cleaned", "script", "dates", "numbers", "currency", "words")

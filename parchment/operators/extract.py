@@ -14,10 +14,10 @@ NO_TOTAL = "max() iterable argument is empty"
 def parsed(elements: DataFrame) -> DataFrame:
     """elements with what their texts say on their own; each text is parsed once."""
     text = F.col("text")
-    return elements.withColumns({
-        "date": P.parse_date(text), "amount": P.parse_amount(text), "is_date_word": P.has_any(text, P.DATE_KEYWORDS),
+    return elements.withColumn("_parts", P.date_parts(text)).withColumns({
+        "date": P.date_of(F.col("_parts")), "amount": P.parse_amount(text), "is_date_word": P.has_any(text, P.DATE_KEYWORDS),
         "is_total_word": P.has_any(text, P.TOTAL_KEYWORDS), "is_item_text": P.may_be_item(text),
-    })
+    }).drop("_parts")
 
 
 def with_neighbours(elements: DataFrame) -> DataFrame:
@@ -64,9 +64,8 @@ def receipts(elements: DataFrame) -> DataFrame:
     """doc_id, success, date, total, category, error: a document that fails keeps its row, with null fields."""
     ok = F.col("error").isNull()
     keep = lambda c: F.when(ok, c)
-    category = categories.categorize(F.col("vendor"), F.col("line_items"))
-    return extract(elements).select(
-        "doc_id", ok.alias("success"), keep(F.col("date")).alias("date"), keep(F.col("total")).alias("total"), keep(category).alias("category"), "error",
+    return categories.with_category(extract(elements)).select(
+        "doc_id", ok.alias("success"), keep(F.col("date")).alias("date"), keep(F.col("total")).alias("total"), keep(F.col("category")).alias("category"), "error",
     )
 
 
@@ -76,7 +75,7 @@ def receipts_detailed(elements: DataFrame, items: int = 5) -> DataFrame:
         F.col("n_elements").cast("int").alias("ocr_elements_found"), F.bround(F.coalesce("average_confidence", F.lit(0.0)), 2).alias("average_confidence"),
         F.size("line_items").alias("line_items_detected"), F.coalesce("vendor", F.lit("")).alias("vendor_name"), F.slice("line_items", 1, items).alias("line_items"),
     )
-    return extract(elements).where("error is null").select("doc_id", "date", "total", categories.categorize(F.col("vendor"), F.col("line_items")).alias("category"), info.alias("debug_info"))
+    return categories.with_category(extract(elements).where("error is null")).select("doc_id", "date", "total", "category", info.alias("debug_info"))
 
 
 def with_epoch(receipts_: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def date_sql(text: str) -> str:
     found = "coalesce(" + ", ".join(rf"nullif(regexp_extract({text}, '{p.removeprefix('(?U)')}'), '')" for p in (P.YEAR_FIRST, P.YEAR_LAST, P.SHORT_YEAR)) + ")"
     found = f"replace({found}, '/', '-')"
     tried = ", ".join(f"strftime(try_strptime({found}, '{f}'), '%Y-%m-%d')" for f in ("%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y"))
-    return rf"""(CASE WHEN regexp_matches({found}, '^\d+-\d+-\d\d$') THEN coalesce(strftime(try_strptime({found}, '%d-%m-%y'), '%Y-%m-%d'),
+    return rf"""(CASE WHEN regexp_matches({found}, '^\d{{1,2}}-\d{{1,2}}-\d\d$') THEN coalesce(strftime(try_strptime({found}, '%d-%m-%y'), '%Y-%m-%d'),
       CASE WHEN regexp_matches({found}, '^\d\d-') THEN strftime(try_strptime({found}, '%y-%m-%d'), '%Y-%m-%d') END) ELSE coalesce({tried}) END)"""
 
 
@@ -214,7 +214,7 @@ SQL["category_score"] = of("SELECT doc_id, category, score FROM scored")
 
 @query
 def category_argmax(spark, sf_dir):
-    return _category_text(spark, sf_dir).select("doc_id", C.best(C.scores(F.col("t"))).alias("category"))
+    return C.with_category(extract.extract(synthetic.elements(spark, sf_dir))).select("doc_id", "category")
 
 
 SQL["category_argmax"] = of("SELECT doc_id, category FROM chosen")
@@ -225,7 +225,7 @@ TIES = ("metro", "gas", "phone", "mobile", "chicken", "nothing", "sweet", "cinem
 @query
 def category_tiebreak(spark, sf_dir):
     rows = spark.createDataFrame([(t,) for t in TIES], "vendor string")
-    return rows.select("vendor", C.categorize(F.col("vendor"), F.array().cast("array<string>")).alias("category"))
+    return C.with_category(rows.withColumn("line_items", F.array().cast("array<string>"))).select("vendor", "category")
 
 
 SQL["category_tiebreak"] = of(f"""SELECT vendor, CASE WHEN max(s) > 0 THEN arg_max(category, s * 100 - ord) ELSE 'Other' END AS category FROM (
@@ -349,19 +349,19 @@ def nfkc(spark, sf_dir):
     return both.select("doc_id", R.clean_text(F.col("text")).alias("text"))
 
 
-def _step(name, f):
+def _step(name, *steps):
     def run(spark, sf_dir):
-        return _words(spark, sf_dir).select("id", f(F.col("text")).alias("text"))
+        return R.repaired(_words(spark, sf_dir), "text", steps=steps)
 
     run.__name__ = name
     return query(run)
 
 
-_step("mixed_script", R.fix_mixed_script)
-_step("fix_dates", R.fix_dates)
-_step("fix_numbers", R.fix_numbers)
-_step("fix_currency", R.fix_currency)
-_step("common_words", R.fix_common_words)
+_step("mixed_script", "script")
+_step("fix_dates", "dates")
+_step("fix_numbers", "numbers")
+_step("fix_currency", "currency")
+_step("common_words", "words")
 
 LATIN = r"length(regexp_replace(text, '[^\x{0}-\x{5FF}]', '', 'g'))"
 ARABIC = r"length(regexp_replace(text, '[^\x{600}-\x{6FF}]', '', 'g'))"
