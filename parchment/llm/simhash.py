@@ -53,6 +53,10 @@ def segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, STARTS[i]).bitwiseAND((1 << WIDTHS[i]) - 1)
 
 
+def _above(key: Column):
+    return lambda x: x > key
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) between the ids of the rows (id, fp), fp distinct, that connect whatever is within DISTANCE.
 
@@ -66,7 +70,7 @@ def links(distinct: DataFrame) -> DataFrame:
     for i in range(5):
         j = (i + 1) % 5
         key = F.lit(i << 26) + segment(F.col("fp"), i) * (1 << 13) + segment(F.col("fp"), j)
-        away = F.filter(F.array(*(key.bitwiseXOR(1 << k) for k in range(WIDTHS[j]))), lambda x, key=key: x > key)
+        away = F.filter(F.transform(F.array(*(F.lit(1 << k) for k in range(WIDTHS[j]))), key.bitwiseXOR), _above(key))
         rows += [F.array(F.struct(key.alias("key"), F.lit(True).alias("home"))), F.transform(away, lambda x: F.struct(x.alias("key"), F.lit(False).alias("home")))]
     spread = distinct.select("id", "fp", F.explode(F.concat(*rows)).alias("k")).select("k.key", "k.home", "id", "fp")
     dealt = spread.repartition("key").sortWithinPartitions("key")
