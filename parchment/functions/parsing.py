@@ -45,25 +45,32 @@ def date_parts(text: Column) -> Column:
     return F.split(F.translate(F.translate(found, "/", "-"), OTHER_DIGITS, DIGITS), "-")
 
 
-def date_of(parts: Column) -> Column:
-    """date_parts as YYYY-MM-DD; null where they are no date. Give it a column: it is used many times.
+def date_numbers(parts: Column) -> Column:
+    """date_parts as whole numbers, with the lengths of the first and last."""
+    part = lambda i: F.try_element_at(parts, F.lit(i + 1))
+    number = lambda i, name: part(i).try_cast("int").alias(name)
+    return F.struct(number(0, "a"), number(1, "b"), number(2, "c"), F.length(part(0)).alias("first"), F.length(part(2)).alias("last"))
+
+
+def date_of(n: Column) -> Column:
+    """date_numbers as YYYY-MM-DD; null where they are no date. Give it a column: it is used many times.
 
     Day first, else month first; two-digit years: 69 to 99 are 1900s; year-month-day with a short year needs two
     digits for the year.
     """
-    part = lambda i: F.try_element_at(parts, F.lit(i + 1))
-    a, b, c = (part(i).try_cast("int") for i in range(3))
+    a, b, c = n["a"], n["b"], n["c"]
     century = lambda y: F.when(y < 69, y + 2000).otherwise(y + 1900)
     return (
-        F.when(F.length(part(0)) == 4, iso_date(a, b, c))
-        .when(F.length(part(2)) == 4, F.coalesce(iso_date(c, b, a), iso_date(c, a, b)))
-        .otherwise(F.coalesce(iso_date(century(c), b, a), F.when(F.length(part(0)) == 2, iso_date(century(a), b, c))))
+        F.when(n["first"] == 4, iso_date(a, b, c))
+        .when(n["last"] == 4, F.coalesce(iso_date(c, b, a), iso_date(c, a, b)))
+        .otherwise(F.coalesce(iso_date(century(c), b, a), F.when(n["first"] == 2, iso_date(century(a), b, c))))
     )
 
 
 def parse_date(text: Column) -> Column:
     """The first date of the first pattern that matches, as YYYY-MM-DD; null where it is no date."""
-    return F.get(F.transform(F.array(date_parts(text)), date_of), F.lit(0))  # the parts are taken once
+    once = lambda column, f: F.get(F.transform(F.array(column), f), F.lit(0))
+    return once(once(date_parts(text), date_numbers), date_of)
 
 
 def parse_amount(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Confusions between scripts, as parallel strings for translate().
 ARABIC_CONFUSED, ENGLISH_MEANT = "ه٧٤لا؟G", "aVElI)E"
@@ -26,7 +27,7 @@ ZERO_WIDTH = "​‌‍"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark has no function for; a batch without non-ASCII text passes as it is."""
     return text.where(text.isna() | text.map(lambda t: t is None or t.isascii()), text.str.normalize("NFKC"))

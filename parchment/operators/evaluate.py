@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 ENGINES = ("easyocr", "pytesseract")
 SHOWN = 100
@@ -15,7 +16,7 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(truth: pd.Series, guess: pd.Series) -> pd.Series:
     """difflib's ratio, for which Spark has nothing: 1 for two empty texts."""
     from difflib import SequenceMatcher

@@ -14,10 +14,10 @@ NO_TOTAL = "max() iterable argument is empty"
 def parsed(elements: DataFrame) -> DataFrame:
     """elements with what their texts say on their own; each text is parsed once."""
     text = F.col("text")
-    return elements.withColumn("_parts", P.date_parts(text)).withColumns({
-        "date": P.date_of(F.col("_parts")), "amount": P.parse_amount(text), "is_date_word": P.has_any(text, P.DATE_KEYWORDS),
+    return elements.withColumn("_n", P.date_parts(text)).withColumn("_n", P.date_numbers(F.col("_n"))).withColumns({
+        "date": P.date_of(F.col("_n")), "amount": P.parse_amount(text), "is_date_word": P.has_any(text, P.DATE_KEYWORDS),
         "is_total_word": P.has_any(text, P.TOTAL_KEYWORDS), "is_item_text": P.may_be_item(text),
-    }).drop("_parts")
+    }).drop("_n")
 
 
 def with_neighbours(elements: DataFrame) -> DataFrame:

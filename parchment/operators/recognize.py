@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .extract import with_geometry
 from .repair import repair
@@ -36,13 +37,12 @@ def easyocr_reader(options: Options) -> Reader:
 def recognize(images: DataFrame, reader: Callable[[Options], Reader], options: Options = Options()) -> DataFrame:
     """Elements of image rows; an image that can't be read gives one row with error and no text."""
 
+    schema = to_arrow_schema(images.sparkSession.createDataFrame([], OUT).schema)
+
     def run(batches):
         import pyarrow as pa
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string as parse
-
-        schema, read = to_arrow_schema(parse(OUT)), None
+        read = None
         for batch in batches:
             for r in batch.to_pylist():
                 base = {"doc_id": r["path"], "height": r["height"], "width": r["width"], "error": None}

@@ -40,7 +40,7 @@ WITH li AS (
 ), numbered AS (
   SELECT CAST(o_orderkey AS VARCHAR(20)) AS doc_id, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY block) - 1 AS INT) AS seq, text FROM raw
 )
-SELECT doc_id, seq, text, CAST(50 + (seq * 7) % 50 AS DOUBLE) / 100 AS confidence FROM numbered"""
+SELECT doc_id, seq, text, CAST(32 + (seq * 7) % 32 AS DOUBLE) / 64 AS confidence FROM numbered"""
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
