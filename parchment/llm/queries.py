@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, quality_lm, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files
+from . import decontaminate, line_dedup, mixing, quality_lm, quality_rules, rules_sql, sharding, simhash, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -45,7 +45,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,8 @@ FROM r
 """
 
 
+SQL["op9_quality_rules"] = rules_sql.SQL
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in SQL.items() if k in queries()}
