@@ -17,8 +17,9 @@ from .common import shuffle_partitions, small, stored, text_or_empty
 #: Words that the model knows at most: the most frequent. Others count as unknown.
 VOCABULARY = 1 << 20
 FILTER_BITS = 1 << 28
-#: Words of text worked on at once, and bytes of a group of texts.
-BLOCK_WORDS = 1_500_000
+#: Words of text, and rows, worked on at once.
+BLOCK_WORDS = 750_000
+ROWS_AT_ONCE = 2000
 ID_BITS = np.uint64(21)
 #: Of trusted documents, one in HELD_OUT (by hash of the id) sets the thresholds and isn't trained on.
 HELD_OUT = 5
@@ -43,15 +44,15 @@ def tokens(batches, column: int = 1):
     """For blocks of BLOCK_WORDS words or so: (row places, document of each word, word hashes). Places index the batch."""
     from parchment.llm.hashing import word_hashes
 
-    for batch in batches:
-        texts = [t.as_py().encode() for t in batch.column(column)]
+    for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
+        texts = batch.column(column).cast("binary").to_pylist()
         rows, parts, docs, n = [], [], [], 0
         for group, hashes, first in word_hashes(texts):
             docs.append(np.repeat(np.arange(len(group)) + len(rows), np.diff(first)))
             parts.append(hashes[: first[-1]])
             rows += group
             n += first[-1]
-            if n > BLOCK_WORDS or len(rows) > 60_000:
+            if n > BLOCK_WORDS:
                 yield batch, rows, np.concatenate(docs), np.concatenate(parts)
                 rows, parts, docs, n = [], [], [], 0
         if rows:
