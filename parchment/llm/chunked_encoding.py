@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 #: Pieces kept; about 150 bytes each.
-KEPT = 700_000
+KEPT = 1_200_000
 #: Pieces longer than this are encoded but not kept.
 KEPT_CHARS = 48
 #: Characters of text handled at once.
