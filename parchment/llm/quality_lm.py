@@ -18,8 +18,8 @@ from .common import shuffle_partitions, small, stored, text_or_empty
 VOCABULARY = 1 << 20
 FILTER_BITS = 1 << 28
 #: Words of text, and rows, worked on at once.
-BLOCK_WORDS = 1_000_000
-ROWS_AT_ONCE = 1500
+BLOCK_WORDS = 300_000
+ROWS_AT_ONCE = 500
 ID_BITS = np.uint64(21)
 #: Of trusted documents, one in HELD_OUT (by hash of the id) sets the thresholds and isn't trained on.
 HELD_OUT = 5
