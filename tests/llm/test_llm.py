@@ -362,13 +362,28 @@ def test_line_dedup(spark):
     assert awkward.count() == len(corpus())
 
 
+def test_line_dedup_without_spaces(spark):
+    """Characters beyond the ninth of a word count, and near copies that differ in the first nine are found."""
+    rng = random.Random(23)
+    cjk = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200))
+    astral = "".join(chr(0x20000 + rng.randrange(3000)) for _ in range(30))
+    path = "".join(rng.choice("abcdefgh/") for _ in range(200))
+    lines = ["https://a.org/x", "https://a.org/y", "andththwhes.", "andththwhwh.", cjk, "中" + cjk, path, path[:3] + "#" + path[4:], cjk[:9] + cjk[50:90], astral, astral + "ab"]
+    rows = [(i, t, "en", "a") for i, t in enumerate(lines)]
+    out = {r.doc: r.removed for r in line_dedup.duplicate_lines(frame(spark, rows)).collect()}
+    assert {i for i in out if out[i]} == {5, 7, 10}
+    texts = spark.createDataFrame([(t,) for t in lines], "t string").select("t", F.size(F.array_distinct(line_dedup.shingles(F.col("t")))).alias("n")).collect()
+    assert all(r.n == len({r.t[k : k + 9] for k in range(len(r.t) - 8)}) for r in texts)
+
+
 def test_line_dedup_large_buckets(spark):
     """Near copies of lines that share most of their shingles with hundreds of others: as many pairs are found as by
     comparing all that share a bucket."""
     rng = random.Random(21)
-    common_words = " ".join(f"boilerplate{chr(97 + i) * 9}" for i in range(24))
-    family = [" ".join(f"{rng.getrandbits(36):09x}" for _ in range(9)) for _ in range(300)]
-    rows = [(2 * i + k, f"{common_words} {words[:-9 * k] if k else words}", "en", "a") for i, words in enumerate(family) for k in range(2)]
+    word = lambda: f"{rng.getrandbits(36):09x}"
+    shared = [word() for _ in range(16)]
+    family = [[word() for _ in range(4)] for _ in range(300)]
+    rows = [(2 * i + k, " ".join([*shared, *(w[:2] + [word(), word()] if k else w)]), "en", "a") for i, w in enumerate(family) for k in range(2)]
     out = {(r.doc, r.pos): r.removed for r in line_dedup.duplicate_lines(frame(spark, rows)).collect()}
     places, roots = lines_by_hand(rows)
     first = {}
@@ -376,7 +391,7 @@ def test_line_dedup_large_buckets(spark):
         first.setdefault(roots[t], (i, k))
     want = {(i, k): first[roots[t]] != (i, k) for i, k, t in places}
     assert sum(want.values()) == 300
-    assert sum(out[p] for p in want if want[p]) >= 298 and not any(out[p] for p in want if not want[p])
+    assert sum(out[p] for p in want if want[p]) >= 290 and not any(out[p] for p in want if not want[p])
 
 
 def test_rare_pairs_are_all(spark):
