@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and their libraries, on small and awkward tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from parchment.llm import chunked_encoding, common, decontaminate, line_dedup, mixing, quality_lm, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files
+from parchment.llm import chunked_encoding, common, decontaminate, line_dedup, mixing, near_docs, quality_lm, quality_rules, sharding, simhash, suffix_dedup, token_counts, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, id string, h string, key string, words string, part string, before string, fp string"
@@ -462,6 +463,39 @@ def test_quality_classifier(spark):
     assert quality_lm.classify(frame(spark, []), labels).count() == 0
 
 
+def test_near_documents(spark):
+    """The stage's near duplicates against the exact Jaccard of five-word shingles; scattered edits included."""
+    rng, rows = random.Random(41), corpus()
+    for i in range(40):
+        base = prose(rng, 300, 10**6).split()
+        for k, edits in enumerate((0, 2, 4, 6, 9)):
+            w = list(base)
+            for p in rng.sample(range(len(w)), edits):
+                w[p] = f"y{k}"
+            rows.append((1000 + 10 * i + k, " ".join(w), "en", "a"))
+    shared = prose(rng, 60, 10**6)
+    for i in range(60):  # more than a bucket's lines that share most, in pairs
+        own = prose(rng, 20, 10**6)
+        rows += [(2000 + 2 * i, f"{shared} {own}", "en", "a"), (2001 + 2 * i, f"{shared} {own} end", "en", "a")]
+
+    def shingled(text):
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [(r[0], shingled(r[1])) for r in rows if r[0] is not None]
+    nodes = list({s for _, s in sets})
+    number = {s: i for i, s in enumerate(nodes)}
+    like = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    roots = union_find(range(len(nodes)), [(i, k) for i in range(len(nodes)) for k in range(i + 1, len(nodes)) if nodes[i] and nodes[k] and like(nodes[i], nodes[k])])
+    least = {}
+    for d, s in sets:
+        least[roots[number[s]]] = min(d, least.get(roots[number[s]], d))
+    want = {(d, least[roots[number[s]]]) for d, s in sets}
+    out = {(r.doc_id, r.component_id) for r in near_docs.near_duplicates(frame(spark, rows)).collect() if r.doc_id is not None}
+    assert out == want and sum(d != c for d, c in want if d >= 1000) > 150
+    assert near_docs.near_duplicates(frame(spark, [])).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(12)
     rows = [(i, prose(rng, rng.randint(30, 100)), "en", rng.choice(["a", "b", "hot", None])) for i in range(300)]
