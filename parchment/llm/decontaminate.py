@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: The fixed masks: 1 takes a token's hash, 0 ignores the token. Any 2 substitutions in 12 tokens leave one mask whole,
-#: or the next places do.
-MASKS = ("110101101011", "111001011011", "101110110101")
-SPAN = len(MASKS[0])
+#: The fixed masks: 1 takes a token's hash, 0 ignores the token. Every passage of 5 tokens or more, begun and ended by
+#: equal tokens, of which at most a fifth differ, leaves one of them whole: k substitutions part the equal tokens into
+#: k + 1 runs, of which one has 4 tokens, or (5 to 11, or 15 tokens) two runs meet at one substitution and fit a mask.
+#: A test enumerates all patterns of 5 to 25 tokens; longer passages part into stretches of 13 to 25, one of them as alike.
+MASKS = ("1111", "10111", "11011", "11101")
+#: Candidates that are looked at together.
+CHUNK = 1 << 16
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 PUNCTUATION = string.punctuation.encode()
 #: Items of the test set that are held at once; more are worked on in blocks of this size.
@@ -77,8 +80,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, toleran
 
     A passage is a stretch of `least` tokens or more (or the item's half or more, if the item is shorter than twice
     that, but 5 at least) in which at most `tolerance` of the tokens differ by substitution. Candidates are places
-    where a spaced seed of the document equals one of the test set; each candidate's diagonal is then compared token by
-    token. Items shorter than the masks are sought by contiguous seeds of their own length. The test set is the stated
+    where a spaced seed of the document equals one of the test set; each candidate's diagonal is counted around the seed,
+    where equal tokens must be as many as in the shortest passage, and then compared token by token. The masks find
+    every passage at a tolerance of 0.2 or less; items shorter than other masks are sought by contiguous seeds of their
+    own length. Items under 5 tokens have no passage. The test set is the stated
     query set: it is held in blocks of BLOCK items against all documents, without any shuffle of the documents, and of
     each document only its passages leave a task. Null and empty texts share nothing; repeated rows give repeated rows;
     empty tables give an empty result; other columns are ignored.
@@ -112,38 +117,57 @@ def _finder(shared, least, tolerance, masks):
         for group, hashes, first in word_hashes([t for _, t in held]):
             for k, i in enumerate(group):
                 tokens[i] = hashes[first[k] : first[k + 1]]
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        begins = np.concatenate([[0], np.cumsum(lengths)])
+        flat = np.concatenate([*tokens, np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(tokens)), lengths)
+        needs = np.minimum(least, np.maximum(5, (lengths + 1) // 2))
+        fewest = np.ceil((1 - tolerance) * needs - 1e-9).astype(np.int64)
+        longest = max(map(len, masks))
         sought = {}
-        by_length = {}
-        for i, t in enumerate(tokens):
-            if 5 <= len(t) < SPAN:
-                by_length.setdefault("1" * len(t), []).append(i)
-        for mask, wanted in [*((m, range(len(tokens))) for m in masks), *by_length.items()]:
-            rows = [(h, i, k) for i in wanted for k, h in enumerate(seeds(tokens[i], mask).tolist())]
-            if rows:
-                rows.sort()
-                keys = np.array([r[0] for r in rows], np.uint64)
-                sought[mask] = keys, np.array([r[1:] for r in rows])
+        for mask in dict.fromkeys([*masks, *("1" * n for n in range(5, longest))]):
+            keys = seeds(flat, mask)
+            at = np.flatnonzero(np.arange(len(keys)) + len(mask) <= begins[owner[: len(keys)] + 1])
+            at = at[(lengths[owner[at]] >= 5) if mask in masks else (lengths[owner[at]] == len(mask))]
+            if len(at):
+                order = np.argsort(keys[at], kind="stable")
+                sought[mask] = keys[at][order], at[order]
+
+        def dense(hashes, first, doc, place, at):
+            """(doc, item, shift), each once, of the candidates with enough equal tokens around them."""
+            item = owner[at]
+            reach = 2 * needs[item] + longest
+            low = np.maximum(-reach, np.maximum(first[doc] - place, begins[item] - at))
+            high = np.minimum(reach, np.minimum(first[doc + 1] - place, begins[item + 1] - at) - 1)
+            equal = np.zeros(len(at), np.int64)
+            for o in range(int(low.min()), int(high.max()) + 1):
+                some = np.flatnonzero((low <= o) & (o <= high))
+                equal[some] += hashes[place[some] + o] == flat[at[some] + o]
+            good = equal >= fewest[item]
+            return zip(doc[good].tolist(), item[good].tolist(), (place - first[doc] - at + begins[item])[good].tolist(), strict=True)
+
         for batch in batches:
             out, texts = [], [normalized(t.as_py()) for t in batch.column(1)]
             for group, hashes, first in word_hashes(texts):
                 hits = set()
                 for mask, (keys, where) in sought.items():
                     found = seeds(hashes, mask)
-                    at = np.searchsorted(keys, found)
-                    at[at == len(keys)] = 0
-                    places = np.flatnonzero(keys[at] == found)
+                    low = np.searchsorted(keys, found)
+                    places = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == found)
                     doc = np.searchsorted(first, places, "right") - 1
                     whole = places + len(mask) <= first[doc + 1]
-                    for p, d, a in zip(places[whole].tolist(), doc[whole].tolist(), at[places[whole]].tolist(), strict=True):
-                        while a < len(keys) and keys[a] == found[p]:
-                            item, k = where[a].tolist()
-                            hits.add((d, item, p - int(first[d]) - k))
-                            a += 1
+                    places, doc = places[whole], doc[whole]
+                    low = low[places]
+                    many = np.searchsorted(keys, found[places], "right") - low
+                    ends = np.cumsum(many)
+                    for start in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
+                        n = np.arange(start, min(start + CHUNK, int(ends[-1])))
+                        k = np.searchsorted(ends, n, "right")
+                        hits.update(dense(hashes, first, doc[k], places[k], where[low[k] + n - ends[k] + many[k]]))
                 best = {}
                 for d, item, shift in hits:
                     start, length, matches = overlap(hashes[first[d] : first[d + 1]], tokens[item], shift, tolerance)
-                    need = min(least, max(5, (len(tokens[item]) + 1) // 2))
-                    if length >= need and matches >= (1 - tolerance) * length:
+                    if length >= needs[item] and matches >= (1 - tolerance) * length:
                         best[d, item] = max(best.get((d, item), (0,)), (matches, -start - shift, length))
                 out += [(group[d], held[item][0], -b[1], b[2], b[0]) for (d, item), b in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], pa.int64() if not out else None), *(pa.array([r[k] for r in out], pa.int64()) for k in (2, 3, 4))], names=["doc", "item", "doc_start", "n_tokens", "n_matches"])

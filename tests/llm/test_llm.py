@@ -312,6 +312,30 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_masks_find_every_passage():
+    """All patterns of 5 to 25 tokens, begun and ended by equal tokens, with up to a fifth substituted."""
+    marks = [int(m, 2) for m in decontaminate.MASKS]
+    for n in range(5, 26):
+        for gone in range(n // 5 + 1):
+            for places in itertools.combinations(range(1, n - 1), gone):
+                same = (1 << n) - 1 - sum(1 << p for p in places)
+                assert any(same >> k & m == m for m in marks for k in range(n - m.bit_length() + 1)), (n, places)
+
+
+def test_decontamination_substituted(spark):
+    """Passages of 13 to 20 tokens with a fifth of them substituted anywhere."""
+    rng = random.Random(31)
+    items, docs = [(i, prose(rng, 40, 10**6)) for i in range(7)], []
+    for i, text in items:
+        n = 13 + i % 8
+        for k, places in enumerate(rng.sample(list(itertools.combinations(range(1, n - 1), n // 5)), 40)):
+            part = ["changed" if p in places else w for p, w in enumerate(text.split()[10 : 10 + n])]
+            docs.append((100 * i + k, f"{prose(rng, 20, 10**6)} {' '.join(part)} {prose(rng, 20, 10**6)}", "en", "a"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert out == {(d[0], d[0] // 100) for d in docs}
+
+
 def test_decontamination_blocks(spark, monkeypatch):
     rows = corpus()
     bench = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:30])], "item_id long, text string")
