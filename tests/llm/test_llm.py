@@ -336,6 +336,19 @@ def test_decontamination_substituted(spark):
     assert out == {(d[0], d[0] // 100) for d in docs}
 
 
+def test_decontamination_short_items(spark):
+    """Halves of items of 5 to 25 tokens, and short items with a substitution."""
+    rng = random.Random(32)
+    items, docs = [(n, prose(rng, n, 10**6)) for n in range(3, 26)], []
+    for n, text in items:
+        w, half = text.split(), max(5, (n + 1) // 2)
+        docs.append((n, f"{prose(rng, 9, 10**6)} {' '.join(w[n // 3 : n // 3 + half] if n // 3 + half <= n else w[n - half :])} {prose(rng, 9, 10**6)}", "en", "a"))
+        docs.append((100 + n, f"{prose(rng, 9, 10**6)} {' '.join([*w[:2], 'changed', *w[3:]])} {prose(rng, 9, 10**6)}", "en", "a"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert out == {(d[0], d[0] % 100) for d in docs if d[0] % 100 >= 5}
+
+
 def test_decontamination_blocks(spark, monkeypatch):
     rows = corpus()
     bench = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:30])], "item_id long, text string")
