@@ -323,12 +323,16 @@ def _cases(spark):
     return spark.createDataFrame(list(enumerate(CASES)), "id int, text string")
 
 
-def _words(spark, sf_dir):
-    """First words of the conversations' turns, and the fixed cases."""
-    talk = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("id"), F.substring_index("text", " ", 3).alias("text"))
+def _turns(spark, sf_dir, text):
+    talk = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("id"), text.alias("text"))
     return _cases(spark).unionByName(talk)
 
 
+def _words(spark, sf_dir):
+    """First words of the conversations' turns, and the fixed cases: as in WORDS."""
+    return _turns(spark, sf_dir, F.substring_index("text", " ", 3))
+
+
 WORDS = f"w AS ({REPAIR_INPUT} UNION ALL SELECT (conv_id * 1000 + turn)::INT, array_to_string(string_split(text, ' ')[1:3], ' ') FROM conversations)"
 ARABIC_TO_DIGITS = f"'{R.ARABIC_DIGITS}', '{R.DIGITS}'"
 
@@ -418,7 +422,7 @@ SQL["script_ratio"] = f"WITH {WORDS} SELECT id, text = '' OR {LATIN} > length(te
 
 @query
 def repair_all(spark, sf_dir):
-    return repair.repair(_words(spark, sf_dir))
+    return repair.repair(_turns(spark, sf_dir, F.col("text")))
 
 
 # Images and evaluation -----------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from parchment import queries
 from parchment.functions import categories as C
 from parchment.functions import parsing as P
 from parchment.functions import text_repair as R
@@ -185,3 +186,11 @@ def test_plan_has_one_exchange(spark):
     plan = extract.extract(elements(spark, {"a": SAMPLE}))._jdf.queryExecution().sparkPlan().toString()
     executed = extract.extract(spark.range(10).selectExpr("cast(id as string) doc_id", "0 seq", "'x' text", "0.5D confidence"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window") >= 1 and executed.count("Exchange hashpartitioning") == 1
+
+
+def test_repair_all_takes_whole_turns(spark, tmp_path):
+    rows = [(1, 2, "user", "one two three four 27-09-202& and 1O1"), (1, 3, "user", "paid in all " + "at noon " * 50 + "(22.75 and 5S5")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r.id: r.text for r in queries.repair_all(spark, str(tmp_path)).collect()}
+    assert out[1002] == "one two three four 27-09-2022 and 101"
+    assert out[1003] == "paid in all " + "at noon " * 50 + "(22.75 and 555"
