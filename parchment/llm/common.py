@@ -4,15 +4,15 @@ size-checked broadcasts and connected components. Nothing here gathers rows of t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest table, in estimated bytes, that an operator may broadcast.
 BROADCAST_LIMIT = 64 << 20
+#: Keys of at least this part of all rows are hot, see `joined`.
+HOT = 1000
 #: Words are runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -50,6 +50,20 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def joined(rows: DataFrame, table: DataFrame, key: str | list[str], row_bytes: int, how: str = "inner", limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """rows joined with `table`, which has one row a key and how many rows of the key there are in its column n.
+
+    The table is broadcast if its counted rows fit the limit. Else so are its hot keys only, those of a HOT-th or more
+    of all rows counted, of which there are HOT at most; the other keys, none of which is a large share, are shuffled.
+    """
+    size, total = table.agg(F.count("*"), F.sum("n")).first()
+    if size * row_bytes <= limit:
+        return rows.join(F.broadcast(table), key, how)
+    hot = F.broadcast(table.where(F.col("n") >= max(2, total // HOT)))
+    cold = table.where(F.col("n") < max(2, total // HOT))
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how), allowMissingColumns=True)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -93,15 +107,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return following.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
                 following.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen, now = state, following
-
-
-def batches_by_bytes(texts: list[bytes], most: int) -> Iterator[range]:
-    """Consecutive index ranges of about `most` bytes each, so that one long text doesn't ride with thousands of others."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > most:
-            yield range(start, i)
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield range(start, len(texts))
