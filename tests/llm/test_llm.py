@@ -447,17 +447,6 @@ def test_line_dedup_large_buckets(spark):
     assert sum(out[p] for p in want if want[p]) >= 290 and not any(out[p] for p in want if not want[p])
 
 
-def test_rare_pairs_are_all(spark):
-    rng = random.Random(22)
-    base = list(range(1000, 1060))
-    sets = [rng.sample(base, rng.randint(1, 60)) for _ in range(150)]
-    sets += [[x for x in rng.choice(sets) if rng.random() < 0.93] or [1] for _ in range(150)] + [sorted(set(rng.choice(sets)) | {rng.randrange(50)}) for _ in range(50)]
-    found = {(r.a, r.b) for r in line_dedup.rare_pairs(spark.createDataFrame([(i, i, x) for i, x in enumerate(sets)], "id long, component long, hashes array<long>")).collect()}
-    like = lambda x, y: len(x & y) >= 0.8 * len(x | y)
-    want = {(i, k) for i in range(len(sets)) for k in range(i + 1, len(sets)) if like(set(sets[i]), set(sets[k]))}
-    assert len(want) > 100 and want <= found
-
-
 def kneser_ney(texts):
     """A model of word pairs by plain dictionaries: the log probability of a text's words."""
     pairs = Counter()
