@@ -9,43 +9,75 @@ from pyspark.sql import functions as F
 # A term that is listed twice counts twice.
 CATEGORIES = {
     "Food & Groceries": (
-        "carrefour|spinneys|metro|kheir zaman|oscar|سبينس|كارفور|ميترو|خير زمان|grocery|supermarket|market|bread|milk|eggs|vegetables|fruits|meat|chicken|fish|خضار|فواكه|لحم|دجاج|سمك|خبز|لبن",
-        "carrefour|spinneys|metro|kheir zaman",
+        (
+            "carrefour", "spinneys", "metro", "kheir zaman", "oscar", "سبينس", "كارفور", "ميترو", "خير زمان", "grocery",
+            "supermarket", "market", "bread", "milk", "eggs", "vegetables", "fruits", "meat", "chicken", "fish", "خضار",
+            "فواكه", "لحم", "دجاج", "سمك", "خبز", "لبن",
+        ),
+        ("carrefour", "spinneys", "metro", "kheir zaman"),
     ),
     "Dining Out": (
-        "restaurant|cafe|coffee|pizza|burger|kfc|mcdonalds|hardees|pizza hut|dominos|cook door|مطعم|كافيه|قهوة|بيتزا|برجر|pepsi|cola|sandwich|meal|fries|chicken",
-        "kfc|mcdonalds|pizza hut|tabali|chicken fila|cook door",
+        (
+            "restaurant", "cafe", "coffee", "pizza", "burger", "kfc", "mcdonalds", "hardees", "pizza hut", "dominos",
+            "cook door", "مطعم", "كافيه", "قهوة", "بيتزا", "برجر", "pepsi", "cola", "sandwich", "meal", "fries",
+            "chicken",
+        ),
+        ("kfc", "mcdonalds", "pizza hut", "tabali", "chicken fila", "cook door"),
     ),
     "Transportation": (
-        "uber|careem|taxi|gas|fuel|petrol|diesel|parking|toll|metro|bus|تاكسي|بنزين|وقود|مواصلات|اوبر|كريم|gas station|petrol station|محطة بنزين",
-        "uber|careem|misr petroleum|total|wataniya",
+        (
+            "uber", "careem", "taxi", "gas", "fuel", "petrol", "diesel", "parking", "toll", "metro", "bus", "تاكسي",
+            "بنزين", "وقود", "مواصلات", "اوبر", "كريم", "gas station", "petrol station", "محطة بنزين",
+        ),
+        ("uber", "careem", "misr petroleum", "total", "wataniya"),
+    ),
+    "Housing / Rent": (
+        ("rent", "landlord", "apartment", "flat", "house", "إيجار", "شقة", "منزل", "سكن", "real estate", "property"),
+        (),
     ),
-    "Housing / Rent": ("rent|landlord|apartment|flat|house|إيجار|شقة|منزل|سكن|real estate|property", ""),
     "Utilities": (
-        "electricity|water|gas|internet|phone|mobile|we|vodafone|orange|etisalat|كهرباء|مياه|غاز|انترنت|تليفون|موبايل|bill|utility",
-        "we|vodafone|orange|etisalat|te data|fawry|فوري|فورى",
+        (
+            "electricity", "water", "gas", "internet", "phone", "mobile", "we", "vodafone", "orange", "etisalat",
+            "كهرباء", "مياه", "غاز", "انترنت", "تليفون", "موبايل", "bill", "utility",
+        ),
+        ("we", "vodafone", "orange", "etisalat", "te data", "fawry", "فوري", "فورى"),
     ),
     "Health & Medical": (
-        "pharmacy|doctor|clinic|hospital|medical|medicine|drug|prescription|lab|laboratory|صيدلية|طبيب|عيادة|مستشفى|دواء|علاج|seif|19011|al ezaby",
-        "seif|19011|al ezaby|el ezaby",
+        (
+            "pharmacy", "doctor", "clinic", "hospital", "medical", "medicine", "drug", "prescription", "lab",
+            "laboratory", "صيدلية", "طبيب", "عيادة", "مستشفى", "دواء", "علاج", "seif", "19011", "al ezaby",
+        ),
+        ("seif", "19011", "al ezaby", "el ezaby"),
     ),
     "Entertainment": (
-        "cinema|movie|theatre|theater|game|gaming|playstation|xbox|netflix|spotify|subscription|سينما|فيلم|العاب|لعبة|vox|galaxy|cinema",
-        "vox|galaxy|netflix|spotify|steam",
+        (
+            "cinema", "movie", "theatre", "theater", "game", "gaming", "playstation", "xbox", "netflix", "spotify",
+            "subscription", "سينما", "فيلم", "العاب", "لعبة", "vox", "galaxy", "cinema",
+        ),
+        ("vox", "galaxy", "netflix", "spotify", "steam"),
     ),
     "Shopping": (
-        "clothing|clothes|shoes|fashion|accessories|electronics|mobile|laptop|computer|phone|ملابس|احذية|موضة|الكترونيات|موبايل|zara|h&m|noon|amazon|jumia|souq",
-        "zara|h&m|noon|amazon|jumia|souq",
+        (
+            "clothing", "clothes", "shoes", "fashion", "accessories", "electronics", "mobile", "laptop", "computer",
+            "phone", "ملابس", "احذية", "موضة", "الكترونيات", "موبايل", "zara", "h&m", "noon", "amazon", "jumia", "souq",
+        ),
+        ("zara", "h&m", "noon", "amazon", "jumia", "souq"),
     ),
     "Education": (
-        "school|university|college|course|tuition|books|library|study|education|learning|مدرسة|جامعة|كلية|دراسة|تعليم|كتب|coursera|udemy|udacity",
-        "coursera|udemy|udacity",
+        (
+            "school", "university", "college", "course", "tuition", "books", "library", "study", "education", "learning",
+            "مدرسة", "جامعة", "كلية", "دراسة", "تعليم", "كتب", "coursera", "udemy", "udacity",
+        ),
+        ("coursera", "udemy", "udacity"),
     ),
     "Personal Care": (
-        "salon|barber|haircut|spa|beauty|cosmetics|makeup|perfume|fragrance|shampoo|صالون|حلاق|تجميل|عطر|شامبو|loreal|nivea|dove",
-        "loreal|nivea|dove",
+        (
+            "salon", "barber", "haircut", "spa", "beauty", "cosmetics", "makeup", "perfume", "fragrance", "shampoo",
+            "صالون", "حلاق", "تجميل", "عطر", "شامبو", "loreal", "nivea", "dove",
+        ),
+        ("loreal", "nivea", "dove"),
     ),
-}
+}
 OTHER = "Other"
 WEIGHTS = {"keyword": 1, "brand": 3}
 
@@ -56,8 +88,7 @@ def terms() -> list[tuple[str, int, str, str, int]]:
         (category, i, kind, term, WEIGHTS[kind])
         for i, (category, lists) in enumerate(CATEGORIES.items())
         for kind, words in zip(WEIGHTS, lists, strict=True)
-        for term in words.split("|")
-        if term
+        for term in words
     ]
 
 

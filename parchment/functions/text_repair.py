@@ -23,6 +23,8 @@ MISREAD_EXACT = {"ILEI": "Q", "ILEII": "Q"}
 # Three-character misreadings of the currency code.
 CODES = ("EGE", "EGت", "EG؟", "EGف", "EEP", "E6P", "E0P", "EOP", r"\[6P", r"\[0P")
 SIMILAR = 0.7
+#: Longer texts are like no keyword.
+LONGEST_LIKE = int(max(map(len, KEYWORDS)) / SIMILAR) + 1
 ZERO_WIDTH = "​‌‍"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -113,7 +115,7 @@ def cased_like(text: Column, word: str) -> Column:
 
 def fix_keywords(text: Column) -> Column:
     """An element like one of KEYWORDS becomes it, whole, in its own case."""
-    lower, found = F.lower(text), F
+    lower, found = F.lower(text), F.when(F.length(text) > LONGEST_LIKE, text)
     for word in KEYWORDS:
         found = found.when(fuzzy_match(lower, word), cased_like(text, word))
     return found.otherwise(text)

@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType
 
 ENGINES = ("easyocr", "pytesseract")
 SHOWN = 100
+NOT_RUN = "No result"
 
 
 def normalized(text: Column) -> Column:
@@ -33,12 +34,14 @@ def edit_ratio(truth: Column, guess: Column) -> Column:
 def compare(truth: DataFrame, guesses: DataFrame, ratio=sequence_ratio) -> DataFrame:
     """truth (split, stem, ground_truth) with guesses (split, stem, engine, text, error), a row an image.
 
-    Images without ground truth, or the reverse, give no row. An engine's error, or its missing row, is cer 1.
+    Images without ground truth, or the reverse, give no row. An engine's error, or its missing row (error NOT_RUN), is
+    cer 1.
     """
-    one = lambda e: guesses.where(F.col("engine") == e).select("split", "stem", F.col("text").alias(f"{e}_text"), F.col("error").alias(f"{e}_error"), F.lit(True).alias(f"{e}_ran"))
+    one = lambda e: guesses.where(F.col("engine") == e).select("split", "stem", F.col("text").alias(f"{e}_text"), F.col("error").alias(f"{e}_error"))
     rows = truth.where("ground_truth is not null")
     for e in ENGINES:
-        rows = rows.join(one(e), ["split", "stem"])
+        rows = rows.join(one(e).withColumn(f"{e}_ran", F.lit(True)), ["split", "stem"], "left")
+        rows = rows.withColumn(f"{e}_error", F.when(F.col(f"{e}_ran").isNull(), F.lit(NOT_RUN)).otherwise(F.col(f"{e}_error")))
     wanted = normalized(F.col("ground_truth"))
     for e in ENGINES:
         rows = rows.withColumn(f"{e}_ratio", F.when(F.col(f"{e}_error").isNull(), ratio(wanted, normalized(F.col(f"{e}_text")))).otherwise(0.0))
@@ -49,6 +52,20 @@ def compare(truth: DataFrame, guesses: DataFrame, ratio=sequence_ratio) -> DataF
     return rows.select(F.col("stem").alias("image"), "split", F.substring("ground_truth", 1, SHOWN).alias("ground_truth"), a.alias(ENGINES[0]), b.alias(ENGINES[1]), better.alias("better"))
 
 
+def report(compared: DataFrame) -> DataFrame:
+    """One row: total_images, each engine's mean cer (0 without rows) and the number of images where it was better."""
+    mean = lambda e: F.coalesce(F.avg(F.col(e)["cer"]), F.lit(0.0)).alias(f"{e}_mean_cer")
+    return compared.agg(F.count("*").alias("total_images"), *map(mean, ENGINES), *(F.count_if(F.col("better") == e).alias(f"{e}_better") for e in ENGINES))
+
+
+def report_lines(compared: DataFrame) -> DataFrame:
+    """The comparison's JSON report, a row a line: the means first, then an object for each image, in order of split and
+    name. Rows are objects of their own, so that a report of any size is written by many tasks."""
+    means = report(compared).select(F.lit(0).alias("part"), F.lit("").alias("split"), F.lit("").alias("image"), F.to_json(F.struct("*")).alias("json"))
+    rows = compared.select(F.lit(1).alias("part"), "split", "image", F.to_json(F.struct(*compared.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return means.unionByName(rows).orderBy("part", "split", "image").select("json")
+
+
 def summary(compared: DataFrame) -> DataFrame:
     """A row an engine: n, mean, median, std (population), min, max of cer, and mean accuracy in percent."""
     long = compared.select(F.explode(F.array(*(F.struct(F.lit(e).alias("engine"), F.col(e)["cer"].alias("cer")) for e in ENGINES))).alias("x")).select("x.*")

@@ -39,23 +39,26 @@ def extract(elements: DataFrame) -> DataFrame:
 
     date: the first near a date word, else the first at all. total: near total words the amount with a decimal point,
     then the largest; else the largest of all within (LEAST, MOST), and an error where there are amounts but none
-    within. line_items: texts that an amount follows, in order.
+    within. line_items: texts that an amount follows, in order. Where elements have a column error (a document that
+    couldn't be read has one row, without text), it is the document's error.
     """
     at = lambda condition, column: F.min(F.when(condition, F.struct("seq", column)))[column]
     amount = F.col("amount")
+    broken = F.max(F.col("error")) if "error" in elements.columns else F.lit(None).cast("string")
     grouped = with_neighbours(elements).groupBy("doc_id").agg(
+        broken.alias("broken"),
         F.coalesce(at(F.col("is_date_word") & F.col("near_date").isNotNull(), "near_date"), at(F.col("date").isNotNull(), "date")).alias("date"),
         F.max(F.when(F.col("is_total_word"), F.col("near_total")))["amount"].alias("near"),
         F.count(F.when(P.present(amount), 1)).alias("n_amounts"),
         F.max(F.when((amount > LEAST) & (amount < MOST), amount)).alias("largest"),
         F.array_sort(F.collect_list(F.when(F.col("is_item"), F.struct("seq", P.stripped(F.col("text")).alias("text")))))["text"].alias("line_items"),
-        F.count("*").alias("n_elements"),
+        F.count("text").alias("n_elements"),
         F.avg("confidence").alias("average_confidence"),
         F.min(F.struct("seq", "text"))["text"].alias("vendor"),
     )
     failed = F.col("near").isNull() & (F.col("n_amounts") > 0) & F.col("largest").isNull()
     return grouped.select(
-        "doc_id", "date", F.coalesce("near", "largest").alias("total"), "line_items", F.when(failed, F.lit(NO_TOTAL)).alias("error"),
+        "doc_id", "date", F.coalesce("near", "largest").alias("total"), "line_items", F.coalesce("broken", F.when(failed, F.lit(NO_TOTAL))).alias("error"),
         "n_elements", "average_confidence", "vendor",
     )
 
@@ -70,12 +73,16 @@ def receipts(elements: DataFrame) -> DataFrame:
 
 
 def receipts_detailed(elements: DataFrame, items: int = 5) -> DataFrame:
-    """receipts with debug_info; the average confidence is rounded half to even at two places."""
+    """receipts with debug_info; the average confidence is rounded half to even at two places. A document that fails
+    keeps its row: success is false, error tells why, the rest is null."""
     info = F.struct(
         F.col("n_elements").cast("int").alias("ocr_elements_found"), F.bround(F.coalesce("average_confidence", F.lit(0.0)), 2).alias("average_confidence"),
         F.size("line_items").alias("line_items_detected"), F.coalesce("vendor", F.lit("")).alias("vendor_name"), F.slice("line_items", 1, items).alias("line_items"),
     )
-    return categories.with_category(extract(elements).where("error is null")).select("doc_id", "date", "total", "category", info.alias("debug_info"))
+    ok = F.col("error").isNull()
+    keep = lambda c, name: F.when(ok, c).alias(name)
+    fields = (keep(F.col(c), c) for c in ("date", "total", "category"))
+    return categories.with_category(extract(elements)).select("doc_id", ok.alias("success"), *fields, keep(info, "debug_info"), "error")
 
 
 def with_epoch(receipts_: DataFrame) -> DataFrame:

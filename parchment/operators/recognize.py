@@ -6,11 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .extract import with_geometry
+from .images import apply, preprocess
 from .repair import repair
 
 OUT = "doc_id string, seq int, text string, confidence double, bbox array<array<double>>, height int, width int, error string"
@@ -34,6 +36,22 @@ def easyocr_reader(options: Options) -> Reader:
     return lambda r: model.readtext(np.frombuffer(r["content"], np.uint8).reshape(r["height"], r["width"], -1).squeeze(), detail=1)
 
 
+@lru_cache(maxsize=2)
+def tesseract_reader(options: Options) -> Reader:
+    """The whole text of an image as one element; needs the pytesseract package and its program."""
+    import numpy as np
+    import pytesseract
+
+    languages = "+".join({"en": "eng", "ar": "ara"}.get(x, x) for x in options.languages)
+
+    def read(r):
+        image = np.frombuffer(r["content"], np.uint8).reshape(r["height"], r["width"], -1).squeeze()
+        box = [[0.0, 0.0], [r["width"], 0.0], [r["width"], r["height"]], [0.0, r["height"]]]
+        return [(box, pytesseract.image_to_string(image[..., ::-1] if image.ndim == 3 else image, lang=languages), 1.0)]
+
+    return read
+
+
 def recognize(images: DataFrame, reader: Callable[[Options], Reader], options: Options = Options()) -> DataFrame:
     """Elements of image rows; an image that can't be read gives one row with error and no text."""
 
@@ -59,12 +77,36 @@ def recognize(images: DataFrame, reader: Callable[[Options], Reader], options: O
     return images.select("path", "height", "width", "channels", "content").mapInArrow(run, OUT)
 
 
-def elements(images: DataFrame, reader, options: Options = Options()) -> DataFrame:
-    """recognize, box geometry and, if asked for, repair; failed images are left out."""
-    out = with_geometry(recognize(images, reader, options).where("error is null")).drop("height", "width", "error")
+def prepared(images: DataFrame, step: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    """Images after a preprocessing step; where it fails, and where there is none, the image as it was read."""
+    return apply(images, lambda image: safely(step, image)) if step else images
+
+
+def safely(step: Callable[[np.ndarray], np.ndarray], image: np.ndarray) -> np.ndarray:
+    try:
+        return step(image)
+    except Exception:  # the step is meant to help recognition; the raw image still can be read
+        return image
+
+
+def elements(images: DataFrame, reader, options: Options = Options(), step: Callable[[np.ndarray], np.ndarray] | None = preprocess, keep_failed: bool = False) -> DataFrame:
+    """Preprocessing, recognize, box geometry and, if asked for, repair. keep_failed keeps a failed image as one row with
+    `error` and no text; else such rows, and the column, are left out."""
+    out = with_geometry(recognize(prepared(images, step), reader, options)).drop("height", "width")
+    out = out if keep_failed else out.where("error IS NULL").drop("error")
     return repair(out) if options.post_process else out
 
 
+def texts(images: DataFrame, reader, options: Options = Options(), step: Callable[[np.ndarray], np.ndarray] | None = None, name: str = "easyocr") -> DataFrame:
+    """(path, engine, text, error) of each image: the engine's texts in order, a line each, or why there is none."""
+    found = recognize(prepared(images, step), reader, options)
+    lines = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("seq", "text"))))["text"]
+    rows = found.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"), F.max("error").alias("error"))
+    out = images.select("path").join(rows, F.col("path") == F.col("doc_id"), "left")
+    text = F.when(F.col("error").isNull(), F.coalesce("text", F.lit("")))
+    return out.select("path", F.lit(name).alias("engine"), text.alias("text"), "error")
+
+
 def overlays(elements_: DataFrame) -> DataFrame:
     """What to draw over an image: the box's points and a label of the first 20 characters with the confidence."""
     return elements_.select("doc_id", "seq", F.col("bbox").alias("points"), F.format_string("%s (%.2f)", F.substring("text", 1, 20), "confidence").alias("label"))

@@ -38,6 +38,17 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Fixed values, written out here apart from the functions' own, so that a wrong one there shows.
+DATE_WORDS = ("date", "dated", "invoice date", "bill date", "تاريخ", "بتاريخ", "التاريخ", "تاريخ الطباعة")
+TOTAL_WORDS = ("total", "grand total", "net total", "amount due", "المجموع", "الإجمالي", "المبلغ", "الكلي", "المطلوب", "المبلغ المستحق", "الصافي")
+DATE_PATTERNS = (r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b", r"\b\d{1,2}[-/]\d{1,2}[-/]\d{4}\b", r"\b\d{1,2}[-/]\d{1,2}[-/]\d{2}\b")
+NO_TOTAL = "max() iterable argument is empty"
+LIKE_WORDS = (
+    "total", "subtotal", "vat", "tax", "item", "sales", "cash", "paid", "change", "receipt", "order", "date", "print", "server", "pepsi", "cola", "opened", "closed",
+)
+MISREAD = {"totهl": "total", "tothal": "total", "totاl": "total", "subt0tal": "subtotal", "sub-total": "subtotal", "٧at": "vat", "vاt": "vat"}
+
+
 def any_sql(text: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(lower({text}), {quoted(w)})" for w in words) + ")"
 
@@ -50,7 +61,7 @@ def amount_sql(text: str) -> str:
 
 
 def date_sql(text: str) -> str:
-    found = "coalesce(" + ", ".join(rf"nullif(regexp_extract({text}, '{p.removeprefix('(?U)')}'), '')" for p in (P.YEAR_FIRST, P.YEAR_LAST, P.SHORT_YEAR)) + ")"
+    found = "coalesce(" + ", ".join(rf"nullif(regexp_extract({text}, '{p}'), '')" for p in DATE_PATTERNS) + ")"
     found = f"replace({found}, '/', '-')"
     tried = ", ".join(f"strftime(try_strptime({found}, '{f}'), '%Y-%m-%d')" for f in ("%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y"))
     return rf"""(CASE WHEN regexp_matches({found}, '^\d{{1,2}}-\d{{1,2}}-\d\d$') THEN coalesce(strftime(try_strptime({found}, '%d-%m-%y'), '%Y-%m-%d'),
@@ -58,11 +69,11 @@ def date_sql(text: str) -> str:
 
 
 def item_sql(text: str) -> str:
-    return rf"(length(trim({text})) >= 3 AND NOT {any_sql(text, P.TOTAL_KEYWORDS + P.DATE_KEYWORDS)} AND NOT regexp_matches(trim({text}), '^[\d.,\s]+$') AND NOT regexp_matches(trim({text}), '(?i)^[EGP$£€]'))"
+    return rf"(length(trim({text})) >= 3 AND NOT {any_sql(text, TOTAL_WORDS + DATE_WORDS)} AND NOT regexp_matches(trim({text}), '^[\d.,\s]+$') AND NOT regexp_matches(trim({text}), '(?i)^[EGP$£€]'))"
 
 
-PARSED = f"""{E}, parsed AS (
-  SELECT *, {date_sql("text")} AS date, {amount_sql("text")} AS amount, {any_sql("text", P.DATE_KEYWORDS)} AS dw, {any_sql("text", P.TOTAL_KEYWORDS)} AS tw, {item_sql("text")} AS it FROM e
+FIELDS = f"""parsed AS (
+  SELECT *, {date_sql("text")} AS date, {amount_sql("text")} AS amount, {any_sql("text", DATE_WORDS)} AS dw, {any_sql("text", TOTAL_WORDS)} AS tw, {item_sql("text")} AS it FROM e
 ), near AS (
   SELECT *, lead(amount) OVER (PARTITION BY doc_id ORDER BY seq) AS next_amount FROM parsed
 ), kw_dates AS (
@@ -78,7 +89,7 @@ PARSED = f"""{E}, parsed AS (
   FROM near GROUP BY 1
 ), extracted AS (
   SELECT f.doc_id, coalesce(k.date, any_date) AS date, coalesce(c.best.amount, largest) AS total, line_items, n_elements, average_confidence, vendor, any_date, k.date AS kw_date, c.best AS best, largest, n_amounts,
-    CASE WHEN c.best IS NULL AND n_amounts > 0 AND largest IS NULL THEN '{extract.NO_TOTAL}' END AS error
+    CASE WHEN c.best IS NULL AND n_amounts > 0 AND largest IS NULL THEN '{NO_TOTAL}' END AS error
   FROM fields f LEFT JOIN kw_dates k USING (doc_id) LEFT JOIN candidates c USING (doc_id)
 ), terms AS (
   SELECT * FROM (VALUES {", ".join(f"({quoted(c)}, {o}, {quoted(t)}, {w})" for c, o, _, t, w in C.terms())}) t(category, ord, term, weight)
@@ -90,8 +101,8 @@ PARSED = f"""{E}, parsed AS (
 )"""
 
 
-def of(rows: str) -> str:
-    return f"WITH {PARSED} {rows}"
+def of(rows: str, elements: str = E) -> str:
+    return f"WITH {elements}, {FIELDS} {rows}"
 
 
 # Sources and fields --------------------------------------------------------------------------------------------------
@@ -167,7 +178,7 @@ def total_fallback_error(spark, sf_dir):
     return extract.receipts(synthetic.elements(spark, sf_dir).where("seq = 0 OR text NOT LIKE '%otal%'").where("length(text) > 9 OR seq = 0")).where("NOT success").select("doc_id", "success", "error")
 
 
-SQL["total_fallback_error"] = of(f"""SELECT doc_id, false AS success, '{extract.NO_TOTAL}' AS error FROM parsed
+SQL["total_fallback_error"] = of(f"""SELECT doc_id, false AS success, '{NO_TOTAL}' AS error FROM parsed
 WHERE seq = 0 OR (text NOT LIKE '%otal%' AND length(text) > 9) GROUP BY doc_id
 HAVING count(*) FILTER (tw) = 0 AND count(*) FILTER (amount IS NOT NULL AND amount <> 0) > 0 AND count(*) FILTER (amount > 0.5 AND amount < 50000) = 0""")
 
@@ -248,18 +259,20 @@ SQL["receipts"] = of(f"SELECT {RECEIPT_FIELDS} FROM extracted JOIN chosen USING
 
 @query
 def receipts_repaired(spark, sf_dir):
-    """With repair; its texts are checked step by step by the repair queries."""
+    """With repair."""
     return pipeline.process(synthetic.elements(spark, sf_dir))
 
 
 @query
 def receipts_detailed(spark, sf_dir):
     rows = pipeline.process_with_details(synthetic.elements(spark, sf_dir), fix=False)
-    return rows.select("doc_id", "date", "total", "category", "debug_info.ocr_elements_found", F.col("debug_info.line_items_detected"), F.col("debug_info.vendor_name"), F.array_join("debug_info.line_items", "|").alias("first_items"), "debug_info.average_confidence")
+    return rows.select("doc_id", "date", "total", "category", "error", "debug_info.ocr_elements_found", F.col("debug_info.line_items_detected"), F.col("debug_info.vendor_name"), F.array_join("debug_info.line_items", "|").alias("first_items"), "debug_info.average_confidence")
 
 
-SQL["receipts_detailed"] = of("""SELECT doc_id, date, total, category, n_elements::INT AS ocr_elements_found, len(line_items)::INT AS line_items_detected, vendor AS vendor_name,
-  array_to_string(line_items[1:5], '|') AS first_items, round_even(average_confidence, 2) AS average_confidence FROM extracted JOIN chosen USING (doc_id) WHERE error IS NULL""")
+SQL["receipts_detailed"] = of("""SELECT doc_id, error, COLUMNS(* EXCLUDE (doc_id, error)) FROM (SELECT doc_id, error, CASE WHEN error IS NULL THEN date END AS date, CASE WHEN error IS NULL THEN total END AS total,
+  CASE WHEN error IS NULL THEN category END AS category, CASE WHEN error IS NULL THEN n_elements::INT END AS ocr_elements_found, CASE WHEN error IS NULL THEN len(line_items)::INT END AS line_items_detected,
+  CASE WHEN error IS NULL THEN vendor END AS vendor_name, CASE WHEN error IS NULL THEN array_to_string(line_items[1:5], '|') END AS first_items,
+  CASE WHEN error IS NULL THEN round_even(average_confidence, 2) END AS average_confidence FROM extracted JOIN chosen USING (doc_id))""")
 
 
 @query
@@ -299,6 +312,21 @@ def response_json(spark, sf_dir):
     return pipeline.responses(synthetic.elements(spark, sf_dir), fix=False)
 
 
+SQL["response_json"] = of("""SELECT doc_id, CASE WHEN error IS NULL THEN 200 ELSE 500 END::INT AS status, CASE WHEN error IS NULL THEN '{"success":true,"data":{' ||
+  concat_ws(',', '"date":"' || date || '"', '"total":' || total::VARCHAR, '"category":"' || category || '"', '"date_epoch_ms":' || epoch_ms(strptime(date, '%Y-%m-%d'))::VARCHAR) || '},"filename":"' || doc_id || '"}'
+  ELSE '{"success":false,"filename":"' || doc_id || '","error":"' || error || '"}' END AS json FROM extracted JOIN chosen USING (doc_id)""")
+
+
+@query
+def response_detailed(spark, sf_dir):
+    rows = pipeline.responses_detailed(synthetic.elements(spark, sf_dir).where("seq < 4"), fix=False)
+    return rows.select("doc_id", "status", F.get_json_object("json", "$.data.debug_info.vendor_name").alias("vendor"), F.get_json_object("json", "$.data.debug_info.ocr_elements_found").cast("int").alias("found"), F.get_json_object("json", "$.error").alias("error"))
+
+
+SQL["response_detailed"] = of("""SELECT doc_id, CASE WHEN error IS NULL THEN 200 ELSE 500 END::INT AS status, CASE WHEN error IS NULL THEN vendor END AS vendor,
+  CASE WHEN error IS NULL THEN n_elements END::INT AS found, error FROM extracted""", f"all_e AS ({synthetic.elements_sql('duckdb')}), e AS (SELECT * FROM all_e WHERE seq < 4)")
+
+
 @query
 def file_ext_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))).alias("name")).withColumn("ok", P.is_image_name(F.col("name")))
@@ -323,18 +351,67 @@ def _cases(spark):
     return spark.createDataFrame(list(enumerate(CASES)), "id int, text string")
 
 
-def _turns(spark, sf_dir, text):
-    talk = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("id"), text.alias("text"))
+def _turns(spark, sf_dir):
+    """The conversations' turns, whole, and the fixed cases: as in TURNS."""
+    talk = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("id"), "text")
     return _cases(spark).unionByName(talk)
 
 
-def _words(spark, sf_dir):
-    """First words of the conversations' turns, and the fixed cases: as in WORDS."""
-    return _turns(spark, sf_dir, F.substring_index("text", " ", 3))
+TURNS = f"w AS ({REPAIR_INPUT} UNION ALL SELECT (conv_id * 1000 + turn)::INT, text FROM conversations)"
+ASCII_DIGITS = "'٠١٢٣٤٥٦٧٨٩', '0123456789'"
+LATIN = r"length(regexp_replace(text, '[^\x{0}-\x{5FF}]', '', 'g'))"
+ARABIC = r"length(regexp_replace(text, '[^\x{600}-\x{6FF}]', '', 'g'))"
+#: What Unicode counts as white space; RE2's \s is ASCII.
+ANY_SPACE = r"[\s\x0B\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _numbers_sql(text: str) -> str:
+    for letters, digit in (("[Oo]", "0"), ("[lI]", "1"), ("S", "5"), ("B", "8")):
+        for _ in range(2):
+            text = rf"regexp_replace({text}, '(\d){letters}(\d)', '\1{digit}\2', 'g')"
+        text = rf"regexp_replace(regexp_replace({text}, '^{letters}(\d)', '{digit}\1'), '(\d){letters}$', '\1{digit}')"
+    return text
+
+
+def _cased(word: str) -> str:
+    return f"CASE WHEN text = upper(text) AND text <> lower(text) THEN '{word.upper()}' WHEN left(text, 1) = upper(left(text, 1)) AND left(text, 1) <> lower(left(text, 1)) THEN '{word.capitalize()}' ELSE '{word}' END"
+
+
+def _similar(word: str) -> str:
+    same = " + ".join(f"(substring(lower(text), {i + 1}, 1) = '{c}')::INT" for i, c in enumerate(word))
+    return f"(text <> '' AND ({same}) / greatest(length(text), {len(word)})::DOUBLE >= 0.7)"
+
+
+def _digits(text: str) -> str:
+    return f"translate({text}, {ASCII_DIGITS})"
 
 
-WORDS = f"w AS ({REPAIR_INPUT} UNION ALL SELECT (conv_id * 1000 + turn)::INT, array_to_string(string_split(text, ' ')[1:3], ' ') FROM conversations)"
-ARABIC_TO_DIGITS = f"'{R.ARABIC_DIGITS}', '{R.DIGITS}'"
+#: Each step as expressions of `text` that are done one after the other.
+STEP_SQL = {
+    "cleaned": [rf"trim(regexp_replace(regexp_replace(text, '[\x{{200B}}\x{{200C}}\x{{200D}}]', '', 'g'), '{ANY_SPACE}', ' ', 'g'))"],
+    "script": [rf"""CASE WHEN regexp_matches(text, '[0-9٠-٩]+[.,][0-9٠-٩]+') THEN translate(text, '٧٤؟G', 'VE)E')
+      WHEN regexp_matches(text, '[0-9]') OR text = '' OR {LATIN} > length(text) / 2.0 THEN translate(text, 'ه٧٤لا؟G', 'aVElI)E')
+      WHEN {ARABIC} > length(text) / 2.0 THEN translate(text, 'aIVE', 'اا٧٤') ELSE text END"""],
+    "dates": [r"regexp_replace(regexp_replace(regexp_replace(text, '202[&\-_=]', '2022', 'g'), '(\d{2})[-–—](\d{2})[-–—](\d{4})', '\1-\2-\3', 'g'), '(\d{2}-\d{2}-202)o', '\10', 'g')"],
+    "numbers": [rf"""CASE WHEN regexp_matches(text, '^[٤E٥٦٧٨٩][A-Za-zا-ي؟\)]{{1,3}}$') THEN text WHEN regexp_matches({_digits("text")}, '\d') THEN {_numbers_sql(_digits("text"))} ELSE {_digits("text")} END"""],
+    "currency": [
+        rf"""CASE WHEN upper(text) = 'EGP' OR starts_with(upper(text), 'EGP ') THEN chr(1) || text
+      ELSE {_digits(r"regexp_replace(text, '(?i)(?:[٤E][0O6oGgق\[]?[Pp؟)]+|E+P|\b[0O6][Pp]|\[[0O6]?[Pp])(\s|$|\d)', 'EGP\1', 'g')")} END""",
+        r"""CASE WHEN starts_with(text, chr(1)) THEN text[2:] ELSE regexp_replace(
+      CASE WHEN upper(text) = 'EGP' THEN text ELSE regexp_replace(text, '(?i)\b(?:EGE|EGت|EG؟|EGف|EEP|E6P|E0P|EOP|\[6P|\[0P)\b', 'EGP', 'g') END, '\[(\d)', 'EGP \1', 'g') END""",
+    ],
+    "words": [
+        f"CASE {' '.join(f'WHEN {_similar(w)} THEN {_cased(w)}' for w in LIKE_WORDS)} ELSE text END",
+        f"CASE WHEN text IN ('ILEI', 'ILEII') THEN 'Q' {' '.join(f'WHEN lower(text) = {quoted(a)} THEN {_cased(b)}' for a, b in MISREAD.items())} ELSE text END",
+    ],
+}
+
+
+def repair_sql(source: str, out: str, steps: tuple[str, ...] = R.STEPS) -> str:
+    """CTEs that do the steps on the column text of the table `source`, the last of them named `out`."""
+    done = [x for s in steps for x in STEP_SQL[s]]
+    names = [source, *(f"{out}_{i}" for i in range(len(done) - 1)), out]
+    return ", ".join(f"{b} AS MATERIALIZED (SELECT * REPLACE ({x} AS text) FROM {a})" for a, b, x in zip(names, names[1:], done, strict=False))
 
 
 @query
@@ -345,19 +422,27 @@ def clean_ws(spark, sf_dir):
 
 SQL["clean_ws"] = r"SELECT conv_id, turn, trim(regexp_replace('  ' || replace(text, ' ', chr(9)) || ' ' || chr(10) || ' x ', '\s+', ' ', 'g')) AS text FROM conversations"
 
+#: Texts and what NFKC and the cleaning make of them.
+NORMAL_FORMS = {"ﷲ": "الله", "²": "2", "ＡＢＣ１": "ABC1", "﷼ 5": "ریال 5", "é": "é", "plain": "plain", "": ""}
+
 
 @query
 def nfkc(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(("ﷲ", "²", "ＡＢＣ１", "﷼ 5", "é", "plain", ""))], "doc_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(NORMAL_FORMS)), "doc_id long, text string")
     both = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(rows)
     return both.select("doc_id", R.clean_text(F.col("text")).alias("text"))
 
 
+SQL["nfkc"] = f"""SELECT * FROM (VALUES {", ".join(f"({i}::BIGINT, {quoted(x)})" for i, x in enumerate(NORMAL_FORMS.values()))}) v(doc_id, text)
+UNION ALL SELECT doc_id, {STEP_SQL["cleaned"][0]} FROM documents"""
+
+
 def _step(name, *steps):
     def run(spark, sf_dir):
-        return R.repaired(_words(spark, sf_dir), "text", steps=steps)
+        return R.repaired(_turns(spark, sf_dir), "text", steps=steps)
 
     run.__name__ = name
+    SQL[name] = f"WITH {TURNS}, {repair_sql('w', 'r', steps)} SELECT id, text FROM r"
     return query(run)
 
 
@@ -367,62 +452,30 @@ _step("fix_numbers", "numbers")
 _step("fix_currency", "currency")
 _step("common_words", "words")
 
-LATIN = r"length(regexp_replace(text, '[^\x{0}-\x{5FF}]', '', 'g'))"
-ARABIC = r"length(regexp_replace(text, '[^\x{600}-\x{6FF}]', '', 'g'))"
-SQL["mixed_script"] = rf"""WITH {WORDS} SELECT id, CASE WHEN regexp_matches(text, '[0-9٠-٩]+[.,][0-9٠-٩]+') THEN translate(text, '{R.ARABIC_CONFUSED_IN_AMOUNTS}', '{R.ENGLISH_MEANT_IN_AMOUNTS}')
-WHEN regexp_matches(text, '[0-9]') OR text = '' OR {LATIN} > length(text) / 2.0 THEN translate(text, '{R.ARABIC_CONFUSED}', '{R.ENGLISH_MEANT}')
-WHEN {ARABIC} > length(text) / 2.0 THEN translate(text, '{R.ENGLISH_CONFUSED}', '{R.ARABIC_MEANT}') ELSE text END AS text FROM w"""
-SQL["fix_dates"] = rf"""WITH {WORDS} SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '202[&\-_=]', '2022', 'g'), '(\d{{2}})[-–—](\d{{2}})[-–—](\d{{4}})', '\1-\2-\3', 'g'), '(\d{{2}}-\d{{2}}-202)o', '\10', 'g') AS text FROM w"""
-
-
-def _numbers_sql(text: str) -> str:
-    for letters, digit in (("[Oo]", "0"), ("[lI]", "1"), ("S", "5"), ("B", "8")):
-        for _ in range(2):
-            text = rf"regexp_replace({text}, '(\d){letters}(\d)', '\1{digit}\2', 'g')"
-        text = rf"regexp_replace(regexp_replace({text}, '^{letters}(\d)', '{digit}\1'), '(\d){letters}$', '\1{digit}')"
-    return text
-
-
-SQL["fix_numbers"] = rf"""WITH {WORDS}, d AS (SELECT id, text AS raw, translate(text, {ARABIC_TO_DIGITS}) AS text FROM w)
-SELECT id, CASE WHEN regexp_matches(raw, '^[٤E٥٦٧٨٩][A-Za-zا-ي؟\)]{{1,3}}$') THEN raw WHEN regexp_matches(text, '\d') THEN {_numbers_sql("text")} ELSE text END AS text FROM d"""
-SQL["fix_currency"] = rf"""WITH {WORDS}, s AS (
-  SELECT id, text AS raw, translate(regexp_replace(text, '(?i)(?:[٤E][0O6oGgق\[]?[Pp؟)]+|E+P|\b[0O6][Pp]|\[[0O6]?[Pp])(\s|$|\d)', 'EGP\1', 'g'), {ARABIC_TO_DIGITS}) AS seen FROM w
-) SELECT id, CASE WHEN upper(raw) = 'EGP' OR starts_with(upper(raw), 'EGP ') THEN raw ELSE regexp_replace(
-  CASE WHEN upper(seen) = 'EGP' THEN seen ELSE regexp_replace(seen, '(?i)\b(?:{"|".join(R.CODES)})\b', 'EGP', 'g') END, '\[(\d)', 'EGP \1', 'g') END AS text FROM s"""
-
-
-def _cased(word: str) -> str:
-    return f"CASE WHEN text = upper(text) AND text <> lower(text) THEN '{word.upper()}' WHEN left(text, 1) = upper(left(text, 1)) AND left(text, 1) <> lower(left(text, 1)) THEN '{word.capitalize()}' ELSE '{word}' END"
-
-
-def _similar(word: str) -> str:
-    same = " + ".join(f"(substring(lower(text), {i + 1}, 1) = '{c}')::INT" for i, c in enumerate(word))
-    return f"(text <> '' AND ({same}) / greatest(length(text), {len(word)})::DOUBLE >= {R.SIMILAR})"
-
-
-SQL["common_words"] = f"""WITH {WORDS}, k AS (SELECT id, CASE {" ".join(f"WHEN {_similar(w)} THEN {_cased(w)}" for w in R.KEYWORDS)} ELSE text END AS text FROM w)
-SELECT id, CASE {" ".join(f"WHEN text = '{a}' THEN '{b}'" for a, b in R.MISREAD_EXACT.items())} {" ".join(f"WHEN lower(text) = '{a}' THEN {_cased(b)}" for a, b in R.MISREAD.items())} ELSE text END AS text FROM k"""
-
 
 @query
 def fuzzy_match(spark, sf_dir):
-    return _words(spark, sf_dir).select("id", *(R.fuzzy_match(F.lower("text"), w).alias(f"like_{w}") for w in ("total", "subtotal", "date", "server")))
+    return _turns(spark, sf_dir).select("id", *(R.fuzzy_match(F.lower("text"), w).alias(f"like_{w}") for w in ("total", "subtotal", "date", "server")))
 
 
-SQL["fuzzy_match"] = f"WITH {WORDS} SELECT id, " + ", ".join(f"{_similar(w)} AS like_{w}" for w in ("total", "subtotal", "date", "server")) + " FROM w"
+SQL["fuzzy_match"] = f"WITH {TURNS} SELECT id, " + ", ".join(f"{_similar(w)} AS like_{w}" for w in ("total", "subtotal", "date", "server")) + " FROM w"
 
 
 @query
 def script_ratio(spark, sf_dir):
-    return _words(spark, sf_dir).select("id", R.mostly_latin(F.col("text")).alias("latin"), R.mostly_arabic(F.col("text")).alias("arabic"))
+    return _turns(spark, sf_dir).select("id", R.mostly_latin(F.col("text")).alias("latin"), R.mostly_arabic(F.col("text")).alias("arabic"))
 
 
-SQL["script_ratio"] = f"WITH {WORDS} SELECT id, text = '' OR {LATIN} > length(text) / 2.0 AS latin, text <> '' AND {ARABIC} > length(text) / 2.0 AS arabic FROM w"
+SQL["script_ratio"] = f"WITH {TURNS} SELECT id, text = '' OR {LATIN} > length(text) / 2.0 AS latin, text <> '' AND {ARABIC} > length(text) / 2.0 AS arabic FROM w"
 
 
 @query
 def repair_all(spark, sf_dir):
-    return repair.repair(_turns(spark, sf_dir, F.col("text")))
+    return repair.repair(_turns(spark, sf_dir))
+
+
+SQL["repair_all"] = f"WITH {TURNS}, t AS (SELECT id, text, text AS original_text FROM w), {repair_sql('t', 'r')} SELECT * FROM r"
+SQL["receipts_repaired"] = of(f"SELECT {RECEIPT_FIELDS} FROM extracted JOIN chosen USING (doc_id)", f"made AS ({synthetic.elements_sql('duckdb')}), {repair_sql('made', 'e')}")
 
 
 # Images and evaluation -----------------------------------------------------------------------------------------------

@@ -17,10 +17,13 @@ def stem(path):
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images as path, height, width, channels, content (blue, green, red); files that don't decode are dropped."""
-    raw = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", ANY_IMAGE).load(path)
-    return raw.select("image.*").select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), F.col("data").alias("content"))
+def images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Decoded images as path, height, width, channels, content (blue, green, red); a file that doesn't decode keeps its
+    row, with null content."""
+    raw = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", ANY_IMAGE).load(path)
+    found = F.col("height") > 0
+    at = (F.when(found, F.col(c)).alias(name) for c, name in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "content")))
+    return raw.select("image.*").select(F.col("origin").alias("path"), *at)
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +60,12 @@ def write_json(receipts: DataFrame, path: str) -> None:
     receipts.write.option("ignoreNullFields", False).json(path)
 
 
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """All rows as one JSON array in one file under `path`, for a batch of documents whose result one task can hold."""
+    body = F.concat(F.lit("[\n  "), F.array_join(F.collect_list(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})), ",\n  "), F.lit("\n]"))
+    rows.agg(body.alias("value")).coalesce(1).write.text(path)
+
+
 def as_json(receipts: DataFrame) -> DataFrame:
     """(doc_id, json) for per-document files or responses."""
     return receipts.select("doc_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

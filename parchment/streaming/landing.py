@@ -1,4 +1,4 @@
-"""Extension: a landing folder of element files or images, worked on as they arrive by the batch pipeline."""
+"""Extension: a landing folder of element files, worked on as they arrive by the batch pipeline."""
 
 from __future__ import annotations
 

@@ -28,7 +28,7 @@ AMOUNTS = {
 DATES = {
     "2022/09/27": "2022-09-27", "27-09-2022": "2022-09-27", "09-27-2022": "2022-09-27", "05-06-2022": "2022-06-05", "27-09-22": "2022-09-27",
     "32-09-27": "2032-09-27", "09-27-22": None, "01-02-69": "1969-02-01", "01-02-68": "2068-02-01", "2022-13-01": None, "29-02-2023": None, "29/02/2024": "2024-02-29",
-    "x 2022-9-7 y": "2022-09-07", "no": None, "2022-13-01 27-09-2022": None, "1-2-0999": "999-02-01", "0000-01-01": None,
+    "x 2022-9-7 y": "2022-09-07", "٢٠٢٢-٠٩-٢٧": None, "27-09-٢٠٢٢": "2022-09-27", "٢٧-09-2022": None, "no": None, "2022-13-01 27-09-2022": None, "1-2-0999": "999-02-01", "0000-01-01": None,
 }
 REPAIRED = {
     "27-09-202&": "27-09-2022", "Totهl": "Total", "٧AT": "VAT", "٤G؟)": "EGP", "ILEI": "Q", "(22.75": "(22.75", "Receipt dac27- TW:2022-1=222-_": "Receipt dac27- TW:2022-1=222-_",
@@ -136,9 +136,86 @@ def test_files_and_recognition(spark, tmp_path):
 
     found = recognize.recognize(rows, reader).orderBy("doc_id", "seq").collect()
     assert [(r.doc_id, r.text, r.error is None) for r in found] == [("bad", None, False), ("good", "Total", True), ("good", "5.00", True)]
-    done = recognize.elements(rows, reader).orderBy("seq").collect()
+    done = recognize.elements(rows, reader, step=None).orderBy("seq").collect()
     assert [(r.center.x, r.center.y, r.normalized_center.x) for r in done] == [(0, 0, 0.0), (1, 0, 0.5)]
-    assert [r.label for r in recognize.overlays(recognize.elements(rows, reader)).orderBy("seq").collect()] == ["Total (0.90)", "5.00 (0.80)"]
+    assert [r.label for r in recognize.overlays(recognize.elements(rows, reader, step=None)).orderBy("seq").collect()] == ["Total (0.90)", "5.00 (0.80)"]
+
+
+def png(pixels):
+    """A grey image as a PNG file."""
+    import struct
+    import zlib
+
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + bytes(row) for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def test_from_images_to_receipts(spark, tmp_path):
+    """Files to rows: a receipt, an image in which nothing is found, one on which the engine fails, one that can't be read."""
+    for name, shade in (("good.png", 10), ("empty.png", 20), ("fails.PNG", 30)):
+        (tmp_path / name).write_bytes(png([[shade] * 40] * 30))
+    (tmp_path / "broken.jpg").write_bytes(b"no image")
+
+    def reader(options):
+        def read(r):
+            assert (r["channels"], r["width"]) == (1, 1000)  # preprocessed
+            shade = round(sum(r["content"]) / len(r["content"]))
+            if "fails" in r["path"]:
+                raise RuntimeError("engine broke")
+            return [] if "empty" in r["path"] else [([[0, 0], [9, 0], [9, 9], [0, 9]], t, 0.5) for t in SAMPLE] if shade >= 0 else None
+
+        return read
+
+    names = sorted(str(tmp_path / n) for n in ("good.png", "empty.png", "fails.PNG", "broken.jpg"))
+    out = {r.file.rsplit("/", 1)[1]: r for r in pipeline.process_paths(spark, names, reader).collect()}
+    assert (out["good.png"].success, out["good.png"].date, out["good.png"].total, out["good.png"].category) == (True, "2022-09-27", 22.75, "Dining Out")
+    assert (out["empty.png"].success, out["empty.png"].total, out["empty.png"].category) == (True, None, "Other")
+    assert (out["fails.PNG"].success, out["fails.PNG"].error) == (False, "engine broke") and not out["broken.jpg"].success and "Could not read image" in out["broken.jpg"].error
+    total = extract.batch_summary(pipeline.process_paths(spark, names, reader)).first()
+    assert (total.total, total.success, total.failed) == (4, 2, 2)
+    detail = {r.doc_id.rsplit("/", 1)[1]: r for r in pipeline.from_images(files.images(spark, str(tmp_path)), reader, detailed=True).collect()}
+    assert detail["good.png"].debug_info.vendor_name == "Tabali" and detail["broken.jpg"].error and detail["empty.png"].debug_info.ocr_elements_found == 0
+    files.write_json_array(pipeline.process_paths(spark, names, reader), f"{tmp_path}/batch")
+    import json
+
+    (part,) = (tmp_path / "batch").glob("part-*")
+    assert sorted(r["success"] for r in json.loads(part.read_text())) == [False, False, True, True]
+
+
+def test_responses_by_name(spark):
+    import json
+
+    docs = {"a.png": SAMPLE, "b.gif": SAMPLE, "high.jpg": ["99,999.00"]}
+    for answers, key in ((pipeline.responses, "date_epoch_ms"), (pipeline.responses_detailed, "debug_info")):
+        rows = {r.doc_id: (r.status, json.loads(r.json)) for r in answers(elements(spark, docs), fix=False, check_names=True).collect()}
+        assert {k: v[0] for k, v in rows.items()} == {"a.png": 200, "b.gif": 400, "high.jpg": 500}
+        assert key in rows["a.png"][1]["data"] and rows["b.gif"][1]["error"] == pipeline.NOT_AN_IMAGE and rows["high.jpg"][1]["error"] == extract.NO_TOTAL
+
+
+def test_compare_engines(spark, tmp_path):
+    for split in files.SPLITS:
+        (tmp_path / split).mkdir()
+        for name in ("a", "b"):
+            (tmp_path / split / f"{name}.png").write_bytes(png([[200] * 20] * 20))
+        (tmp_path / split / "a.txt").write_text("Total 5\n")
+
+    def good(options):
+        return lambda r: [([[0, 0]] * 4, "Total", 0.9), ([[0, 0]] * 4, "5", 0.9)]
+
+    def bad(options):
+        def read(r):
+            raise RuntimeError("no engine")
+
+        return read
+
+    out = pipeline.compare_engines(spark, str(tmp_path), {"easyocr": good, "pytesseract": bad}, step=None)
+    rows = out.collect()
+    assert sorted(r.split for r in rows) == sorted(files.SPLITS) and all((r.image, r.better, r.easyocr.cer, r.pytesseract.cer, r.pytesseract.error) == ("a", "easyocr", 0.0, 1.0, "no engine") for r in rows)
+    import json
+
+    lines = [json.loads(r.json) for r in evaluate.report_lines(out).collect()]
+    assert lines[0] == {"total_images": 3, "easyocr_mean_cer": 0.0, "pytesseract_mean_cer": 1.0, "easyocr_better": 3, "pytesseract_better": 0} and [x["split"] for x in lines[1:]] == ["test", "train", "val"]
 
 
 def test_images():
@@ -168,6 +245,8 @@ def test_evaluation(spark):
     assert [out[k].easyocr.cer for k in "abc"] == [0.0, 0.0, 1.0] and out["c"].easyocr.text == "ERROR" and out["a"].better == "pytesseract"
     stats = {r.engine: r for r in evaluate.summary(evaluate.compare(truth, guesses)).collect()}
     assert stats["easyocr"].n == 3 and stats["easyocr"].median_cer == 0.0 and stats["easyocr"].mean_cer == pytest.approx(1 / 3)
+    alone = evaluate.compare(truth, guesses.where("engine = 'easyocr'")).where("image = 'a'").first()
+    assert (alone.easyocr.cer, alone.pytesseract.cer, alone.pytesseract.error, alone.better) == (0.0, 1.0, evaluate.NOT_RUN, "easyocr")
     none = evaluate.winner(evaluate.compare(truth.where("false"), guesses)).first()
     assert (none.total_images, none.easyocr_mean_cer, none.winner) == (0, 0.0, "pytesseract")
 
