@@ -7,10 +7,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sum, stored, text_or_empty
-
-#: Items that the packing sees at most, whatever the number of groups: see `pack`.
-MOST_ITEMS = 60_000
+from .common import joined, prefix_sum, small, stored, text_or_empty
 
 
 class BinTree:
@@ -60,76 +57,88 @@ class BinTree:
         return high
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item, sizes descending. Items above the capacity get a bin of their own."""
+#: A size and how many groups have it.
+Class = tuple[int, int]
+
+
+def best_fit_decreasing(classes: list[Class], capacity: int) -> list[tuple[int, int, int]]:
+    """(size, bin, count): how many groups of each size enter which bin; sizes descending, so is the result.
+
+    The tightest bin for a group remains the tightest for the next of the same size while it has room, so a bin takes
+    as many of a class at once as fit: the result is that of placing groups one by one. Groups above the capacity get
+    a bin of their own.
+    """
     tree, bins, out = BinTree(), 0, []
-    for size in sizes:
-        found = tree.take(size)
-        left, k = found or (max(capacity, size), bins)
-        bins += found is None
-        tree.insert((left - size, k))
-        out.append(k)
+    for size, count in classes:
+        while count:
+            found = tree.take(size)
+            left, k = found or (max(capacity, size), bins)
+            bins += found is None
+            n = min(count, left // size)
+            tree.insert((left - n * size, k))
+            out.append((size, k, n))
+            count -= n
     return out
 
 
-def pack(sizes: list[int], shards: int, steps: int = 12) -> list[int]:
-    """Bins 0 to shards-1 for items of descending size: the smallest capacity, by bisection, that needs no more bins.
+def pack(classes: list[Class], shards: int, steps: int = 12) -> list[tuple[int, int, int]]:
+    """(size, bin, count) with bins 0 to shards-1 for classes of descending size: the smallest capacity, by bisection,
+    that needs no more bins.
 
-    An item above an even share keeps a bin to itself and the rest share the other bins evenly.
+    A group above an even share keeps a bin to itself and the rest share the other bins evenly.
     """
-    alone, rest = 0, sum(sizes)
-    while alone < shards - 1 and alone < len(sizes) and sizes[alone] * (shards - alone) > rest:
-        rest -= sizes[alone]
-        alone += 1
-    items, bins = sizes[alone:], shards - alone
-    low = max([-(-rest // bins), *items[:1]])
-    best = best_fit_decreasing(items, low)
-    if max(best, default=0) >= bins:
-        high, best = low + max([1, *items[:1]]), None
-        while best is None or max(best) >= bins:
-            best, high = best_fit_decreasing(items, high), high + max(1, rest // bins // 8)
+    alone, rest, classes = [], sum(s * n for s, n in classes), list(classes)
+    while classes and len(alone) < shards - 1 and classes[0][0] * (shards - len(alone)) > rest:
+        size, count = classes[0]
+        alone.append((size, len(alone), 1))
+        rest -= size
+        classes[:1] = [(size, count - 1)] if count > 1 else []
+    if not classes:
+        return alone
+    used = lambda placed: 1 + max(k for _, k, _ in placed)
+    bins, most = shards - len(alone), classes[0][0]
+    low = max(-(-rest // bins), most)
+    best = best_fit_decreasing(classes, low)
+    if used(best) > bins:
+        high = low + most
+        while used(best := best_fit_decreasing(classes, high)) > bins:
+            high += max(1, rest // bins // 8)
         for _ in range(steps):
             middle = (low + high) // 2
-            tried = best_fit_decreasing(items, middle)
-            if max(tried, default=0) < bins:
+            tried = best_fit_decreasing(classes, middle)
+            if used(tried) <= bins:
                 best, high = tried, middle
             else:
                 low = middle
             if high - low <= max(1, rest // bins // 10_000):
                 break
-    return [*range(alone), *(alone + b for b in best)]
-
-
+    return alone + [(size, k + len(alone), n) for size, k, n in best]
 
 
 def bin_pack(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id_col, size, text_crc32, law ('bytes'), shard (0 to shards-1), slot, grown_shard (null).
 
     Sizes are UTF-8 bytes of the text (null: none) plus 1. Documents of equal texts (null counts as empty) form a
-    group that stays whole. Groups are summed before any shuffle of theirs completes, so a group with a third of the
-    rows is one item. Groups of at least 1/MOST_ITEMS of all bytes are items; the many smaller ones are first pooled
-    by hash into at most MOST_ITEMS/2 pools, so the packing has at most 1.5 * MOST_ITEMS items at any input and is
-    the only step that isn't distributed. slot numbers each shard's documents from 0 in id order. A group larger than
-    an even share fills a shard alone. Repeated rows each get a slot; an empty table gives an empty result; other
-    columns of docs are ignored. Results don't depend on partitions or reruns.
+    group that stays whole. Groups are summed in partial aggregates, so a group with a third of the rows is one item.
+    Best fit needs only how many groups have which size: the driver gets one row a size, of which there are no more
+    than the longest text has bytes, and groups of a size take their places by rank, found in ranges dealt to many
+    tasks. Groups of many rows are joined by broadcast, the others by shuffle. slot numbers each shard's documents from
+    0 in id order. A group larger than an even share fills a shard alone. Ties of size are broken by the texts' hashes.
+    Repeated rows each get a slot; very long texts are only measured and hashed; an empty table gives an empty result;
+    other columns of docs are ignored. Results don't depend on partitions or reruns.
     """
-    spark = docs.sparkSession
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.lit(1)).alias("g"), F.xxhash64(F.lit(2), text).alias("g2"))
     rows = stored(rows, "sizes")
-    groups = rows.groupBy("g", "g2").agg(F.sum("size").alias("size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    least = max(1, total // MOST_ITEMS)
-    pool = F.when(F.col("size") < least, F.pmod(F.col("g2"), F.lit(MOST_ITEMS // 2)))
-    groups = stored(groups.withColumn("pool", pool), "groups")
-    pools = groups.where("pool is not null").groupBy("pool").agg(F.sum("size").alias("size")).select("size", "pool", F.lit(None).cast("long").alias("g"), F.lit(None).cast("long").alias("g2"))
-    items = groups.where("pool is null").select("size", "pool", "g", "g2").unionByName(pools).collect()
-    items.sort(key=lambda x: (-x["size"], x["pool"] or -1, x["g"] or 0, x["g2"] or 0))
-    placed = pack([x["size"] for x in items], shards) if items else []
-    schema = "pool long, g long, g2 long, shard int"
-    found = spark.createDataFrame([(x["pool"], x["g"], x["g2"], b) for x, b in zip(items, placed, strict=True)], schema)
-    of_pool = F.broadcast(found.where("pool is not null").select("pool", "shard"))
-    of_group = F.broadcast(found.where("pool is null").select("g", "g2", "shard"))
-    shard = groups.where("pool is not null").join(of_pool, "pool").select("g", "g2", "shard").unionByName(groups.where("pool is null").join(of_group, ["g", "g2"]).select("g", "g2", "shard"))
-    out = prefix_sum(rows.join(shard, ["g", "g2"]), "shard", ["doc_id", "g", "g2"], None, "slot")
+    groups = stored(rows.groupBy("g", "g2").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "groups")
+    classes = sorted(((r["size"], r["count"]) for r in groups.groupBy("size").count().collect()), reverse=True)
+    taken, places = {}, []
+    for size, k, n in pack(classes, shards):
+        start = taken.get(size, 0)
+        places.append((size, start, start + n, k))
+        taken[size] = start + n
+    plan = docs.sparkSession.createDataFrame(places, "size long, start long, stop long, shard int")
+    ranked = prefix_sum(groups, "size", ["g", "g2"], None, "rank")
+    shard = stored(ranked.join(small(plan, 32), "size").where("rank >= start AND rank < stop").select("g", "g2", "n", "shard"), "shards")
+    out = prefix_sum(joined(rows, shard, ["g", "g2"], 48), "shard", ["doc_id", "g", "g2"], None, "slot")
     return out.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
