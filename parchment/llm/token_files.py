@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from .common import shared_path, shuffle_partitions, stored, text_or_empty
 
 #: Rows beside the ids, so that a read of them touches no page of ids.
-SCHEMA = "part int, doc_id {kind}, n_tokens long, ids array<int>"
+SCHEMA = "part int, row long, doc_id {kind}, n_tokens long, ids array<int>"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, dictionary: bool = True, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
-    """Writes (part, doc_id, n_tokens, ids) to `path`, ascending in id over the files and inside each.
+    """Writes (part, row, doc_id, n_tokens, ids) to `path`, ascending in id over the files and inside each; row numbers a
+    part's rows as they are written.
 
     ids holds the encoding of the whole text (null: empty) and `end_id`. With dictionary=True ids are dictionary
     pages while the dictionary fits a page and the writer falls back beyond; with False they are delta encoded
     (format v2). Row groups and pages have bounded sizes and every column has a page index, so a filter on doc_id or
-    a projection without ids reads few pages. Rows are dealt by range of (id, text), so no task gathers more than
-    its range; equal ids lie together in text order, a null id comes first. An empty table writes an empty file.
+    a projection without ids reads few pages. Rows are dealt by range of (id, a hash of the text), so no task gathers more
+    than its range, a hot id is split, and no text is sampled to the driver; equal ids lie together in order of that
+    hash, a null id comes first. Long texts are encoded in blocks. An empty table writes an empty file.
     """
 
     def encode(batches):
@@ -28,7 +30,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         from parchment.llm.chunked_encoding import id_bytes
 
-        encoder, end, part = id_bytes(tokenizer_path), np.uint32(end_id).tobytes(), TaskContext.get().partitionId()
+        encoder, end, part, row = id_bytes(tokenizer_path), np.uint32(end_id).tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:
             start, texts = 0, batch.column(1).to_pylist()
             while start < batch.num_rows:  # a few MB of text at a time
@@ -40,12 +42,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 counts = [len(f) // 4 for f in flat]
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
                 n = len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), batch.column(0).slice(start, n), pa.array(counts, pa.int64()), ids], names=["part", "doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(np.arange(row, row + n)), batch.column(0).slice(start, n), pa.array(counts, pa.int64()), ids], names=["part", "row", "doc_id", "n_tokens", "ids"])
                 start += n
+                row += n
 
     n = partitions or shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     out = dealt.mapInArrow(encode, SCHEMA.format(kind=docs.schema[id_col].dataType.simpleString()))
     out.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.enable.dictionary", str(dictionary).lower()).option("parquet.writer.version", "v1" if dictionary else "v2").parquet(path)
 
@@ -61,18 +64,17 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     Each file range's total shifts the running sums inside it: one row a range is all that is summed in one place.
     """
-    rows = spark.read.parquet(path).select("part", "doc_id", "n_tokens")
-    return starts(rows)
+    return starts(spark.read.parquet(path).select("part", "row", "doc_id", "n_tokens"))
 
 
 def starts(rows: DataFrame) -> DataFrame:
-    order = [c for c in ("doc_id", "n_tokens", "ids_crc32") if c in rows.columns]
+    """rows with `start`, in the files' own order of parts and rows."""
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select("part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     here = rows.withColumn("here", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return here.join(shift, "part").withColumn("start", F.col("here") + F.col("shift")).drop("here", "shift", "part")
+    return here.join(shift, "part").withColumn("start", F.col("here") + F.col("shift")).drop("here", "shift", "part", "row")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -85,15 +87,15 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(2)
+            ids = batch.column(3)
             flat, cuts = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<i4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
             view = memoryview(flat).cast("B")
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())], names=["part", "row", "doc_id", "n_tokens", "ids_crc32"])
 
-    files = spark.read.parquet(path).select("part", "doc_id", "ids")
+    files = spark.read.parquet(path).select("part", "row", "doc_id", "ids")
     kind = files.schema["doc_id"].dataType.simpleString()
-    rows = stored(files.mapInArrow(digest, f"part int, doc_id {kind}, n_tokens long, ids_crc32 long"), "digests")  # the ids are read once
+    rows = stored(files.mapInArrow(digest, f"part int, row long, doc_id {kind}, n_tokens long, ids_crc32 long"), "digests")  # the ids are read once
     return starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
