@@ -18,20 +18,29 @@ from functools import lru_cache
 KEPT = 1_200_000
 #: Pieces longer than this are encoded but not kept.
 KEPT_CHARS = 48
-#: Characters of text handled at once.
-BLOCK_CHARS = 1 << 20
+#: Bytes of text (UTF-8) handled at once, and characters after which a text is cut.
+BLOCK_BYTES = 1 << 20
 
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+#: Between letters and digits, and between ideographs or kana and their punctuation, there is always a boundary, too.
+CUT_WITHIN = re.compile("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff])(?=[\u3001\u3002\uff01\uff0c\uff1f])")
 UNSAFE = re.compile(r" (?:(?![!-~\w])|(?<![!-~\w] ))")
 
 
-def blocks(text: str, most: int = BLOCK_CHARS) -> Iterator[str]:
-    """text in parts of about `most` characters, each but the first beginning at a safe space; whole if there is none."""
-    start = 0
-    while len(text) - start > most and (m := CUT.search(text, start + most)):
-        yield text[start : m.start()]
-        start = m.start()
-    yield text[start:]
+def blocks(text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[bool, str]]:
+    """text in parts of about `most` characters: (whether a space that was cut off stood before the part, the part).
+
+    Parts begin at safe spaces, or where there is none for as long again at the other safe places; a text has no other
+    part than itself only if it is all one pre-token, which no cut could keep.
+    """
+    start, spaced = 0, False
+    while len(text) - start > most:
+        m = CUT.search(text, start + most, start + 2 * most) or CUT_WITHIN.search(text, start + most) or CUT.search(text, start + 2 * most)
+        if not m:
+            break
+        yield spaced, text[start : m.start()]
+        start, spaced = m.end(), m.end() > m.start()
+    yield spaced, text[start:]
 
 
 def pieces(block: str) -> tuple[str, list[str]]:
@@ -98,11 +107,11 @@ class ChunkEncoder:
         """The folded values of each text."""
         out, held, size = [[] for _ in texts], [], 0
         for i, text in enumerate(texts):
-            for k, block in enumerate(blocks(text)):
-                first, rest = pieces(block[1:] if k else block)  # a later block begins with a safe space
-                held.append((i, [first if k else f"\n{first}", *rest]))  # no piece after a space begins with a line feed
-                size += len(block)
-                if size >= BLOCK_CHARS:
+            for spaced, block in blocks(text):
+                first, rest = pieces(block)
+                held.append((i, [first if spaced else f"\n{first}", *rest]))  # no piece after a space begins with a line feed
+                size += len(block) if block.isascii() else len(block.encode())
+                if size >= BLOCK_BYTES:
                     self._add(held, out)
                     held, size = [], 0
         self._add(held, out)
