@@ -16,7 +16,8 @@ from .common import shuffle_partitions, small, stored, text_or_empty
 
 #: Words that the model knows at most: the most frequent. Others count as unknown.
 VOCABULARY = 1 << 20
-FILTER_BITS = 1 << 28
+#: Bits of the filter of known pairs: PAIR_BITS a pair, in all FILTER_BITS at most.
+FILTER_BITS, PAIR_BITS = 1 << 28, 16
 #: Words of text, and rows, worked on at once.
 BLOCK_WORDS = 300_000
 ROWS_AT_ONCE = 500
@@ -193,10 +194,9 @@ class Model:
     def __init__(self, trusted: DataFrame, most: int = VOCABULARY, bits: int = FILTER_BITS) -> None:
         spark, sc = trusted.sparkSession, trusted.sparkSession.sparkContext
         self.shards = shards = max(8, shuffle_partitions(spark))
-        bits = bits // (8 * shards) * 8 * shards
         vocab = vocabulary(trusted, shards, most)
         n, start = len(vocab) + 2, len(vocab) + 1  # 0: unknown
-        words = sc.broadcast(vocab)
+        words = sc.broadcast(vocab)  # freed below, once the counts are stored
 
         def count(batches):
             for _, _, docs, hashes in tokens(batches):
@@ -206,6 +206,10 @@ class Model:
                 yield shard_rows(keys, counts, shard_of((keys >> ID_BITS).astype(np.int64), shards), shards)
 
         self.table = counted(trusted.mapInArrow(count, COUNTS), "pairs")
+        n_pairs = self.table.agg(F.sum(F.octet_length("counts") / 4)).first()[0] or 0
+        bits = (min(bits, 1 << max(20, int(n_pairs * PAIR_BITS).bit_length())) // (8 * shards) + 1) * 8 * shards
+
+        words.destroy()
 
         def contexts(batches):
             """Of each shard: per context the total and the numbers of pairs seen once, twice, more; the filter's bits;
@@ -267,6 +271,11 @@ class Model:
         self.send = sc.broadcast({"vocab": vocab, "gamma": gamma, "lower": lower, "total": total, "d": d, "bits": filter_.ravel(), "n_bits": bits, "start": start})
 
 
+    def close(self) -> None:
+        """Frees what was sent to the tasks; scores that aren't stored by then can't be computed any more."""
+        self.send.destroy()
+
+
 REQUESTS = "shard int, kind int, block long, keys binary, data binary, n int, ids array<{kind}>, langs array<string>, words array<long>, base array<double>"
 
 
@@ -357,27 +366,32 @@ def held_out(column: str):
     return F.pmod(F.xxhash64(column), F.lit(HELD_OUT)) == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, vocabulary_size: int = VOCABULARY) -> DataFrame:
-    """One row a document: id_col, lang, n_words, perplexity (per word; null without words), threshold, kept.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, vocabulary_size: int = VOCABULARY, key_col: str | None = None) -> DataFrame:
+    """One row a document: id_col (or key_col, a key of the row), lang, n_words, perplexity (per word; null without
+    words), threshold, kept.
 
     Trusted are the documents that `labels` (id_col, quality, toxic) gives quality 1 and toxic 0. Four fifths of them,
     all of their words, train the model; the others' log perplexities give each language's threshold: their `quantile`
     times `margin` (all languages' where a language has fewer than LEAST_HELD_OUT of them or is null). Documents of
     fewer than LEAST_WORDS words are kept, as too short to judge. A document is kept if its perplexity is at most the
     threshold; without trusted text everything is. Null and empty texts have no words and are kept; repeated rows are
-    repeated; empty tables give an empty result; other columns are ignored. The trusted ids are broadcast only if
-    their counted size allows, and joined by a shuffle beyond.
+    repeated; very long texts are worked on whole, as arrays of one task; empty tables give an empty result; other
+    columns are ignored. The trusted ids are broadcast only if their counted size allows, and joined by a shuffle beyond.
     """
     good = labels.where("quality = 1 AND toxic = 0").select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
     text = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     trained = text.join(small(good.where(~held_out("id")), 16), "id", "left_semi")
     model = Model(trained, vocabulary_size)
-    found = stored(scores(docs, model, id_col, text_col, lang_col), "scores")
+    found = stored(scores(docs, model, key_col or id_col, text_col, lang_col), "scores")
+    model.close()
     found = found.withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words")))
-    marks = found.where(F.col("n_words") >= LEAST_WORDS).join(small(good.where(held_out("id")), 16), "id", "left_semi")
+    aside = small(good.where(held_out("id")), 16)
+    if key_col:
+        aside = small(stored(docs.select(F.col(id_col).alias("id"), F.col(key_col).alias("key")).join(aside, "id", "left_semi").select(F.col("key").alias("id")), "aside"), 16)
+    marks = found.where(F.col("n_words") >= LEAST_WORDS).join(aside, "id", "left_semi")
     limit = (F.percentile_approx("log_ppl", quantile, 10000) * margin).alias("limit")
     by_lang = marks.where("lang IS NOT NULL").groupBy("lang").agg(limit, F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD_OUT).drop("n")
     for_all = marks.agg(limit.alias("limit_all"))
     out = found.join(small(by_lang, 32), "lang", "left").crossJoin(F.broadcast(for_all)).withColumn("limit", F.coalesce("limit", "limit_all"))
     kept = F.coalesce((F.col("n_words") < LEAST_WORDS) | (F.col("log_ppl") <= F.col("limit")), F.lit(True))
-    return out.select(F.col("id").alias(id_col), "lang", "n_words", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
+    return out.select(F.col("id").alias(key_col or id_col), "lang", "n_words", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 
 LENGTH, GRAM = 400, 100
-#: Bits of the filter of anchors that occur twice, and of the one of anchors that occur over CAP times.
-FILTER_BITS, HOT_BITS = 1 << 28, 1 << 24
+#: Bits of the filters of anchors that occur twice, and over CAP times: ANCHOR_BITS an anchor, FILTER_BITS in all at most.
+FILTER_BITS, ANCHOR_BITS = 1 << 28, 16
 #: Occurrences of an anchor that one task takes at most; beyond, windows are counted by a 128-bit hash (see `hot_spans`).
 CAP = 150_000
 PIECE, AT = 1 << 21, np.uint64(24)
@@ -64,6 +64,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
 def bit_filter(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap with the places of all values of a long column set, built in slices by as many tasks."""
     slices = 64
+    bits = min(bits, 1 << max(15, (values.count() * ANCHOR_BITS).bit_length()))
 
     def build(batches):
         import pyarrow as pa
@@ -164,8 +165,7 @@ def _segments(length, gram, keep, drop):
         done = set()  # texts with copies are sent once a task
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
-            ids, copied = batch.column(0).to_pylist(), batch.column(2).to_pylist() if batch.num_columns > 2 else None
-            del copied
+            ids = batch.column(0).to_pylist()
             new = []
             for i, tid in enumerate(ids):
                 if tid not in done:
@@ -309,7 +309,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cap:
     several = stored(texts.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
     known = spark.sparkContext.broadcast(bit_filter(several, "h", FILTER_BITS))
     hot = several.where(F.col("n") > cap)
-    dropped = spark.sparkContext.broadcast(bit_filter(hot, "h", HOT_BITS)) if hot.limit(1).count() else None
+    dropped = spark.sparkContext.broadcast(bit_filter(hot, "h", FILTER_BITS)) if hot.limit(1).count() else None
     segments = texts.mapInArrow(_segments(length, gram, known, dropped), SEGMENTS)
     # a text's copies in other tasks send the same rows again
     spans = segments.repartition("h").sortWithinPartitions("h", "seg", "tid", "start").mapInArrow(_matches(length), SPANS)
