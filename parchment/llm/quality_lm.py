@@ -25,6 +25,9 @@ ID_BITS = np.uint64(21)
 #: Of trusted documents, one in HELD_OUT (by hash of the id) sets the thresholds and isn't trained on.
 HELD_OUT = 5
 QUANTILE, MARGIN, LEAST_WORDS, LEAST_HELD_OUT = 0.99, 1.05, 10, 30
+#: A word speaks for toxic text if it is in TOXIC_DOCS toxic documents or more and TOXIC_RATIO times as likely there as in
+#: trusted ones. A document is toxic if its words' log ratios sum to TOXIC_EVIDENCE or more.
+TOXIC_DOCS, TOXIC_RATIO, TOXIC_EVIDENCE = 3, 20.0, 6.0
 
 
 def pack(values: np.ndarray, kind: str) -> bytes:
@@ -276,11 +279,11 @@ class Model:
         self.send.destroy()
 
 
-REQUESTS = "shard int, kind int, block long, keys binary, data binary, n int, ids array<{kind}>, langs array<string>, words array<long>, base array<double>"
+REQUESTS = "shard int, kind int, block long, keys binary, data binary, n int, ids array<{kind}>, langs array<string>, words array<long>, base array<double>, marks array<long>"
 
 
 def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, n_words, log_p): the natural log probability of each document's words."""
+    """(id, lang, n_words, log_p, mark): the natural log probability of each document's words; mark is its text's hash."""
     shards, send, kind = model.shards, model.send, docs.schema[id_col].dataType.simpleString()
     schema = REQUESTS.format(kind=kind)
 
@@ -290,7 +293,7 @@ def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
         from pyspark import TaskContext
 
         m, task, number = send.value, TaskContext.get().partitionId(), 0
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), None, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), None, pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
         for batch, rows, docs_, hashes in tokens(batches, 2):
             block, number = (task << 32) + number, number + 1
             ids = ids_of(hashes, m["vocab"])
@@ -301,9 +304,9 @@ def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
             maybe = np.flatnonzero((ids > 0) & ((m["bits"][place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool))
             maybe = maybe[np.argsort(key[maybe])]
             taken, types = pa.array(rows, pa.int64()), [*kinds[:6], pa.list_(batch.column(0).type), *kinds[7:]]
-            out = [(block % shards, 1, block, None, None, len(rows), batch.column(0).take(taken).to_pylist(), batch.column(1).take(taken).to_pylist(), np.bincount(docs_, minlength=len(rows)).tolist(), base.tolist())]
+            out = [(block % shards, 1, block, None, None, len(rows), batch.column(0).take(taken).to_pylist(), batch.column(1).take(taken).to_pylist(), np.bincount(docs_, minlength=len(rows)).tolist(), base.tolist(), batch.column(3).take(taken).to_pylist())]
             for s, at in by_shard(where[maybe], shards):
-                out.append((s, 1, block, pack(key[maybe[at]], "u8"), pack(docs_[maybe[at]], "u2"), len(rows), None, None, None, None))
+                out.append((s, 1, block, pack(key[maybe[at]], "u8"), pack(docs_[maybe[at]], "u2"), len(rows), None, None, None, None, None))
             for i in range(0, len(out), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 16], strict=True), types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
@@ -328,7 +331,7 @@ def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
                     sums.append(np.bincount(docs_[hit], more, n).astype("<f8").tobytes())
                     continue
                 sums.append(None)
-            out = pa.RecordBatch.from_arrays([batch.column(2), pa.array(sums, pa.binary()), *(batch.column(i) for i in (6, 7, 8, 9))], names=["block", "sums", "ids", "langs", "words", "base"])
+            out = pa.RecordBatch.from_arrays([batch.column(2), pa.array(sums, pa.binary()), *(batch.column(i) for i in (6, 7, 8, 9, 10))], names=["block", "sums", "ids", "langs", "words", "base", "marks"])
             yield out.filter(pa.compute.or_(pa.compute.is_valid(out.column(1)), pa.compute.is_valid(out.column(2))))
 
     def finish(batches):
@@ -337,8 +340,8 @@ def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
         held, rest = {}, {}
 
         def done(i):
-            ids, langs, words, base = rest.pop(i)
-            return pa.RecordBatch.from_arrays([ids, langs, words, pa.array(np.asarray(base) + held.pop(i, 0.0))], names=["id", "lang", "n_words", "log_p"])
+            ids, langs, words, marks, base = rest.pop(i)
+            return pa.RecordBatch.from_arrays([ids, langs, words, pa.array(np.asarray(base) + held.pop(i, 0.0)), marks], names=["id", "lang", "n_words", "log_p", "mark"])
 
         now = None
         for batch in batches:
@@ -350,16 +353,57 @@ def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
                 if (sums := batch.column(1)[r].as_py()) is not None:
                     held[block] = held.get(block, 0.0) + np.frombuffer(sums, "<f8")
                 if batch.column(2)[r].is_valid:
-                    rest[block] = [*(batch.column(i)[r].values for i in (2, 3, 4)), batch.column(5)[r].as_py()]
+                    rest[block] = [*(batch.column(i)[r].values for i in (2, 3, 4, 6)), batch.column(5)[r].as_py()]
         if now is not None:
             yield done(now)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("mark"))
     asked = rows.mapInArrow(request, schema)
     table = model.table.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), "keys", F.col("counts").alias("data"))
     both = table.unionByName(asked, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "kind")
-    answers = both.mapInArrow(answer, f"block long, sums binary, ids array<{kind}>, langs array<string>, words array<long>, base array<double>")
-    return answers.repartition("block").sortWithinPartitions("block").mapInArrow(finish, f"id {kind}, lang string, n_words long, log_p double")
+    answers = both.mapInArrow(answer, f"block long, sums binary, ids array<{kind}>, langs array<string>, words array<long>, base array<double>, marks array<long>")
+    return answers.repartition("block").sortWithinPartitions("block").mapInArrow(finish, f"id {kind}, lang string, n_words long, log_p double, mark long")
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(mark, word) for the different words of each of the rows (mark, text), hashed; ASCII letters in lower case, ASCII
+    punctuation left out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from parchment.llm.decontaminate import normalized
+        from parchment.llm.hashing import word_hashes
+
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
+            for group, hashes, first in word_hashes([normalized(t.as_py()) for t in batch.column(1)]):
+                docs = np.repeat(np.asarray(group), np.diff(first))
+                order = np.lexsort((hashes, docs))
+                docs, words = docs[order], hashes[order]
+                new = np.ones(len(docs), bool)
+                new[1:] = (docs[1:] != docs[:-1]) | (words[1:] != words[:-1])
+                marks = batch.column(0).take(pa.array(docs[new], pa.int64()))
+                yield pa.RecordBatch.from_arrays([marks, pa.array(words[new].view(np.int64))], names=["mark", "word"])
+
+    return rows.select("mark", "text").mapInArrow(run, "mark long, word long")
+
+
+def toxic_words(toxic: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(word, evidence) of the words that speak for toxic text: the log ratio of a word's probabilities under the lower
+    order (words by the documents that they occur in, discounted by a half, and one half for a word never seen) of toxic
+    and of trusted text. Both tables are rows (mark, text); counts cover all of them, words are joined, not gathered."""
+    n_toxic, n_trusted = toxic.count(), trusted.count()
+    often = stored(occurrences(toxic).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= TOXIC_DOCS), "toxic")
+    here = occurrences(trusted).join(small(often.select("word"), 16), "word").groupBy("word").agg(F.count("*").alias("m"))
+    ratio = ((F.col("n") - 0.5) / max(1, n_toxic)) / ((F.coalesce("m", F.lit(0)) + 0.5) / max(1, n_trusted))
+    found = often.join(here, "word", "left").select("word", F.log(ratio).alias("evidence"))
+    return stored(found.where(F.col("evidence") >= float(np.log(TOXIC_RATIO))), "toxic")
+
+
+def toxic_evidence(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(mark, evidence) of the texts of the rows (mark, text) that have any of the `words`, each word once a text."""
+    found = occurrences(rows).join(small(words, 24), "word").groupBy("mark", "word").agg(F.first("evidence").alias("evidence"))
+    return found.groupBy("mark").agg(F.sum("evidence").alias("evidence"))
 
 
 def held_out(column: str):
@@ -368,30 +412,43 @@ def held_out(column: str):
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, vocabulary_size: int = VOCABULARY, key_col: str | None = None) -> DataFrame:
     """One row a document: id_col (or key_col, a key of the row), lang, n_words, perplexity (per word; null without
-    words), threshold, kept.
+    words), threshold, toxic_evidence, kept.
 
     Trusted are the documents that `labels` (id_col, quality, toxic) gives quality 1 and toxic 0. Four fifths of them,
     all of their words, train the model; the others' log perplexities give each language's threshold: their `quantile`
-    times `margin` (all languages' where a language has fewer than LEAST_HELD_OUT of them or is null). Documents of
-    fewer than LEAST_WORDS words are kept, as too short to judge. A document is kept if its perplexity is at most the
-    threshold; without trusted text everything is. Null and empty texts have no words and are kept; repeated rows are
+    times `margin` (all languages' where a language has fewer than LEAST_HELD_OUT of them or is null). Perplexity tells
+    junk, but a few toxic words change it little, so the words that labelled toxic documents have and trusted ones don't
+    are weighed too: see `toxic_words`. Their sum in a text is toxic_evidence; its limit is TOXIC_EVIDENCE or, if larger,
+    the same quantile of the held-out documents' own.
+
+    A document is kept if its perplexity is at most the threshold or it has fewer than LEAST_WORDS words, which are too
+    few to judge, and if its toxic evidence is below its limit (at any length). Without trusted text perplexity rejects
+    nothing, without toxic labels nothing is toxic. Null and empty texts have no words and are kept; repeated rows are
     repeated; very long texts are worked on whole, as arrays of one task; empty tables give an empty result; other
-    columns are ignored. The trusted ids are broadcast only if their counted size allows, and joined by a shuffle beyond.
+    columns are ignored. The labelled ids are broadcast only if their counted size allows, and joined by a shuffle beyond.
     """
-    good = labels.where("quality = 1 AND toxic = 0").select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
+    labelled = lambda which: labels.where(which).select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()
+    good = labelled("quality = 1 AND toxic = 0")
     text = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     trained = text.join(small(good.where(~held_out("id")), 16), "id", "left_semi")
     model = Model(trained, vocabulary_size)
     found = stored(scores(docs, model, key_col or id_col, text_col, lang_col), "scores")
     model.close()
+    marked = lambda rows: rows.select(F.xxhash64("text").alias("mark"), "text")
+    toxic = toxic_words(marked(text.join(small(labelled("toxic = 1"), 16), "id", "left_semi")), marked(trained))
+    evidence = stored(toxic_evidence(marked(text), toxic), "evidence")
+    found = found.join(small(evidence, 16), "mark", "left").withColumn("toxic_evidence", F.coalesce("evidence", F.lit(0.0)))
     found = found.withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words")))
     aside = small(good.where(held_out("id")), 16)
     if key_col:
         aside = small(stored(docs.select(F.col(id_col).alias("id"), F.col(key_col).alias("key")).join(aside, "id", "left_semi").select(F.col("key").alias("id")), "aside"), 16)
     marks = found.where(F.col("n_words") >= LEAST_WORDS).join(aside, "id", "left_semi")
     limit = (F.percentile_approx("log_ppl", quantile, 10000) * margin).alias("limit")
-    by_lang = marks.where("lang IS NOT NULL").groupBy("lang").agg(limit, F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD_OUT).drop("n")
-    for_all = marks.agg(limit.alias("limit_all"))
-    out = found.join(small(by_lang, 32), "lang", "left").crossJoin(F.broadcast(for_all)).withColumn("limit", F.coalesce("limit", "limit_all"))
-    kept = F.coalesce((F.col("n_words") < LEAST_WORDS) | (F.col("log_ppl") <= F.col("limit")), F.lit(True))
-    return out.select(F.col("id").alias(key_col or id_col), "lang", "n_words", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
+    most = F.greatest(F.percentile_approx("toxic_evidence", quantile, 10000), F.lit(TOXIC_EVIDENCE)).alias("most")
+    by_lang = marks.where("lang IS NOT NULL").groupBy("lang").agg(limit, most, F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD_OUT).drop("n")
+    for_all = marks.agg(limit.alias("limit_all"), F.coalesce(most, F.lit(TOXIC_EVIDENCE)).alias("most_all"))
+    out = found.join(small(by_lang, 40), "lang", "left").crossJoin(F.broadcast(for_all))
+    out = out.withColumns({"limit": F.coalesce("limit", "limit_all"), "most": F.coalesce("most", "most_all")})
+    plain = F.coalesce((F.col("n_words") < LEAST_WORDS) | (F.col("log_ppl") <= F.col("limit")), F.lit(True))
+    kept = plain & (F.col("toxic_evidence") < F.col("most"))
+    return out.select(F.col("id").alias(key_col or id_col), "lang", "n_words", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("threshold"), "toxic_evidence", kept.alias("kept"))

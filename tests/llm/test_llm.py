@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import string
 import re
 import zlib
 from array import array
@@ -566,6 +567,39 @@ def test_quality_classifier(spark):
     assert quality_lm.classify(frame(spark, []), labels).count() == 0
 
 
+def toxic_by_hand(rows, toxic, trusted):
+    """Evidence of each text by plain sets."""
+    words = lambda t: set(WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t if c not in string.punctuation)))
+    n, m = (Counter(w for t in texts for w in words(t)) for texts in (toxic, trusted))
+    ratio = {w: math.log((n[w] - 0.5) / len(toxic) * len(trusted) / (m[w] + 0.5)) for w in n if n[w] >= quality_lm.TOXIC_DOCS}
+    return [sum(v for w, v in ratio.items() if w in words(t or "") and v >= math.log(quality_lm.TOXIC_RATIO)) for _, t, *_ in rows]
+
+
+def test_toxic_documents(spark):
+    """A few toxic words in otherwise clean text; evidence against plain sets; repeated rows, null ids and short texts."""
+    rng = random.Random(14)
+    bad = [f"vile{k}" for k in range(8)]
+    clean = [(i, prose(rng, rng.randint(30, 100)), "en", "a") for i in range(400)]
+
+    def spoiled():
+        w = prose(rng, 120).split()
+        for at, b in zip(rng.sample(range(len(w)), 3), rng.sample(bad, 3), strict=True):
+            w[at] = b.title() + "!"
+        return " ".join(w)
+
+    toxic = [(1000 + i, spoiled(), "en", "a") for i in range(80)]
+    rows = [*clean, *toxic, (None, toxic[0][1], "en", "a"), (None, clean[0][1], "en", "a"), (1000, toxic[0][1], "en", "a"), (3000, "vile0 vile1 vile2", "en", "a"), (3001, None, "en", None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(1000 + i, 1, 1) for i in range(40)], "doc_id long, quality int, toxic int")
+    out = quality_lm.classify(frame(spark, rows), labels).collect()
+    trained = {r.doc_id for r in labels.where("toxic = 0").where(~quality_lm.held_out("doc_id")).collect()}
+    want = toxic_by_hand(rows, [r[1] for r in rows if r[0] is not None and 1000 <= r[0] < 1040], [r[1] for r in clean if r[0] in trained])
+    assert sorted((r.doc_id is None, r.doc_id or 0, round(r.toxic_evidence, 6)) for r in out) == sorted((i is None, i or 0, round(w, 6)) for (i, *_), w in zip(rows, want, strict=True))
+    assert sum(r.kept for r in out if r.doc_id is not None and 1040 <= r.doc_id < 1080) == 0  # not labelled
+    assert sum(r.kept for r in out if r.doc_id is not None and r.doc_id < 400) >= 390
+    assert sorted(r.kept for r in out if r.doc_id is None) == [False, True] and [r.kept for r in out if r.doc_id == 3000] == [False]
+    assert [r.kept for r in out if r.doc_id == 3001] == [True]
+
+
 def test_near_documents(spark):
     """The stage's near duplicates against the exact Jaccard of five-word shingles; scattered edits included."""
     rng, rows = random.Random(41), corpus()
