@@ -21,6 +21,8 @@ FILTER_BITS, PAIR_BITS = 1 << 28, 16
 #: Words of text, and rows, worked on at once.
 BLOCK_WORDS = 300_000
 ROWS_AT_ONCE = 500
+#: Different keys that a task holds at most while it counts, before they are shuffled.
+HELD_KEYS = 1 << 20
 ID_BITS = np.uint64(21)
 #: Of trusted documents, one in HELD_OUT (by hash of the id) sets the thresholds and isn't trained on.
 HELD_OUT = 5
@@ -118,12 +120,33 @@ def shard_rows(keys, counts, shards, n):
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["shard", "keys", "counts"])
 
 
+def counted_in_task(blocks, shard, n: int):
+    """Rows of shards of the (keys, counts) of blocks, each a block's own; blocks are summed in the task first, as many as
+    have HELD_KEYS different keys, so that what is frequent is shuffled once a task and not once a block."""
+    held, size = [], 0
+
+    def taken():
+        return summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    for keys, counts in blocks:
+        held.append((keys, counts))
+        size += len(keys)
+        if size > 2 * HELD_KEYS:
+            keys, counts = taken()
+            if len(keys) > HELD_KEYS:
+                yield shard_rows(keys, counts, shard(keys), n)
+                keys, counts = keys[:0], counts[:0]
+            held, size = [(keys, counts)], len(keys)
+    if size:
+        keys, counts = taken()
+        yield shard_rows(keys, counts, shard(keys), n)
+
+
 def vocabulary(trusted: DataFrame, shards: int, most: int) -> np.ndarray:
     """Hashes, ascending, of the most frequent words: all that occur at least m times, m as low as `most` allows."""
     def count(batches):
-        for _, _, _, hashes in tokens(batches):
-            keys, counts = np.unique(hashes, return_counts=True)
-            yield shard_rows(keys, counts, (keys % np.uint64(shards)).astype(np.int64), shards)
+        found = (np.unique(hashes, return_counts=True) for _, _, _, hashes in tokens(batches))
+        return counted_in_task(found, lambda keys: (keys % np.uint64(shards)).astype(np.int64), shards)
 
     table = counted(trusted.mapInArrow(count, COUNTS), "words")
 
@@ -201,12 +224,13 @@ class Model:
         n, start = len(vocab) + 2, len(vocab) + 1  # 0: unknown
         words = sc.broadcast(vocab)  # freed below, once the counts are stored
 
-        def count(batches):
+        def found(batches):
             for _, _, docs, hashes in tokens(batches):
                 ids = ids_of(hashes, words.value)
-                before, key = pairs(docs, ids, start)
-                keys, counts = np.unique(key[ids > 0], return_counts=True)
-                yield shard_rows(keys, counts, shard_of((keys >> ID_BITS).astype(np.int64), shards), shards)
+                yield np.unique(pairs(docs, ids, start)[1][ids > 0], return_counts=True)
+
+        def count(batches):
+            return counted_in_task(found(batches), lambda keys: shard_of((keys >> ID_BITS).astype(np.int64), shards), shards)
 
         self.table = counted(trusted.mapInArrow(count, COUNTS), "pairs")
         n_pairs = self.table.agg(F.sum(F.octet_length("counts") / 4)).first()[0] or 0
