@@ -540,6 +540,25 @@ def kneser_ney(texts):
     return lambda t: sum(math.log(p(a, b)) for a, b in zip([None, *WORD.findall(t)], WORD.findall(t), strict=False))
 
 
+def test_counts_summed_in_task(monkeypatch):
+    """Whatever a task can hold, the rows that it emits add up to the counts of all blocks, each key in its shard."""
+    import numpy as np
+
+    rng = random.Random(3)
+    blocks = [Counter(rng.randrange(300) for _ in range(rng.randrange(80))) for _ in range(200)]
+    arrays = [(np.array(sorted(b), np.uint64), np.array([b[k] for k in sorted(b)], np.int64)) for b in blocks]
+    for held in (50, 1 << 20):
+        monkeypatch.setattr(quality_lm, "HELD_KEYS", held)
+        got, batches = Counter(), list(quality_lm.counted_in_task(iter(arrays), lambda keys: (keys % np.uint64(4)).astype(np.int64), 4))
+        for batch in batches:
+            for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, n in zip(quality_lm.unpack(keys, "u8").tolist(), quality_lm.unpack(counts, "u4").tolist(), strict=True):
+                    assert k % 4 == shard
+                    got[k] += n
+        assert got == sum(blocks, Counter()) and (len(batches) == 1) == (held > 50)
+    assert not list(quality_lm.counted_in_task(iter([]), None, 4))
+
+
 def test_quality_model(spark):
     rows = corpus()
     train = [(i, prose(random.Random(i), 80)) for i in range(1000, 1040)]
