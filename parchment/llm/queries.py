@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_lm, quality_rules, rules_sql, sharding, simhash, suffix_dedup, token_counts, token_files
+from . import centroids, centroids_sql, decontaminate, line_dedup, merkle, merkle_sql, mixing, packing, quality_lm, quality_rules, rules_sql, sharding, simhash, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -52,9 +53,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(*packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 OPERATORS = (
     op1_suffix_dedup, op2_sharding, op3_decontamination, op4_token_counts, op5_line_dedup, op6_quality_classifier, op7_mixing,
-    op8_token_files, op9_quality_rules, op10_simhash,
+    op8_token_files, op9_quality_rules, op10_simhash, op11_merkle, op12_packing, op13_centroids,
 )
 
 
@@ -92,6 +105,8 @@ FROM r
 
 
 SQL["op9_quality_rules"] = rules_sql.SQL
+SQL["op11_merkle"] = merkle_sql.SQL
+SQL["op13_centroids"] = centroids_sql.SQL
 
 
 def oracle_sql() -> dict[str, str]:
