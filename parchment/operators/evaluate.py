@@ -31,16 +31,17 @@ def edit_ratio(truth: Column, guess: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(truth, guess) / longest)
 
 
-def compare(truth: DataFrame, guesses: DataFrame, ratio=sequence_ratio) -> DataFrame:
-    """truth (split, stem, ground_truth) with guesses (split, stem, engine, text, error), a row an image.
+def compare(truth: DataFrame, guesses: DataFrame, ratio=sequence_ratio, key: str = "stem") -> DataFrame:
+    """truth (split, stem, ground_truth) with guesses (split, stem, engine, text, error), a row an image; `key` is the column
+    that names images in both.
 
     Images without ground truth, or the reverse, give no row. An engine's error, or its missing row (error NOT_RUN), is
     cer 1.
     """
-    one = lambda e: guesses.where(F.col("engine") == e).select("split", "stem", F.col("text").alias(f"{e}_text"), F.col("error").alias(f"{e}_error"))
+    one = lambda e: guesses.where(F.col("engine") == e).select("split", key, F.col("text").alias(f"{e}_text"), F.col("error").alias(f"{e}_error"))
     rows = truth.where("ground_truth is not null")
     for e in ENGINES:
-        rows = rows.join(one(e).withColumn(f"{e}_ran", F.lit(True)), ["split", "stem"], "left")
+        rows = rows.join(one(e).withColumn(f"{e}_ran", F.lit(True)), ["split", key], "left")
         rows = rows.withColumn(f"{e}_error", F.when(F.col(f"{e}_ran").isNull(), F.lit(NOT_RUN)).otherwise(F.col(f"{e}_error")))
     wanted = normalized(F.col("ground_truth"))
     for e in ENGINES:
@@ -49,7 +50,7 @@ def compare(truth: DataFrame, guesses: DataFrame, ratio=sequence_ratio) -> DataF
     told = lambda e: F.struct(shown(e).alias("text"), (1 - F.col(f"{e}_ratio")).alias("cer"), (F.col(f"{e}_ratio") * 100).alias("accuracy"), F.col(f"{e}_error").alias("error"))
     a, b = (told(e) for e in ENGINES)
     better = F.when(a["cer"] < b["cer"], ENGINES[0]).otherwise(ENGINES[1])
-    return rows.select(F.col("stem").alias("image"), "split", F.substring("ground_truth", 1, SHOWN).alias("ground_truth"), a.alias(ENGINES[0]), b.alias(ENGINES[1]), better.alias("better"))
+    return rows.select(F.col(key).alias("image"), "split", F.substring("ground_truth", 1, SHOWN).alias("ground_truth"), a.alias(ENGINES[0]), b.alias(ENGINES[1]), better.alias("better"))
 
 
 def report(compared: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import categories, parsing as P
+from .ranged import framed
 
 LEAST, MOST = 0.5, 50000.0
 NO_TOTAL = "max() iterable argument is empty"
@@ -20,32 +21,40 @@ def parsed(elements: DataFrame) -> DataFrame:
     }).drop("_n")
 
 
-def with_neighbours(elements: DataFrame) -> DataFrame:
-    """Adds the first date from 1 before to 3 after, the best amount from 1 before to 4 after, and the next amount.
-
-    The three frames share one partitioning and order, which the aggregate that follows reuses: one exchange, one sort.
-    """
-    w = Window.partitionBy("doc_id").orderBy("seq")
+def frames(w: WindowSpec) -> dict[str, Column]:
+    """The first date from 1 before to 3 after, the best amount from 1 before to 4 after, and whether an amount is next."""
     candidate = F.when(P.present(F.col("amount")), F.struct(F.when(F.contains("text", F.lit(".")), 1.0).otherwise(0.6).alias("conf"), F.col("amount").alias("amount")))
-    return parsed(elements).withColumns({
+    return {
         "near_date": F.first("date", ignorenulls=True).over(w.rowsBetween(-1, 3)),
         "near_total": F.max(candidate).over(w.rowsBetween(-1, 4)),
         "is_item": F.col("is_item_text") & F.coalesce(P.present(F.lead("amount").over(w)), F.lit(False)),
-    })
+    }
+
+
+def with_neighbours(elements: DataFrame, long: bool = False) -> DataFrame:
+    """Adds what the frames show.
+
+    The three frames share one partitioning and order, which the aggregate that follows reuses: one exchange, one sort.
+    With long=True documents may have any length: their rows are dealt by range (see ranged.framed) and written once.
+    """
+    if long:
+        return framed(parsed(elements), "doc_id", "seq", 1, 4, frames)
+    return parsed(elements).withColumns(frames(Window.partitionBy("doc_id").orderBy("seq")))
 
 
-def extract(elements: DataFrame) -> DataFrame:
+def extract(elements: DataFrame, long: bool = False) -> DataFrame:
     """A row a document: date, total, line_items, error, and n_elements, average_confidence, vendor.
 
     date: the first near a date word, else the first at all. total: near total words the amount with a decimal point,
     then the largest; else the largest of all within (LEAST, MOST), and an error where there are amounts but none
     within. line_items: texts that an amount follows, in order. Where elements have a column error (a document that
-    couldn't be read has one row, without text), it is the document's error.
+    couldn't be read has one row, without text), it is the document's error. long=True is for tables in which a
+    document may have a large share of all rows: only its line items, which are one value of its row, meet in a task.
     """
     at = lambda condition, column: F.min(F.when(condition, F.struct("seq", column)))[column]
     amount = F.col("amount")
     broken = F.max(F.col("error")) if "error" in elements.columns else F.lit(None).cast("string")
-    grouped = with_neighbours(elements).groupBy("doc_id").agg(
+    grouped = with_neighbours(elements, long).groupBy("doc_id").agg(
         broken.alias("broken"),
         F.coalesce(at(F.col("is_date_word") & F.col("near_date").isNotNull(), "near_date"), at(F.col("date").isNotNull(), "date")).alias("date"),
         F.max(F.when(F.col("is_total_word"), F.col("near_total")))["amount"].alias("near"),
@@ -63,11 +72,11 @@ def extract(elements: DataFrame) -> DataFrame:
     )
 
 
-def receipts(elements: DataFrame) -> DataFrame:
+def receipts(elements: DataFrame, long: bool = False) -> DataFrame:
     """doc_id, success, date, total, category, error: a document that fails keeps its row, with null fields."""
     ok = F.col("error").isNull()
     keep = lambda c: F.when(ok, c)
-    return categories.with_category(extract(elements)).select(
+    return categories.with_category(extract(elements, long)).select(
         "doc_id", ok.alias("success"), keep(F.col("date")).alias("date"), keep(F.col("total")).alias("total"), keep(F.col("category")).alias("category"), "error",
     )
 

@@ -115,44 +115,150 @@ def median3(image: np.ndarray) -> np.ndarray:
     return np.median(np.stack([p[i : i + image.shape[0], j : j + image.shape[1]] for i in range(3) for j in range(3)]), 0).astype(np.uint8)
 
 
+#: Fixed values of the angle's search: edge thresholds, votes a line needs, angles that count, the least that is turned.
+EDGE_LOW, EDGE_HIGH = 50, 150
+LINE_VOTES = 100
+WIDEST, LEAST_TURN = 30, 2.0
+#: tan(22.5 degrees) and tan(67.5 degrees) part the directions of gradients.
+FLAT, STEEP = np.sqrt(2) - 1, np.sqrt(2) + 1
+
+
+def blurred(image: np.ndarray, size: int) -> np.ndarray:
+    """Gaussian blur with mirrored borders, rounded."""
+    pad = size // 2
+    mode = "reflect" if min(image.shape) > pad else "symmetric"
+    return np.rint(_gauss(np.pad(image, pad, mode=mode), size)[pad:-pad, pad:-pad]).clip(0, 255).astype(np.uint8)
+
+
+def gradients(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sobel derivatives (3 x 3) along x and y, borders repeated."""
+    p = np.pad(image.astype(np.int32), 1, mode="edge")
+    smooth_y, smooth_x = p[:-2] + 2 * p[1:-1] + p[2:], p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
+    return smooth_y[:, 2:] - smooth_y[:, :-2], smooth_x[2:] - smooth_x[:-2]
+
+
+def thinned(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """|dx| + |dy| where it is a maximum across the edge: above the one neighbour, not below the other; else 0.
+
+    The neighbours are those along the gradient's direction of the four. Outside the image it is 0.
+    """
+    size = np.abs(dx) + np.abs(dy)
+    p = np.pad(size, 1)
+    at = lambda y, x: p[1 + y : 1 + y + size.shape[0], 1 + x : 1 + x + size.shape[1]]
+    ax, ay = np.abs(dx), np.abs(dy)
+    level, upright = ay < ax * FLAT, ay > ax * STEEP
+    falling = (dx < 0) != (dy < 0)
+    across = (size > at(-1, 1)) & (size > at(1, -1))
+    along = (size > at(-1, -1)) & (size > at(1, 1))
+    highest = np.where(level, (size > at(0, -1)) & (size >= at(0, 1)), np.where(upright, (size > at(-1, 0)) & (size >= at(1, 0)), np.where(falling, across, along)))
+    return np.where(highest, size, 0)
+
+
+def components(mask: np.ndarray) -> np.ndarray:
+    """A number for each set pixel, the same for those that touch, also by a corner; -1 elsewhere.
+
+    Links between neighbours are contracted: each round every root takes the least root that it is linked to, then paths
+    are halved, so that rounds grow with the logarithm of a component's size, not with its length.
+    """
+    number = np.full(mask.shape, -1)
+    number[mask] = np.arange(mask.sum())
+    links = []
+    for one, other in ((number[:, :-1], number[:, 1:]), (number[:-1], number[1:]), (number[:-1, :-1], number[1:, 1:]), (number[:-1, 1:], number[1:, :-1])):
+        near = (one >= 0) & (other >= 0)
+        links.append(np.stack([one[near], other[near]]))
+    a, b = np.concatenate(links, 1)
+    up = np.arange(mask.sum())
+    while len(a):
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        np.minimum.at(up, high, low)
+        while (up != up[up]).any():
+            up = up[up]
+        apart = up[a] != up[b]
+        a, b = a[apart], b[apart]
+    number[mask] = up
+    return number
+
+
+def edges(image: np.ndarray, low: int = EDGE_LOW, high: int = EDGE_HIGH) -> np.ndarray:
+    """Thinned edges above `low` in components that have one above `high` (hysteresis)."""
+    size = thinned(*gradients(image))
+    number = components(size > low)
+    strong = np.zeros(size.size + 1, bool)
+    strong[number[size > high]] = True
+    return (number >= 0) & strong[number]
+
+
+def line_angles(edge: np.ndarray, votes: int = LINE_VOTES) -> list[int]:
+    """The normals' angles, in whole degrees from 0 to 179, of the straight lines on which more than `votes` edge points lie.
+
+    A line is a maximum of the count over distance (a pixel) and angle (a degree): above the neighbour before, not below
+    the one after, in both. A line that is there once is found once, not with all angles that are nearly its own.
+    """
+    y, x = np.nonzero(edge)
+    h, w = edge.shape
+    middle = h + w
+    count = np.zeros((182, 2 * middle + 3), np.int64)
+    for degrees in range(180):
+        t = np.deg2rad(degrees)
+        at = np.rint(x * np.cos(t) + y * np.sin(t)).astype(int)
+        count[degrees + 1] = np.bincount(at + middle + 1, minlength=2 * middle + 3)
+    here = count[1:-1, 1:-1]
+    peak = (here > votes) & (here > count[1:-1, :-2]) & (here >= count[1:-1, 2:]) & (here > count[:-2, 1:-1]) & (here >= count[2:, 1:-1])
+    return np.nonzero(peak)[0].tolist()
+
+
 def skew_angle(image: np.ndarray) -> float:
-    """Median of the angles within 30 degrees of the strong straight lines (100 edge points or more); 0 under 2."""
-    smooth = _gauss(gray(image), 9)
-    gy, gx = np.gradient(smooth)
-    size = np.abs(gx) * 4 + np.abs(gy) * 4
-    y, x = np.nonzero(size > 150)
-    if not len(y):
-        return 0.0
-    theta = np.deg2rad(np.arange(180))
-    reach = int(np.hypot(*image.shape[:2])) + 1
-    angles = []
-    for degrees, t in enumerate(theta):
-        votes = np.bincount(np.rint(x * np.cos(t) + y * np.sin(t)).astype(int) + reach, minlength=2 * reach + 1)
-        angles += [degrees - 180 if degrees > 45 else degrees] * int((votes > 100).sum())
-    near = [a for a in angles if abs(a) < 30]
+    """The angle to turn by: less the median angle of the strong lines whose normals are within WIDEST degrees of the
+    horizontal; 0 without such lines and under LEAST_TURN degrees."""
+    found = [a - 180 if a > 45 else a for a in line_angles(edges(blurred(gray(image), 9)))]
+    near = [a for a in found if abs(a) < WIDEST]
     angle = float(np.median(near)) if near else 0.0
-    return -angle if abs(angle) >= 2 else 0.0
+    return -angle if abs(angle) >= LEAST_TURN else 0.0
+
+
+#: Positions between pixels are rounded to so many parts.
+PARTS = 32
+
+
+def turned(height: int, width: int, angle: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the image (y, x, in PARTS of a pixel) each pixel of the turned image comes from."""
+    t, cy, cx = np.deg2rad(angle), height // 2, width // 2
+    y, x = np.mgrid[:height, :width].astype(np.float64)
+    source_x = np.cos(t) * (x - cx) - np.sin(t) * (y - cy) + cx
+    source_y = np.sin(t) * (x - cx) + np.cos(t) * (y - cy) + cy
+    return np.floor(source_y * PARTS + 0.5).astype(int), np.floor(source_x * PARTS + 0.5).astype(int)
+
+
+def cubic_weights(part: np.ndarray) -> list[np.ndarray]:
+    """Weights of the pixels from 1 before to 2 after a position that is part / PARTS after a pixel (a = -0.75)."""
+    t, a = part / PARTS, -0.75
+    near = lambda d: (a + 2) * d**3 - (a + 3) * d**2 + 1
+    far = lambda d: a * (d**3 - 5 * d**2 + 8 * d - 4)
+    return [far(t + 1), near(t), near(1 - t), far(2 - t)]
 
 
 def rotate(image: np.ndarray, angle: float) -> np.ndarray:
-    """About the centre, bilinear, borders replicated, same size."""
+    """About the centre, counter-clockwise, bicubic from 4 x 4 pixels, borders repeated, same size."""
     if not angle:
         return image
     h, w = image.shape[:2]
-    t, cy, cx = np.deg2rad(angle), h // 2, w // 2
-    yy, xx = np.mgrid[:h, :w].astype(np.float64)
-    x = np.clip(np.cos(t) * (xx - cx) - np.sin(t) * (yy - cy) + cx, 0, w - 1)
-    y = np.clip(np.sin(t) * (xx - cx) + np.cos(t) * (yy - cy) + cy, 0, h - 1)
-    x0, y0 = x.astype(int), y.astype(int)
-    x1, y1, fx, fy = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1), x - x0, y - y0
-    if image.ndim == 3:
-        fx, fy = fx[..., None], fy[..., None]
-    out = (image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
+    y, x = turned(h, w, angle)
+    row, col = y // PARTS, x // PARTS
+    across, down = cubic_weights(x % PARTS), cubic_weights(y % PARTS)
+    out = np.zeros(image.shape)
+    for j in range(4):
+        ys = np.clip(row + j - 1, 0, h - 1)
+        for i in range(4):
+            weight = down[j] * across[i]
+            out += image[ys, np.clip(col + i - 1, 0, w - 1)] * (weight[..., None] if image.ndim == 3 else weight)
     return np.rint(out).clip(0, 255).astype(np.uint8)
 
 
-def deskew(image: np.ndarray) -> np.ndarray:
-    return rotate(image, skew_angle(image))
+def deskew(image: np.ndarray, straighten: bool = False) -> np.ndarray:
+    """The image turned by its skew angle. As the original has it, that is the way in which upright lines already lean;
+    straighten=True turns it back instead, so that they stand upright."""
+    angle = skew_angle(image)
+    return rotate(image, -angle if straighten else angle)
 
 
 def remove_borders(image: np.ndarray, white: float = 240, padding: int = 2, least: float = 0.3) -> np.ndarray:
@@ -191,6 +297,29 @@ def preprocess_receipt_conservative(image: np.ndarray) -> np.ndarray:
     return denoise(clahe(upscale(gray(image)), 2.0), 5, 7, 15)
 
 
+def pixels(row: dict) -> np.ndarray | None:
+    """A row's pixels; null where they are missing or of the wrong length."""
+    h, w, c, raw = row["height"], row["width"], row["channels"], row["content"]
+    if raw is None or not h or not w or not c or len(raw) != h * w * c:
+        return None
+    return np.frombuffer(raw, np.uint8).reshape((h, w) if c == 1 else (h, w, c))
+
+
+def measured(images: DataFrame, measures: dict[str, Callable[[np.ndarray], float]]) -> DataFrame:
+    """path and a column of each measure of the images; null where there are no pixels."""
+    names = "path string" + "".join(f", `{m}` double" for m in measures)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [(r["path"], pixels(r)) for r in batch.to_pylist()]
+            columns = [pa.array([None if p is None else float(f(p)) for _, p in found], pa.float64()) for f in measures.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([path for path, _ in found], pa.string()), *columns], names=["path", *measures])
+
+    return images.select("path", "height", "width", "channels", "content").mapInArrow(run, names)
+
+
 def apply(images: DataFrame, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """images (COLUMNS) with `step` done on each; rows whose pixels are missing or of the wrong length keep null content."""
 
@@ -200,12 +329,11 @@ def apply(images: DataFrame, step: Callable[[np.ndarray], np.ndarray]) -> DataFr
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                h, w, c, raw = r["height"], r["width"], r["channels"], r["content"]
-                if raw is None or not h or not w or not c or len(raw) != h * w * c:
+                found = pixels(r)
+                if found is None:
                     rows.append(r | {"content": None})
                     continue
-                pixels = np.frombuffer(raw, np.uint8).reshape((h, w) if c == 1 else (h, w, c))
-                out = np.ascontiguousarray(step(pixels))
+                out = np.ascontiguousarray(step(found))
                 rows.append({"path": r["path"], "height": out.shape[0], "width": out.shape[1], "channels": 1 if out.ndim == 2 else out.shape[2], "content": out.tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 

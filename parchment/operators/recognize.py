@@ -53,7 +53,8 @@ def tesseract_reader(options: Options) -> Reader:
 
 
 def recognize(images: DataFrame, reader: Callable[[Options], Reader], options: Options = Options()) -> DataFrame:
-    """Elements of image rows; an image that can't be read gives one row with error and no text."""
+    """Elements of image rows. An image that can't be read gives one row with error and no text, one in which nothing is
+    found a row without seq, text and error: every image has a row, and is recognised once."""
 
     schema = to_arrow_schema(images.sparkSession.createDataFrame([], OUT).schema)
 
@@ -71,8 +72,8 @@ def recognize(images: DataFrame, reader: Callable[[Options], Reader], options: O
                     rows = [base | {"seq": i, "text": t.strip(), "confidence": float(c), "bbox": [[float(x) for x in p] for p in b]} for i, (b, t, c) in enumerate(read(r))]
                 except Exception as e:  # one image's failure is a row of its own
                     rows = [base | {"seq": 0, "text": None, "confidence": None, "bbox": None, "error": str(e)}]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                empty = base | {"seq": None, "text": None, "confidence": None, "bbox": None}
+                yield pa.RecordBatch.from_pylist(rows or [empty], schema=schema)
 
     return images.select("path", "height", "width", "channels", "content").mapInArrow(run, OUT)
 
@@ -91,20 +92,43 @@ def safely(step: Callable[[np.ndarray], np.ndarray], image: np.ndarray) -> np.nd
 
 def elements(images: DataFrame, reader, options: Options = Options(), step: Callable[[np.ndarray], np.ndarray] | None = preprocess, keep_failed: bool = False) -> DataFrame:
     """Preprocessing, recognize, box geometry and, if asked for, repair. keep_failed keeps a failed image as one row with
-    `error` and no text; else such rows, and the column, are left out."""
+    `error` and no text, and an empty image as one without either; else such rows, and the column, are left out."""
     out = with_geometry(recognize(prepared(images, step), reader, options)).drop("height", "width")
-    out = out if keep_failed else out.where("error IS NULL").drop("error")
+    out = out if keep_failed else out.where("error IS NULL AND seq IS NOT NULL").drop("error")
     return repair(out) if options.post_process else out
 
 
-def texts(images: DataFrame, reader, options: Options = Options(), step: Callable[[np.ndarray], np.ndarray] | None = None, name: str = "easyocr") -> DataFrame:
-    """(path, engine, text, error) of each image: the engine's texts in order, a line each, or why there is none."""
-    found = recognize(prepared(images, step), reader, options)
-    lines = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("seq", "text"))))["text"]
-    rows = found.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"), F.max("error").alias("error"))
-    out = images.select("path").join(rows, F.col("path") == F.col("doc_id"), "left")
-    text = F.when(F.col("error").isNull(), F.coalesce("text", F.lit("")))
-    return out.select("path", F.lit(name).alias("engine"), text.alias("text"), "error")
+def texts(images: DataFrame, readers: dict[str, Callable[[Options], Reader]], options: Options = Options(), step: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(path, engine, text, error) of each image and engine: the engine's texts in order, a line each, or why there is none.
+
+    One pass without a shuffle: an image is read and preprocessed once for all engines, and an engine's lines are joined
+    where they are recognised.
+    """
+    names = "path string, engine string, text string, error string"
+    schema = to_arrow_schema(images.sparkSession.createDataFrame([], names).schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        loaded = {}
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                for name, reader in readers.items():
+                    text = error = None
+                    try:
+                        if r["content"] is None:
+                            raise ValueError(f"Could not read image: {r['path']}")
+                        if name not in loaded:
+                            loaded[name] = reader(options)
+                        text = "\n".join(t.strip() for _, t, _ in loaded[name](r))
+                    except Exception as e:  # one image's failure is its own
+                        error = str(e)
+                    rows.append({"path": r["path"], "engine": name, "text": text, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    found = prepared(images, step)
+    return found.select("path", "height", "width", "channels", "content").mapInArrow(run, names)
 
 
 def overlays(elements_: DataFrame) -> DataFrame:

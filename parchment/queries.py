@@ -199,6 +199,35 @@ def vendor_first(spark, sf_dir):
 SQL["vendor_first"] = of("SELECT doc_id, vendor FROM fields")
 
 
+def _long(spark, sf_dir):
+    """The elements with those of all even orders as one document: half of all rows, places with gaps."""
+    order = F.col("doc_id").cast("long")
+    return synthetic.elements(spark, sf_dir).withColumns({"doc_id": F.when(order % 2 == 0, "long").otherwise(F.col("doc_id")), "seq": order * 4096 + F.col("seq")})
+
+
+@query
+def long_documents(spark, sf_dir):
+    """Fields where one document holds half of all rows, which are dealt by range."""
+    rows = extract.extract(_long(spark, sf_dir), long=True)
+    return rows.select("doc_id", "date", "total", "error", "n_elements", "vendor", F.size("line_items").alias("n_items"), F.md5(F.array_join("line_items", "|").cast("binary")).alias("items"))
+
+
+#: FIELDS with frames instead of joins, for a document that a join with itself would square.
+FRAMED = FIELDS.replace(FIELDS[FIELDS.index("kw_dates AS (") : FIELDS.index("fields AS (")], """framed AS (
+  SELECT *, list(date) FILTER (date IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 PRECEDING AND 3 FOLLOWING) AS ds,
+    max(CASE WHEN amount IS NOT NULL AND amount <> 0 THEN {'conf': CASE WHEN contains(text, '.') THEN 1.0 ELSE 0.6 END, 'amount': amount} END)
+      OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 PRECEDING AND 4 FOLLOWING) AS near_best
+  FROM parsed
+), kw_dates AS (
+  SELECT doc_id, arg_min(ds[1], seq) AS date FROM framed WHERE dw AND len(ds) > 0 GROUP BY 1
+), candidates AS (
+  SELECT doc_id, max(near_best) AS best FROM framed WHERE tw AND near_best IS NOT NULL GROUP BY 1
+), """)
+SQL["long_documents"] = f"""WITH made AS ({synthetic.elements_sql('duckdb')}), e AS (
+  SELECT CASE WHEN doc_id::BIGINT % 2 = 0 THEN 'long' ELSE doc_id END AS doc_id, doc_id::BIGINT * 4096 + seq AS seq, text, confidence FROM made
+), {FRAMED} SELECT doc_id, date, total, error, n_elements, vendor, len(line_items)::INT AS n_items, md5(array_to_string(line_items, '|')) AS items FROM extracted"""
+
+
 # Categories ----------------------------------------------------------------------------------------------------------
 
 
@@ -492,20 +521,42 @@ SQL["bbox_geometry"] = """SELECT l_orderkey, l_partkey, l_suppkey, x, y, x / 640
 SELECT *, trunc((4 * (l_partkey % 97) + 64) / 4.0::DOUBLE)::INT AS x, trunc((4 * (l_suppkey % 89) + 36) / 8.0::DOUBLE)::INT AS y FROM lineitem)"""
 
 
+@query
+def image_skew(spark, sf_dir):
+    """Each supplier's page, turned by a known angle: the angle found is that within a degree."""
+    rows = synthetic.pages(spark, sf_dir)
+    found = images.measured(rows, {"skew": images.skew_angle})
+    known = rows.select("path", "angle").distinct()
+    return found.join(known, "path").select("path", "angle", (F.abs(F.col("skew") + F.col("angle")) <= 1).alias("within_a_degree"))
+
+
+PAGE_ANGLE = f"list_extract([{', '.join(map(str, synthetic.ANGLES))}], (s % {len(synthetic.ANGLES)} + 1)::INT)"
+PAGE_SUPPLIERS = "SELECT DISTINCT l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+SQL["image_skew"] = f"SELECT 'page' || s || '.png' AS path, {PAGE_ANGLE}::INT AS angle, true AS within_a_degree FROM ({PAGE_SUPPLIERS})"
+
+
+@query
+def image_deskew(spark, sf_dir):
+    """The same pages turned back: no skew is left, and the size stays."""
+    rows = images.apply(synthetic.pages(spark, sf_dir), lambda page: images.deskew(page, straighten=True))
+    left = images.measured(rows, {"skew": images.skew_angle, "height": lambda page: page.shape[0], "width": lambda page: page.shape[1]})
+    return left.select("path", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), (F.abs("skew") <= 2).alias("straight"))
+
+
+SQL["image_deskew"] = f"SELECT 'page' || s || '.png' AS path, 240 AS height, 320 AS width, true AS straight FROM ({PAGE_SUPPLIERS})"
+
+
 @query
 def image_preprocess(spark, sf_dir):
-    """Synthetic pages (white margins, text noise) through the service's preprocessing and the border crop."""
-    import numpy as np
-
-    def page(i):
-        rng = np.random.default_rng(i)
-        image = np.full((60, 80, 3), 255, np.uint8)
-        image[10 : 40 + i, 8 : 60 + i] = rng.integers(0, 200, (30 + i, 52 + i, 3))
-        return f"page{i}.png", 60, 80, 3, bytearray(image.tobytes())
-
-    rows = spark.createDataFrame([page(i) for i in range(4)], images.COLUMNS)
-    crop = images.apply(rows, images.remove_borders).select("path", F.col("height").alias("crop_height"), F.col("width").alias("crop_width"))
-    return images.apply(rows, images.preprocess_receipt_conservative).join(crop, "path").select("path", "height", "width", "channels", "crop_height", "crop_width")
+    """Small pages through the service's preprocessing, and straight pages cropped to their table and a padding."""
+    small = images.apply(synthetic.pages(spark, sf_dir, 12, 150), images.preprocess_receipt_conservative)
+    crop = images.apply(synthetic.pages(spark, sf_dir, angles=(0,)), images.remove_borders)
+    crop = crop.select("path", F.col("height").alias("crop_height"), F.col("width").alias("crop_width"))
+    return small.join(crop, "path").select("path", "height", "width", "channels", "crop_height", "crop_width")
+
+
+SQL["image_preprocess"] = f"""SELECT 'page' || s || '.png' AS path, 80 AS height, 1000 AS width, 1 AS channels, (10 * (15 + s % 4) + 4)::INT AS crop_height, (7 * (24 + s % 5) + 4)::INT AS crop_width
+FROM ({PAGE_SUPPLIERS})"""
 
 
 def _pairs(spark, sf_dir):

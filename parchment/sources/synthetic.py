@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VENDORS = ("Tabali", "Carrefour Market", "Uber", "Seif Pharmacy", "Vodafone Store", "Galaxy Cinema", "Zara", "Unknown Store", "Chicken Fila", "Hilton Apartment", "City Library", "Dove Salon")
 ITEMS = ("Bread", "Milk", "Pepsi", "Taxi ride", "Netflix subscription", "Shampoo", "Medicine", "Laptop", "Books", "Monthly house rent", "Internet bill", "Cheese Fries", "Fish", "Eggs", "Mobile phone")
@@ -49,3 +50,55 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in args:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(sql, **args)
+
+
+#: Angles by which pages are turned, in degrees, by supplier.
+ANGLES = (0, 5, -7, 12, -16, 21, -26, 3)
+
+
+def pages(spark: SparkSession, sf_dir: str, height: int = 240, width: int = 320, angles: tuple[int, ...] = ANGLES) -> DataFrame:
+    """A page a supplier of its order lines, as rows of pixels (path, height, width, channels, content), with `angle`.
+
+    A page is a table with ruled columns, of a size that depends on the supplier: each order line inks a cell, at a line of the page by its order's day and in a
+    column by its number; the more lines a cell has, the darker it is. The page is turned by its angle: each pixel looks up
+    where it was before, so nothing of the library's own image steps is used. Cells are counted by Spark; a task draws
+    from a page's cells, of which there are LINES * COLUMNS at most.
+    """
+    import numpy as np
+
+    lines, columns = 10, 7
+    orders, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    cell = (F.day("o_orderdate") % lines) * columns + (F.col("l_linenumber") - 1) % columns
+    cells = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).groupBy("l_suppkey", cell.alias("cell")).agg(F.count("*").alias("n"))
+    inked = cells.groupBy("l_suppkey").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    angle = F.element_at(F.array(*map(F.lit, angles)), (F.col("l_suppkey") % len(angles) + 1).cast("int"))
+    rows = inked.select(F.format_string("page%d.png", "l_suppkey").alias("path"), angle.alias("angle"), "cells", (width * 3 // 40 + F.col("l_suppkey") % 5).alias("wide"), (height // 16 + F.col("l_suppkey") % 4).alias("high"))
+
+    def draw(batches):
+        import pyarrow as pa
+
+        y, x = np.mgrid[:height, :width]
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                ink = np.zeros(lines * columns)
+                for c in r["cells"]:
+                    ink[c["cell"]] = min(60, 4 * c["n"])
+                t = np.deg2rad(r["angle"])
+                u = np.cos(t) * (x - width / 2) + np.sin(t) * (y - height / 2) + width / 2
+                v = -np.sin(t) * (x - width / 2) + np.cos(t) * (y - height / 2) + height / 2
+                column, line = (u - width // 5) / r["wide"], (v - height // 8) / r["high"]
+                inside = (column >= 0) & (column < columns) & (line >= 0) & (line < lines)
+                at = np.where(inside, np.floor(line) * columns + np.floor(column), 0).astype(int)
+                text = inside & (line % 1 > 0.35) & (line % 1 < 0.65) & (column % 1 > 0.3) & (column % 1 < 0.7)
+                rule = inside & ((column % 1 * r["wide"] < 3) | ((columns - column) * r["wide"] < 3))
+                gray = np.where(rule, 20, np.where(text, 235 - ink[at], 250)).astype(np.uint8)
+                out.append({"path": r["path"], "height": height, "width": width, "channels": 3, "content": np.repeat(gray[..., None], 3, 2).tobytes(), "angle": r["angle"]})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    names = "path string, height int, width int, channels int, content binary, angle int"
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(spark.createDataFrame([], names).schema)
+    return rows.mapInArrow(draw, names)

@@ -153,6 +153,8 @@ def png(pixels):
 
 def test_from_images_to_receipts(spark, tmp_path):
     """Files to rows: a receipt, an image in which nothing is found, one on which the engine fails, one that can't be read."""
+    import json
+
     for name, shade in (("good.png", 10), ("empty.png", 20), ("fails.PNG", 30)):
         (tmp_path / name).write_bytes(png([[shade] * 40] * 30))
     (tmp_path / "broken.jpg").write_bytes(b"no image")
@@ -172,13 +174,32 @@ def test_from_images_to_receipts(spark, tmp_path):
     assert (out["good.png"].success, out["good.png"].date, out["good.png"].total, out["good.png"].category) == (True, "2022-09-27", 22.75, "Dining Out")
     assert (out["empty.png"].success, out["empty.png"].total, out["empty.png"].category) == (True, None, "Other")
     assert (out["fails.PNG"].success, out["fails.PNG"].error) == (False, "engine broke") and not out["broken.jpg"].success and "Could not read image" in out["broken.jpg"].error
+    (tmp_path / "calls").mkdir()
+    calls = tmp_path / "calls"
+
+    def counted(options):
+        def read(r):
+            import uuid
+
+            (calls / uuid.uuid4().hex).touch()
+            return reader(options)(r)
+
+        return read
+
+    pipeline.from_images(files.images(spark, str(tmp_path)), counted).collect()
+    assert len(list(calls.iterdir())) == 3  # each image that decodes, once
+    (tmp_path / "note.gif").write_bytes(b"")
+    for detailed in (False, True):
+        answers = {r.doc_id: (r.status, json.loads(r.json)) for r in pipeline.answers(spark, [*names, str(tmp_path / "note.gif")], reader, detailed=detailed).collect()}
+        assert {k: v[0] for k, v in answers.items()} == {"good.png": 200, "empty.png": 200, "fails.PNG": 500, "broken.jpg": 500, "note.gif": 400}
+        assert answers["good.png"][1]["data"]["total"] == 22.75 and answers["fails.PNG"][1]["error"] == "engine broke" and answers["note.gif"][1]["error"] == pipeline.NOT_AN_IMAGE
+        assert ("debug_info" if detailed else "date_epoch_ms") in answers["good.png"][1]["data"]
+    assert [r.status for r in pipeline.answers(spark, [str(tmp_path / "note.gif")], reader).collect()] == [400]
     total = extract.batch_summary(pipeline.process_paths(spark, names, reader)).first()
     assert (total.total, total.success, total.failed) == (4, 2, 2)
     detail = {r.doc_id.rsplit("/", 1)[1]: r for r in pipeline.from_images(files.images(spark, str(tmp_path)), reader, detailed=True).collect()}
     assert detail["good.png"].debug_info.vendor_name == "Tabali" and detail["broken.jpg"].error and detail["empty.png"].debug_info.ocr_elements_found == 0
     files.write_json_array(pipeline.process_paths(spark, names, reader), f"{tmp_path}/batch")
-    import json
-
     (part,) = (tmp_path / "batch").glob("part-*")
     assert sorted(r["success"] for r in json.loads(part.read_text())) == [False, False, True, True]
 
@@ -200,8 +221,19 @@ def test_compare_engines(spark, tmp_path):
             (tmp_path / split / f"{name}.png").write_bytes(png([[200] * 20] * 20))
         (tmp_path / split / "a.txt").write_text("Total 5\n")
 
+    (tmp_path / "val" / "c.jpg").write_bytes(b"no image")
+    (tmp_path / "val" / "c.txt").write_text("skipped")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
     def good(options):
-        return lambda r: [([[0, 0]] * 4, "Total", 0.9), ([[0, 0]] * 4, "5", 0.9)]
+        def read(r):
+            import uuid
+
+            (calls / uuid.uuid4().hex).touch()
+            return [([[0, 0]] * 4, "Total", 0.9), ([[0, 0]] * 4, "5", 0.9)]
+
+        return read
 
     def bad(options):
         def read(r):
@@ -211,7 +243,8 @@ def test_compare_engines(spark, tmp_path):
 
     out = pipeline.compare_engines(spark, str(tmp_path), {"easyocr": good, "pytesseract": bad}, step=None)
     rows = out.collect()
-    assert sorted(r.split for r in rows) == sorted(files.SPLITS) and all((r.image, r.better, r.easyocr.cer, r.pytesseract.cer, r.pytesseract.error) == ("a", "easyocr", 0.0, 1.0, "no engine") for r in rows)
+    assert len(list(calls.iterdir())) == 3  # images without ground truth, and those that don't decode, aren't recognised
+    assert sorted(r.split for r in rows) == sorted(files.SPLITS) and all((r.image, r.better, r.easyocr.cer, r.pytesseract.cer, r.pytesseract.error) == ("a.png", "easyocr", 0.0, 1.0, "no engine") for r in rows)
     import json
 
     lines = [json.loads(r.json) for r in evaluate.report_lines(out).collect()]
