@@ -95,10 +95,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Placing
 
 
 def write_pieces(docs: DataFrame, path: str, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes (row, doc_id, piece, start, length, ids) to `path`: ids are the encoding of the whole text (null: empty) and
-    end_id. Documents longer than the capacity are cut into pieces of the capacity, of which the first may be shorter."""
+    """Writes (row, doc_id, piece, start, length, ids_crc32, ids) to `path`: ids are the encoding of the whole text (null: empty)
+    and end_id, ids_crc32 is the unsigned checksum of a piece's ids as little-endian unsigned 32-bit integers. Documents longer
+    than the capacity are cut into pieces of the capacity, of which the first may be shorter."""
 
     def encode(batches):
+        import zlib
+
         import numpy as np
         import pyarrow as pa
 
@@ -112,7 +115,7 @@ def write_pieces(docs: DataFrame, path: str, tokenizer_path: str, capacity: int
                 while stop < batch.num_rows and size < 4 << 20:
                     size += len(texts[stop])
                     stop += 1
-                at, piece, before, lengths, flat = [], [], [], [], []
+                at, piece, before, lengths, crc, flat = [], [], [], [], [], []
                 for i, made in enumerate(encoder.folded(texts[start:stop]), start):
                     made += end
                     n = len(made) // 4
@@ -121,15 +124,16 @@ def write_pieces(docs: DataFrame, path: str, tokenizer_path: str, capacity: int
                     piece += range(len(cuts) - 1)
                     before += cuts[:-1]
                     lengths += [b - a for a, b in zip(cuts, cuts[1:])]
+                    crc += [zlib.crc32(made[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
                     flat.append(made)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
                 rows = batch.select([0, 1]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(piece, pa.int32()), pa.array(before, pa.int64()), pa.array(lengths, pa.int64()), ids], names=["row", "doc_id", "piece", "start", "length", "ids"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(piece, pa.int32()), pa.array(before, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64()), ids], names=["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
                 start = stop
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    out = rows.mapInArrow(encode, f"row long, doc_id {kind}, piece int, start long, length long, ids array<int>")
+    out = rows.mapInArrow(encode, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>")
     out.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
 
 
@@ -154,9 +158,9 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Packs documents into sequences of at most `capacity` tokens: (pieces, places).
 
-    pieces: row, doc_id, piece, start, length, ids, as written to `path` (the shared folder unless it is given); places: row,
-    doc_id, piece, sequence_id, offset. Joined by row and piece they are the packed corpus, see `sequences`; what needs only
-    digests of ids joins those, so that no ids are shuffled. Null and empty texts are the end id alone; repeated rows and
+    pieces: row, doc_id, piece, start, length, ids_crc32, ids, as written to `path` (the shared folder unless it is given);
+    places: row, doc_id, piece, sequence_id, offset. Joined by row and piece they are the packed corpus, see `sequences`; what
+    needs only the checksums reads no ids, see `digests`. Null and empty texts are the end id alone; repeated rows and
     rows of a null id are packed each; a text is encoded in blocks, its ids take 4 bytes each in its task; an empty
     table gives an empty result; other columns of docs are ignored.
     """
@@ -174,20 +178,6 @@ def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def digests(pieces: DataFrame, places: DataFrame) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit integers), sequence_id, offset."""
-
-    def digest(batches):
-        import zlib
-
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            ids = batch.column(4)
-            flat, cuts = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<i4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
-            view = memoryview(flat).cast("B")
-            crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], names=["row", "piece", "start", "length", "ids_crc32"])
-
-    read = pieces.select("row", "piece", "start", "length", "ids").mapInArrow(digest, "row long, piece int, start long, length long, ids_crc32 long")
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece; the ids are not read."""
+    read = pieces.select("row", "piece", "start", "length", "ids_crc32")
     return read.join(places, ["row", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
