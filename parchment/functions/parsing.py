@@ -101,3 +101,23 @@ def epoch_ms(date: Column) -> Column:
 
 def is_image_name(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1)).isin(".jpg", ".jpeg", ".png")
+
+
+#: Doubles from here on have no more than two places.
+WHOLE = 2.0**46
+
+
+def round2(x: Column) -> Column:
+    """x rounded to two places as its binary value has it, halves to even: 2.675, which is a little less, gives 2.67.
+
+    100 * x is taken without error as a rounded product and its remainder (x parted into two factors of few bits), so that a
+    product that looks like a half is judged by what was rounded off. Give it a column: it is used many times.
+    """
+    product = x * 100.0
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    remainder = (high * 100.0 - product) + (x - high) * 100.0
+    near = F.rint(product)
+    past = product - near
+    # rint took the even neighbour; the other is meant where the remainder tells so
+    up = F.when((past == 0.5) & (remainder > 0), near + 1.0).when((past == -0.5) & (remainder < 0), near - 1.0).otherwise(near)
+    return F.when(F.isnan(x) | (F.abs(x) >= WHOLE), x).otherwise(up / 100.0)

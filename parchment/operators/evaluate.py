@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.shared import stored
+from .selection import medians
+
 ENGINES = ("easyocr", "pytesseract")
 SHOWN = 100
 NOT_RUN = "No result"
@@ -59,21 +62,25 @@ def report(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count("*").alias("total_images"), *map(mean, ENGINES), *(F.count_if(F.col("better") == e).alias(f"{e}_better") for e in ENGINES))
 
 
-def report_lines(compared: DataFrame) -> DataFrame:
-    """The comparison's JSON report, a row a line: the means first, then an object for each image, in order of split and
-    name. Rows are objects of their own, so that a report of any size is written by many tasks."""
-    means = report(compared).select(F.lit(0).alias("part"), F.lit("").alias("split"), F.lit("").alias("image"), F.to_json(F.struct("*")).alias("json"))
-    rows = compared.select(F.lit(1).alias("part"), "split", "image", F.to_json(F.struct(*compared.columns), {"ignoreNullFields": "false"}).alias("json"))
-    return means.unionByName(rows).orderBy("part", "split", "image").select("json")
+def report_json(compared: DataFrame) -> tuple[DataFrame, str, str]:
+    """(rows (split, image, json), head, tail) of the comparison's report, one JSON object: the means, then `results` with an
+    object for each image in order of split and name. files.write_json_value writes it by many tasks."""
+    means = report(compared).select(F.to_json(F.struct("total_images", *(f"{e}_mean_cer" for e in ENGINES)))).first()[0]
+    rows = compared.select("split", "image", F.to_json(F.struct(*compared.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return rows, means[:-1] + ', "results": [', "]}"
 
 
 def summary(compared: DataFrame) -> DataFrame:
-    """A row an engine: n, mean, median, std (population), min, max of cer, and mean accuracy in percent."""
+    """A row an engine: n, mean, median, std (population), min, max of cer, and mean accuracy in percent. The median is
+    found by counting ranges, the rest are partial sums: no task holds an engine's values."""
     long = compared.select(F.explode(F.array(*(F.struct(F.lit(e).alias("engine"), F.col(e)["cer"].alias("cer")) for e in ENGINES))).alias("x")).select("x.*")
-    return long.groupBy("engine").agg(
-        F.count("*").alias("n"), F.avg("cer").alias("mean_cer"), F.percentile("cer", 0.5).alias("median_cer"), F.stddev_pop("cer").alias("std_cer"),
-        F.min("cer").alias("min_cer"), F.max("cer").alias("max_cer"), ((1 - F.avg("cer")) * 100).alias("mean_accuracy"),
+    long = stored(long, "cer")  # compared, with its ratios, is worked out once
+    middle = compared.sparkSession.createDataFrame(list(medians(long, "engine", "cer").items()), "engine string, median_cer double")
+    out = long.groupBy("engine").agg(
+        F.count("*").alias("n"), F.avg("cer").alias("mean_cer"), F.stddev_pop("cer").alias("std_cer"), F.min("cer").alias("min_cer"), F.max("cer").alias("max_cer"),
+        ((1 - F.avg("cer")) * 100).alias("mean_accuracy"),
     )
+    return out.join(F.broadcast(middle), "engine").select("engine", "n", "mean_cer", "median_cer", "std_cer", "min_cer", "max_cer", "mean_accuracy")
 
 
 def winner(compared: DataFrame) -> DataFrame:

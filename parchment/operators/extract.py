@@ -82,10 +82,10 @@ def receipts(elements: DataFrame, long: bool = False) -> DataFrame:
 
 
 def receipts_detailed(elements: DataFrame, items: int = 5) -> DataFrame:
-    """receipts with debug_info; the average confidence is rounded half to even at two places. A document that fails
+    """receipts with debug_info; the average confidence is rounded at two places by its binary value. A document that fails
     keeps its row: success is false, error tells why, the rest is null."""
     info = F.struct(
-        F.col("n_elements").cast("int").alias("ocr_elements_found"), F.bround(F.coalesce("average_confidence", F.lit(0.0)), 2).alias("average_confidence"),
+        F.col("n_elements").cast("int").alias("ocr_elements_found"), P.round2(F.coalesce("average_confidence", F.lit(0.0))).alias("average_confidence"),
         F.size("line_items").alias("line_items_detected"), F.coalesce("vendor", F.lit("")).alias("vendor_name"), F.slice("line_items", 1, items).alias("line_items"),
     )
     ok = F.col("error").isNull()

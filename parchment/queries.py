@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import categories as C
 from .functions import parsing as P
 from .functions import text_repair as R
-from .operators import evaluate, extract, images, repair
+from .operators import evaluate, extract, images, paragraphs, repair, terms
 from .plans import pipeline
-from .sources import synthetic
+from .sources import datasets, files, shared, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,12 +175,13 @@ SQL["total_fallback"] = of("SELECT doc_id, largest AS total FROM fields WHERE la
 
 @query
 def total_fallback_error(spark, sf_dir):
-    return extract.receipts(synthetic.elements(spark, sf_dir).where("seq = 0 OR text NOT LIKE '%otal%'").where("length(text) > 9 OR seq = 0")).where("NOT success").select("doc_id", "success", "error")
+    """Whole documents in which every price is beyond the range and no word tells the total: each fails but for those without a price."""
+    number = P.parse_amount(F.col("text"))
+    text = F.when(P.present(number), F.lit("99,000.00")).otherwise(F.regexp_replace("text", "(?i)total", "sum"))
+    return extract.receipts(synthetic.elements(spark, sf_dir).withColumn("text", text)).where("NOT success").select("doc_id", "success", "error")
 
 
-SQL["total_fallback_error"] = of(f"""SELECT doc_id, false AS success, '{NO_TOTAL}' AS error FROM parsed
-WHERE seq = 0 OR (text NOT LIKE '%otal%' AND length(text) > 9) GROUP BY doc_id
-HAVING count(*) FILTER (tw) = 0 AND count(*) FILTER (amount IS NOT NULL AND amount <> 0) > 0 AND count(*) FILTER (amount > 0.5 AND amount < 50000) = 0""")
+SQL["total_fallback_error"] = of(f"SELECT doc_id, false AS success, '{NO_TOTAL}' AS error FROM fields WHERE n_amounts > 0")
 
 
 @query
@@ -231,12 +232,20 @@ SQL["long_documents"] = f"""WITH made AS ({synthetic.elements_sql('duckdb')}), e
 # Categories ----------------------------------------------------------------------------------------------------------
 
 
+def _receipt_texts(spark, sf_dir):
+    return _category_text(spark, sf_dir).withColumnRenamed("t", "text")
+
+
 @query
 def category_terms(spark, sf_dir):
-    return C.term_table(spark).select("category", "ord", "term", "weight")
+    """Each term of the categories, and how many receipts have it."""
+    known = C.term_table(spark)
+    used = terms.matches(_receipt_texts(spark, sf_dir), known.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_receipts"))
+    return known.join(used, "term", "left").select("category", "ord", "term", "weight", F.coalesce("n_receipts", F.lit(0)).alias("n_receipts"))
 
 
-SQL["category_terms"] = of("SELECT category, ord::INT AS ord, term, weight::INT AS weight FROM terms")
+SQL["category_terms"] = of("""SELECT category, ord::INT AS ord, term, weight::INT AS weight, (SELECT count(*) FROM extracted WHERE contains(lower(vendor || ' ' || array_to_string(line_items, ' ')), term)) AS n_receipts
+FROM terms""")
 
 
 def _category_text(spark, sf_dir):
@@ -264,13 +273,43 @@ TIES = ("metro", "gas", "phone", "mobile", "chicken", "nothing", "sweet", "cinem
 
 @query
 def category_tiebreak(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in TIES], "vendor string")
-    return C.with_category(rows.withColumn("line_items", F.array().cast("array<string>"))).select("vendor", "category")
+    """Vendors whose scores tie, one for each order by its key."""
+    vendor = F.element_at(F.array(*map(F.lit, TIES)), (F.col("o_orderkey") % len(TIES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", vendor.alias("vendor"), F.array().cast("array<string>").alias("line_items"))
+    return C.with_category(rows).select("o_orderkey", "vendor", "category")
 
 
-SQL["category_tiebreak"] = of(f"""SELECT vendor, CASE WHEN max(s) > 0 THEN arg_max(category, s * 100 - ord) ELSE 'Other' END AS category FROM (
+SQL["category_tiebreak"] = of(f"""SELECT o_orderkey, vendor, category FROM (SELECT o_orderkey, list_extract([{", ".join(map(quoted, TIES))}], (o_orderkey % {len(TIES)} + 1)::INT) AS vendor FROM orders)
+JOIN (SELECT vendor, CASE WHEN max(s) > 0 THEN arg_max(category, s * 100 - ord) ELSE 'Other' END AS category FROM (
   SELECT vendor, category, ord, sum(CASE WHEN contains(vendor || ' ', term) THEN weight ELSE 0 END) AS s
-  FROM (VALUES {", ".join(f"({quoted(t)})" for t in TIES)}) v(vendor) CROSS JOIN terms GROUP BY ALL) GROUP BY vendor""")
+  FROM (VALUES {", ".join(f"({quoted(t)})" for t in TIES)}) v(vendor) CROSS JOIN terms GROUP BY ALL) GROUP BY vendor) USING (vendor)""")
+
+
+@query
+def category_by_table(spark, sf_dir):
+    """Categories by the index of a table of terms: as by the literal plan."""
+    return terms.with_category(extract.extract(synthetic.elements(spark, sf_dir)), C.term_table(spark)).select("doc_id", "category")
+
+
+SQL["category_by_table"] = SQL["category_argmax"]
+
+
+@query
+def category_user_terms(spark, sf_dir):
+    """A dictionary made of the parts' names, their words and beginnings of words, scored in the documents' whole texts."""
+    word = F.explode(F.concat(F.array("p_name"), F.split("p_name", " "))).alias("word")
+    size = F.explode(F.array(*map(F.lit, PREFIXES))).alias("size")
+    parts = table(spark, sf_dir, "part").select("p_type", word).select("p_type", "word", size).select(F.col("p_type").alias("category"), F.expr("left(word, size)").alias("term"))
+    known = parts.groupBy("category", "term").agg(F.count("*").alias("weight")).withColumn("ord", F.length("category"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return terms.scores(texts, known).select("doc_id", "category", "score")
+
+
+PREFIXES = (2, 3, 5, 30)
+SQL["category_user_terms"] = f"""WITH t AS (
+  SELECT category, term, count(*) AS weight FROM (SELECT p_type AS category, left(word, size) AS term FROM (
+    SELECT p_type, unnest(list_concat([p_name], string_split(p_name, ' '))) AS word FROM part) CROSS JOIN (VALUES {", ".join(f"({k})" for k in PREFIXES)}) s(size)) GROUP BY ALL
+) SELECT doc_id, category, sum(weight)::BIGINT AS score FROM documents JOIN t ON contains(lower(text), term) GROUP BY ALL"""
 
 
 # Whole plans ---------------------------------------------------------------------------------------------------------
@@ -348,12 +387,12 @@ SQL["response_json"] = of("""SELECT doc_id, CASE WHEN error IS NULL THEN 200 ELS
 
 @query
 def response_detailed(spark, sf_dir):
-    rows = pipeline.responses_detailed(synthetic.elements(spark, sf_dir).where("seq < 4"), fix=False)
+    rows = pipeline.responses_detailed(synthetic.elements(spark, sf_dir), fix=False)
     return rows.select("doc_id", "status", F.get_json_object("json", "$.data.debug_info.vendor_name").alias("vendor"), F.get_json_object("json", "$.data.debug_info.ocr_elements_found").cast("int").alias("found"), F.get_json_object("json", "$.error").alias("error"))
 
 
 SQL["response_detailed"] = of("""SELECT doc_id, CASE WHEN error IS NULL THEN 200 ELSE 500 END::INT AS status, CASE WHEN error IS NULL THEN vendor END AS vendor,
-  CASE WHEN error IS NULL THEN n_elements END::INT AS found, error FROM extracted""", f"all_e AS ({synthetic.elements_sql('duckdb')}), e AS (SELECT * FROM all_e WHERE seq < 4)")
+  CASE WHEN error IS NULL THEN n_elements END::INT AS found, error FROM extracted""")
 
 
 @query
@@ -366,6 +405,37 @@ SQL["file_ext_filter"] = f"""SELECT doc_id, name, coalesce(lower(regexp_extract(
 FROM (SELECT doc_id, source || list_extract([{", ".join(map(quoted, EXTENSIONS))}], (doc_id % {len(EXTENSIONS)} + 1)::INT) AS name FROM documents)"""
 
 
+@query
+def result_files(spark, sf_dir):
+    """A file a receipt, written by the sink and read back; a third of the documents have names whose stems clash."""
+    order = F.col("doc_id").cast("long")
+    named = extract.receipts(synthetic.elements(spark, sf_dir)).withColumn("doc_id", F.concat(F.when(order % 3 == 0, (order - order % 2).cast("string")).otherwise(F.col("doc_id")), F.when(order % 2 == 0, ".png").otherwise(".jpg")))
+    at = shared.path(spark, "results")
+    datasets.write_results(named, at)
+    files_ = spark.read.text(at, wholetext=True)
+    kind = "doc_id string, success boolean, date string, total double, category string, error string"
+    return files_.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("name"), F.from_json("value", kind).alias("r")).select("name", "r.*")
+
+
+NAMED = """SELECT CASE WHEN doc_id::BIGINT % 3 = 0 THEN (doc_id::BIGINT - doc_id::BIGINT % 2)::VARCHAR ELSE doc_id END || CASE WHEN doc_id::BIGINT % 2 = 0 THEN '.png' ELSE '.jpg' END AS doc_id,
+  COLUMNS(* EXCLUDE (doc_id)) FROM (SELECT """ + RECEIPT_FIELDS + " FROM extracted JOIN chosen USING (doc_id))"
+SQL["result_files"] = of(f"""SELECT regexp_extract(doc_id, '^(.*)\\.', 1) || CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY regexp_extract(doc_id, '^(.*)\\.', 1)) THEN '' ELSE '_' || sha256(doc_id)[1:16] END || '_result.json' AS name, *
+FROM ({NAMED})""")
+
+
+@query
+def json_array(spark, sf_dir):
+    """All receipts as one JSON array, read back as lines: an object each, with a comma but for the last."""
+    at = shared.path(spark, "array")
+    files.write_json_array(extract.receipts(synthetic.elements(spark, sf_dir)), at, ["doc_id"])
+    lines = spark.read.text(at).where("value NOT IN ('[', ']')")
+    kind = "doc_id string, success boolean, date string, total double, category string, error string"
+    return lines.select(F.from_json(F.regexp_replace("value", ",$", ""), kind).alias("r"), F.endswith("value", F.lit(",")).alias("comma")).select("r.*", "comma")
+
+
+SQL["json_array"] = of(f"SELECT {RECEIPT_FIELDS}, doc_id <> max(doc_id) OVER () AS comma FROM extracted JOIN chosen USING (doc_id)")
+
+
 # Repair --------------------------------------------------------------------------------------------------------------
 
 #: Deterministic damage, by doc_id, to the lines of the documents and to fixed cases: ASCII but for Arabic letters.
@@ -521,6 +591,52 @@ SQL["bbox_geometry"] = """SELECT l_orderkey, l_partkey, l_suppkey, x, y, x / 640
 SELECT *, trunc((4 * (l_partkey % 97) + 64) / 4.0::DOUBLE)::INT AS x, trunc((4 * (l_suppkey % 89) + 36) / 8.0::DOUBLE)::INT AS y FROM lineitem)"""
 
 
+@query
+def bbox_paragraphs(spark, sf_dir):
+    """An order's lines as boxes: paragraphs, each told by its first element, the number of its boxes and their bounds."""
+    x, y = (F.col("l_partkey") * 7 % 197).cast("double"), (F.col("l_suppkey") * 3 % 89).cast("double")
+    high, wide = (F.col("l_linenumber") % 3 + 8).cast("double"), (F.col("l_partkey") % 30 + 10).cast("double")
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")) - 1
+    box = F.array(F.array(x, y), F.array(x + wide, y), F.array(x + wide, y + high), F.array(x, y + high))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), seq.alias("seq"), F.col("l_returnflag").alias("text"), F.lit(0.5).alias("confidence"), box.alias("bbox"))
+    found = paragraphs.paragraphs(rows)
+    at = lambda i, j: F.col("bbox")[i][j]
+    return found.select("doc_id", "seq", "n_boxes", at(0, 0).alias("left"), at(0, 1).alias("top"), at(2, 0).alias("right"), at(2, 1).alias("bottom"))
+
+
+SQL["bbox_paragraphs"] = """WITH RECURSIVE b AS MATERIALIZED (
+  SELECT l_orderkey AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS i,
+    (l_partkey * 7 % 197)::DOUBLE AS x1, (l_suppkey * 3 % 89)::DOUBLE AS y1, (l_partkey * 7 % 197 + l_partkey % 30 + 10)::DOUBLE AS x2, (l_suppkey * 3 % 89 + l_linenumber % 3 + 8)::DOUBLE AS y2
+  FROM lineitem
+), near AS MATERIALIZED (
+  SELECT a.d, a.i, b.i AS j FROM b a JOIN b ON a.d = b.d
+  WHERE greatest(a.x1, b.x1) - least(a.x2, b.x2) <= (a.y2 - a.y1 + b.y2 - b.y1) / 2 AND greatest(a.y1, b.y1) - least(a.y2, b.y2) <= 0.5::DOUBLE * (a.y2 - a.y1 + b.y2 - b.y1) / 2
+), reach AS (
+  SELECT d, i, i AS j FROM b UNION SELECT r.d, r.i, n.j FROM reach r JOIN near n ON n.d = r.d AND n.i = r.j
+), least_of AS (SELECT d, i, min(j) AS p FROM reach GROUP BY d, i)
+SELECT d::VARCHAR AS doc_id, p::INT AS seq, count(*)::INT AS n_boxes, min(x1) AS left, min(y1) AS top, max(x2) AS right, max(y2) AS bottom FROM least_of JOIN b USING (d, i) GROUP BY d, p"""
+
+
+@query
+def round_binary(spark, sf_dir):
+    """Prices over 8, over 200 and over 3 at two places: halves that are exact, and those that only look so."""
+    price = F.col("l_extendedprice")
+    parts = {"eighths": F.floor(price) / 8.0, "thousandths": F.floor(price) / 1000.0, "thirds": price / 3.0}
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(v.alias(k) for k, v in parts.items()))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(P.round2(F.col(k)).alias(k) for k in parts))
+
+
+def _round_sql(x: str) -> str:
+    """By whole numbers: x is below 2^17, so x * 2^70 is a whole number unless x is tiny; its hundredfold is halved exactly."""
+    n, half = f"(({x}) * 1180591620717411303424)::HUGEINT * 100", "590295810358705651712"
+    q, r = f"(({n}) // 1180591620717411303424)", f"(({n}) % 1180591620717411303424)"
+    return f"({q} + CASE WHEN {r} > {half} OR ({r} = {half} AND {q} % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 100.0::DOUBLE"
+
+
+SQL["round_binary"] = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_round_sql("eighths")} AS eighths, {_round_sql("thousandths")} AS thousandths, {_round_sql("thirds")} AS thirds
+FROM (SELECT *, floor(l_extendedprice) / 8.0::DOUBLE AS eighths, floor(l_extendedprice) / 1000.0::DOUBLE AS thousandths, l_extendedprice / 3.0::DOUBLE AS thirds FROM lineitem)"""
+
+
 @query
 def image_skew(spark, sf_dir):
     """Each supplier's page, turned by a known angle: the angle found is that within a degree."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.parsing import is_image_name
 from ..functions.text_repair import stripped
 from ..schema import ELEMENTS
+from .shared import stored
 
 ANY_IMAGE = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}"
 SPLITS = ("train", "val", "test")
@@ -34,7 +35,7 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
 
 def ground_truth(spark: SparkSession, path: str, split: str) -> DataFrame:
     """split, stem, ground_truth of the .txt files beside the images."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    texts = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return texts.select(F.lit(split).alias("split"), stem(F.col("_metadata.file_path")).alias("stem"), stripped(F.col("value")).alias("ground_truth"))
 
 
@@ -60,10 +61,34 @@ def write_json(receipts: DataFrame, path: str) -> None:
     receipts.write.option("ignoreNullFields", False).json(path)
 
 
-def write_json_array(rows: DataFrame, path: str) -> None:
-    """All rows as one JSON array in one file under `path`, for a batch of documents whose result one task can hold."""
-    body = F.concat(F.lit("[\n  "), F.array_join(F.collect_list(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})), ",\n  "), F.lit("\n]"))
-    rows.agg(body.alias("value")).coalesce(1).write.text(path)
+def write_json_value(rows: DataFrame, path: str, order: list[str], head: str = "[", tail: str = "]", ranges: int | None = None) -> None:
+    """rows (with a column json) as one JSON value, in `order`: head, the rows parted by commas, tail. The value is what the
+    part files under `path` give one after the other, in order of their names.
+
+    Rows are dealt by range of the order, and a task writes its range; which row is the first and which the last, so
+    which has the head, which the tail and no comma, follows from the number of rows of each range: no row meets those of
+    another range. Nothing but the counts, a number a range, reaches the driver. Without rows the value is head and tail.
+    """
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order, F.xxhash64("json")).sortWithinPartitions(*order)
+    # the number of a row: its range, and in the low 33 bits its place there
+    numbered = stored(dealt.select("json", F.monotonically_increasing_id().alias("number")), "parts")
+    at = F.shiftright("number", 33).cast("int")
+    counts = {r["part"]: r["n"] for r in numbered.groupBy(at.alias("part")).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        rows.sparkSession.createDataFrame([(head + tail,)], "value string").coalesce(1).write.text(path)
+        return
+    first, last = min(counts) << 33, (max(counts) << 33) + counts[max(counts)] - 1
+    before = F.when(F.col("number") == first, F.lit(f"{head}\n")).otherwise("")
+    after = F.when(F.col("number") == last, F.lit(f"\n{tail}")).otherwise(",")
+    lines = numbered.repartitionById(max(counts) + 1, at).sortWithinPartitions("number")
+    lines.select(F.concat(before, "json", after).alias("value")).write.text(path)
+
+
+def write_json_array(rows: DataFrame, path: str, order: list[str]) -> None:
+    """All rows as one JSON array, see write_json_value; the order's columns are of rows."""
+    json = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    write_json_value(rows.select(*order, json.alias("json")), path, order)
 
 
 def as_json(receipts: DataFrame) -> DataFrame:

@@ -122,13 +122,13 @@ def test_responses_and_json(spark, tmp_path):
 
 
 def test_files_and_recognition(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("  hello\n", encoding="utf-8")
+    (tmp_path / "a.txt").write_text("  hello\n\nworld \n", encoding="utf-8")
     ppm = b"P6 4 2 255\n" + bytes(range(24))
     for name in ("a.JPG", "b.png", "c.gif"):
         (tmp_path / name).write_bytes(ppm)
     assert [r.path.rsplit("/", 1)[1] for r in files.image_files(spark, str(tmp_path)).select("path").collect()] == ["a.JPG", "b.png"]
     truth = files.ground_truth(spark, str(tmp_path), "train").collect()
-    assert [(r.split, r.stem, r.ground_truth) for r in truth] == [("train", "a", "hello")]
+    assert [(r.split, r.stem, r.ground_truth) for r in truth] == [("train", "a", "hello\n\nworld")]
     rows = spark.createDataFrame([("good", 2, 2, 1, bytearray(4)), ("bad", 2, 2, 1, None)], "path string, height int, width int, channels int, content binary")
 
     def reader(options):
