@@ -417,10 +417,63 @@ def test_decontamination_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:30])], "item_id long, text string")
     pairs = lambda: {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
     whole = pairs()
-    monkeypatch.setattr(decontaminate, "BLOCK", 7)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
     assert pairs() == whole and {(i, i) for i in range(30) if len((rows[i][1] or "").split()) >= 5} <= whole
 
 
+def passages_by_hand(doc, item, tolerance=0.2, least=13):
+    """(most matches of a passage, whether there is one): all diagonals, all stretches begun and ended by equal tokens."""
+    need, top = min(least, max(5, (len(item) + 1) // 2)), None
+    for shift in range(-len(item), len(doc)):
+        same = [k for k in range(len(item)) if 0 <= k + shift < len(doc) and doc[k + shift] == item[k]]
+        longest = max(((b - a + 1, -a) for i, a in enumerate(same) for j, b in enumerate(same[i:], i) if (b - a + 1) * (1 - tolerance) <= j - i + 1 + 1e-9), default=None)
+        if longest and longest[0] >= need:
+            matches = sum(-longest[1] <= k < -longest[1] + longest[0] for k in same)
+            top = max(top or 0, matches)
+    return top
+
+
+def test_decontamination_several_passages_a_diagonal(spark):
+    """Few words, so that passages meet, lie on one diagonal, and repeat."""
+    rng = random.Random(33)
+    items = [(i, " ".join(f"i{i}w{rng.randrange(60)}" for _ in range(rng.randint(10, 60)))) for i in range(12)]
+    items += [(20, "one " * 40), (21, "a b " * 30), (22, "p q r s " * 12 + "t u v w x y z")]
+    docs = []
+    for k in range(150):
+        words = items[k % len(items)][1].split()
+        doc = [w if rng.random() < rng.choice([0.5, 0.85, 0.95]) else f"x{rng.randrange(10**6)}" for w in words]
+        if k % 3 == 0:  # parts of it far from each other in likeness, at their places
+            for a in range(0, len(doc), 15):
+                if rng.random() < 0.4:
+                    doc[a : a + 9] = [f"y{rng.randrange(10**6)}" for _ in doc[a : a + 9]]
+        if k % 4 == 0:
+            doc = doc[rng.randrange(10) :] + doc[: rng.randrange(10)]
+        docs.append((k, " ".join(["before"] * rng.randrange(3) + doc + ["after"]), "en", "a"))
+    out = {(r.doc_id, r.item_id): r.n_matches for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d[0], i): passages_by_hand(d[1].split(), t.split()) for d in docs for i, t in items}
+    assert set(out) == {k for k, n in want.items() if n} and len(out) > 60
+    assert all(want[k] >= n >= 0.8 * want[k] for k, n in out.items())
+
+
+def test_passage_beside_a_longer_stretch(spark):
+    """A passage is found though a longer stretch of its diagonal, of the same likeness, ends on unequal tokens."""
+    item = [f"t{i}" for i in range(60)]
+    passage = [w if i not in (3, 8) else "sub" for i, w in enumerate(item[20:33])]
+    far = [f"n{i}" for i in range(7)]
+    docs = [(1, " ".join(item[:12] + far + ["x"] + passage), "en", "a"), (2, " ".join(passage), "en", "a")]
+    out = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in out} == {1, 2}
+
+
+def test_repeated_tokens_cost_their_length(spark):
+    import time
+
+    docs = [(1, "again " * 20_000, "en", "a"), (2, "to and fro " * 7_000, "en", "a")]
+    bench = spark.createDataFrame([(1, "again " * 10_000), (2, "to and fro " * 3_000)], "item_id long, text string")
+    found, start = decontaminate.contaminated(frame(spark, docs), bench), time.time()
+    assert {(r.doc_id, r.item_id, r.n_tokens) for r in found.collect()} == {(1, 1, 10_000), (2, 2, 9_000)} and time.time() - start < 30
+
+
 def lines_by_hand(rows):
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
     places = [(r[0], k, norm(x)) for r in rows for k, x in enumerate((r[1] or "").split("\n")) if norm(x)]
