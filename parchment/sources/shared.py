@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,23 @@ def path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/parchment/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files: Spark removes a query's when it ends, not when the driver collects its
+    garbage. A written table needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: what was dealt once stays so, and lineage ends here."""
+    """df written to the shared folder and read back: what was dealt once stays so, lineage ends here, and a lost executor
+    costs nothing."""
     at = path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(at)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
