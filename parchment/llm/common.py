@@ -3,11 +3,11 @@ size-checked broadcasts and connected components. Nothing here gathers rows of t
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 #: Largest table, in estimated bytes, that an operator may broadcast.
 BROADCAST_LIMIT = 64 << 20
 #: Keys of at least this part of all rows are hot, see `joined`.
@@ -20,25 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = f"file:///tmp/parchment-{sc.applicationId}"
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/parchment/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return shared.path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends here and a lost executor costs nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read back: lineage ends here, a lost executor costs nothing, and what was shuffled
+    for it leaves the disks."""
+    return shared.stored(df, name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

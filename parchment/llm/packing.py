@@ -11,6 +11,7 @@ from bisect import bisect_left, bisect_right, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from .common import prefix_sum, shared_path, small, stored, text_or_empty
 
 CAPACITY = 2048
@@ -134,7 +135,8 @@ def write_pieces(docs: DataFrame, path: str, tokenizer_path: str, capacity: int
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     out = rows.mapInArrow(encode, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>")
-    out.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    with shared.shuffles_removed(docs.sparkSession):
+        out.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored, text_or_empty
+from .common import connected_components, joined, stored, text_or_empty
 
 #: 64 bits in five segments; two fingerprints at distance 4 or less have a segment from which every chain of l
 #: consecutive segments (round the ring) differs in at most 4 * l / 5 bits: 0, 1, 2, 3, 4.
@@ -58,7 +58,7 @@ def _above(key: Column):
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between the ids of the rows (id, fp), fp distinct, that connect whatever is within DISTANCE.
+    """Edges (a, b) between the ids (whole numbers) of the rows (id, fp), fp distinct, that connect whatever is within DISTANCE.
 
     Chains of two segments are the join key: the first equal, the second within one bit. Every fingerprint is at home
     under its own pair of segments for each start, and visits the pairs one bit away in the second (the larger ones
@@ -139,13 +139,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, id_col: str = "doc_id", tex
     """One row a document: id_col, fingerprint (16 hex digits), component_id (smallest id reachable over links of
     DISTANCE differing bits or fewer, itself included).
 
-    Equal fingerprints meet in an aggregate, so copies are one row of what follows. ids are whole numbers; rows of
-    null id have their fingerprint's component. Null and empty texts, like those without a word, have fingerprint
-    zero, linked like any other; repeated rows are repeated; an empty table gives an empty result; other columns of
-    docs are ignored.
+    Fingerprints are what is linked, whatever ids they have, so a document of null id links others; rows of null id have
+    their fingerprint's component, which is null where no row of it has an id. Equal fingerprints meet in an aggregate,
+    so copies are one row of what follows, and fingerprints or components of many rows are joined by broadcast. ids are
+    whole numbers. Null and empty texts, like those without a word, have fingerprint zero, linked like any other; texts
+    are read whole, whatever their length; repeated rows are repeated; an empty table gives an empty result; other columns
+    of docs are ignored.
     """
     prints = stored(fingerprints(docs, words, id_col, text_col), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("id").cast("long").alias("id"))
-    found = connected_components(links(distinct.where("id is not null")))
-    classes = distinct.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").cast("long").alias("id"), F.count("*").alias("n_rows")), "distinct")
+    found = connected_components(links(distinct.select(F.col("fp").alias("id"), "fp")))
+    classes = stored(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", "n_rows", F.coalesce("component", "fp").alias("component")), "classes")
+    firsts = stored(classes.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "firsts")
+    table = joined(classes, firsts, "component", 32).select("fp", "component_id", F.col("n_rows").alias("n"))
+    placed = joined(prints, stored(table, "table"), "fp", 32)
+    return placed.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from .common import shared_path, shuffle_partitions, stored, text_or_empty
 
 #: Rows beside the ids, so that a read of them touches no page of ids.
@@ -50,7 +51,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     out = dealt.mapInArrow(encode, SCHEMA.format(kind=docs.schema[id_col].dataType.simpleString()))
-    out.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.enable.dictionary", str(dictionary).lower()).option("parquet.writer.version", "v1" if dictionary else "v2").parquet(path)
+    with shared.shuffles_removed(docs.sparkSession):
+        out.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.enable.dictionary", str(dictionary).lower()).option("parquet.writer.version", "v1" if dictionary else "v2").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
