@@ -336,7 +336,7 @@ def test_simhash(spark):
 
 def test_rows_without_an_id_link_others(spark, monkeypatch):
     """1 and 2 are alike only by way of a row of no id; a component without any id has none."""
-    prints = [(1, 0), (None, 0b1111), (2, 0b11111111), (None, 0xA5 << 56), (None, (0xA5 << 56) | 1), (5, 2**40 - 1), (5, 2**40 - 1), (9, 2**40 - 1)]
+    prints = [(1, 0), (None, 0b1111), (2, 0b11111111), (None, 0xA5A5 << 48), (None, (0xA5A5 << 48) | 1), (5, 2**40 - 1), (5, 2**40 - 1), (9, 2**40 - 1)]
     rows = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in prints], "id long, fp long")
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
     out = sorted(((r.id, r.component_id) for r in simhash.near_duplicates(rows, id_col="id").collect()), key=str)
