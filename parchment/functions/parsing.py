@@ -22,8 +22,6 @@ SHORT_YEAR = r"(?U)\b\d{1,2}[-/]\d{1,2}[-/]\d{2}\b"
 AMOUNT = r"(?U)\b\d{1,3}(?:[,\s]\d{3})*(?:[.,]\d{2})?\b"
 CURRENCY = r"(?iu)[EGP$£€¥₹₪﷼]"
 NOT_AN_ITEM = r"(?iu)^[EGP$£€]"
-#: ASCII digits only where a day or a month stands; a year of four digits may be in others.
-PLAIN = r"^[0-9]+$"
 OTHER_DIGITS, DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 
 
@@ -44,6 +42,7 @@ def iso_date(year: Column, month: Column, day: Column) -> Column:
 def date_parts(text: Column) -> Column:
     """The numbers, as text, of the first date of the first pattern that matches; null without one."""
     found = F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in (YEAR_FIRST, YEAR_LAST, SHORT_YEAR)))
+    found = F.when(F.contains(text, F.lit("-")) | F.contains(text, F.lit("/")), found)  # most texts have neither, and need no pattern
     return F.split(F.translate(found, "/", "-"), "-")
 
 
@@ -51,7 +50,8 @@ def date_numbers(parts: Column) -> Column:
     """date_parts as whole numbers, with the lengths of the first and last. A part in other digits than ASCII is a number
     only where it has four, that is, is a year."""
     part = lambda i: F.try_element_at(parts, F.lit(i + 1))
-    plain = lambda i: F.when((F.length(part(i)) == 4) | part(i).rlike(PLAIN), F.translate(part(i), OTHER_DIGITS, DIGITS))
+    # digits of one byte each are ASCII
+    plain = lambda i: F.when((F.length(part(i)) == 4) | (F.octet_length(part(i)) == F.length(part(i))), F.translate(part(i), OTHER_DIGITS, DIGITS))
     number = lambda i, name: plain(i).try_cast("int").alias(name)
     return F.struct(number(0, "a"), number(1, "b"), number(2, "c"), F.length(part(0)).alias("first"), F.length(part(2)).alias("last"))
 
@@ -80,7 +80,8 @@ def parse_date(text: Column) -> Column:
 def parse_amount(text: Column) -> Column:
     """The first amount with grouped thousands. 0.0 is an amount here; `present` tells those that count."""
     bare = stripped(F.regexp_replace(stripped(text), CURRENCY, ""))
-    found = F.nullif(F.regexp_extract(bare, AMOUNT, 0), F.lit(""))
+    digits = (F.octet_length(text) > F.length(text)) | text.rlike("[0-9]")  # an ASCII text without a digit has no amount
+    found = F.when(digits, F.nullif(F.regexp_extract(bare, AMOUNT, 0), F.lit("")))
     return F.translate(F.translate(found, " ,", ""), OTHER_DIGITS, DIGITS).try_cast("double")
 
 

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # SQL of the shared parts ---------------------------------------------------------------------------------------------
 
-E = f"e AS ({synthetic.elements_sql('duckdb')})"
+E = f"e AS ({synthetic.elements_sql()})"
 #: The doc_id of these is checked as text; ASCII only, where RE2 and Java agree.
 WS = r"[\s\x{85}\x{a0}]+"
 
@@ -224,7 +224,7 @@ FRAMED = FIELDS.replace(FIELDS[FIELDS.index("kw_dates AS (") : FIELDS.index("fie
 ), candidates AS (
   SELECT doc_id, max(near_best) AS best FROM framed WHERE tw AND near_best IS NOT NULL GROUP BY 1
 ), """)
-SQL["long_documents"] = f"""WITH made AS ({synthetic.elements_sql('duckdb')}), e AS (
+SQL["long_documents"] = f"""WITH made AS ({synthetic.elements_sql()}), e AS (
   SELECT CASE WHEN doc_id::BIGINT % 2 = 0 THEN 'long' ELSE doc_id END AS doc_id, doc_id::BIGINT * 4096 + seq AS seq, text, confidence FROM made
 ), {FRAMED} SELECT doc_id, date, total, error, n_elements, vendor, len(line_items)::INT AS n_items, md5(array_to_string(line_items, '|')) AS items FROM extracted"""
 
@@ -574,7 +574,7 @@ def repair_all(spark, sf_dir):
 
 
 SQL["repair_all"] = f"WITH {TURNS}, t AS (SELECT id, text, text AS original_text FROM w), {repair_sql('t', 'r')} SELECT * FROM r"
-SQL["receipts_repaired"] = of(f"SELECT {RECEIPT_FIELDS} FROM extracted JOIN chosen USING (doc_id)", f"made AS ({synthetic.elements_sql('duckdb')}), {repair_sql('made', 'e')}")
+SQL["receipts_repaired"] = of(f"SELECT {RECEIPT_FIELDS} FROM extracted JOIN chosen USING (doc_id)", f"made AS ({synthetic.elements_sql()}), {repair_sql('made', 'e')}")
 
 
 # Images and evaluation -----------------------------------------------------------------------------------------------

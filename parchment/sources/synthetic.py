@@ -1,39 +1,69 @@
-"""Receipts as element rows, made from the order tables: the same SQL for Spark and for DuckDB."""
+"""Receipts as element rows, and pages as pixels, made from the order tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VENDORS = ("Tabali", "Carrefour Market", "Uber", "Seif Pharmacy", "Vodafone Store", "Galaxy Cinema", "Zara", "Unknown Store", "Chicken Fila", "Hilton Apartment", "City Library", "Dove Salon")
 ITEMS = ("Bread", "Milk", "Pepsi", "Taxi ride", "Netflix subscription", "Shampoo", "Medicine", "Laptop", "Books", "Monthly house rent", "Internet bill", "Cheese Fries", "Fish", "Eggs", "Mobile phone")
 
-DIALECTS = {
-    "spark": {"pick": lambda words, i: f"element_at(array({', '.join(repr(w) for w in words)}), cast({i} + 1 as int))", "money": "format_number({}, 2)", "plain": "format_string('%.2f', {})", "day": lambda x, f: f"date_format({x}, '{f}')"},
-    "duckdb": {"pick": lambda words, i: f"list_extract([{', '.join(repr(w) for w in words)}], cast({i} + 1 as int))", "money": "format('{{:,.2f}}', {})", "plain": "format('{{:.2f}}', {})", "day": lambda x, f: f"strftime({x}, '{f.replace('yyyy', '%Y').replace('yy', '%y').replace('MM', '%m').replace('dd', '%d')}')"},
-}
 
 
-def elements_sql(dialect: str) -> str:
-    """A query of doc_id, seq, text, confidence. Orders differ by key in the form of dates and prices, and some lack a
-    date or a total line."""
-    d = DIALECTS[dialect]
-    money, plain, day = (lambda x: d["money"].format(x)), (lambda x: d["plain"].format(x)), d["day"]
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq, text, confidence of a receipt for each order. Orders differ by key in the form of dates and prices, and some
+    lack a date or a total line.
+
+    An order's lines are numbered and counted by one window, joined with the order on the window's key, and each joined
+    row gives its elements with their places: orders and lines are read, shuffled and sorted once.
+    """
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    of_order = Window.partitionBy("l_orderkey")
+    in_order = of_order.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    lines = lines.withColumns({"k": F.row_number().over(in_order), "n": F.count("*").over(of_order).cast("int")}).select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "k", "n")
+    rows = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left")
+    key, n, k = F.col("o_orderkey"), F.coalesce("n", F.lit(0)), F.col("k")
+    pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), (i % len(words) + 1).cast("int"))
+    day = lambda f: F.date_format("o_orderdate", f)
+    price = F.format_number("l_extendedprice", 2)
+    date = (
+        F.when(key % 5 == 0, F.concat(F.lit("Date: "), day("dd-MM-yyyy"))).when(key % 5 == 1, F.concat(F.lit("Date "), day("yyyy/MM/dd")))
+        .when(key % 5 == 2, day("dd/MM/yy")).when(key % 5 == 3, F.concat(F.lit("Bill date "), day("MM-dd-yyyy"))).otherwise("Server 7")
+    )
+    price = F.when(key % 7 == 6, F.format_string("%.2f", "l_extendedprice")).when(key % 7 == 5, F.concat(F.lit("EGP "), price)).otherwise(price)
+    at = lambda seq, text: F.struct(seq.cast("int").alias("seq"), text.alias("text"))
+    end = 2 * n + 2
+    told = key % 6 != 5  # whether a line tells the total
+    ends = F.array(
+        at(F.lit(0), pick(VENDORS, F.coalesce("l_suppkey", "o_custkey"))), at(F.lit(1), date),
+        F.when(told, at(end, F.when(key % 3 == 0, "Grand Total").otherwise("Total"))), at(end + told.cast("int"), F.format_number("o_totalprice", 2)),
+    )
+    line = F.array(at(2 * k, pick(ITEMS, F.col("l_partkey"))), at(2 * k + 1, price))
+    none = F.array().cast("array<struct<seq:int,text:string>>")
+    parts = F.concat(F.when(F.coalesce(k, F.lit(1)) == 1, F.array_compact(ends)).otherwise(none), F.when(k.isNotNull(), line).otherwise(none))
+    out = rows.select(key.cast("string").alias("doc_id"), F.inline(parts))
+    return out.withColumn("confidence", (32 + (F.col("seq") * 7) % 32).cast("double") / 64)
+
+
+def elements_sql() -> str:
+    """The same rows in DuckDB's SQL."""
+    pick = lambda words, i: f"list_extract([{', '.join(map(repr, words))}], ({i} % {len(words)} + 1)::INT)"
+    money = lambda x: f"format('{{:,.2f}}', {x})"
     return f"""
 WITH li AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS k
   FROM lineitem
 ), raw AS (
-  SELECT o_orderkey, 0 AS block, {d["pick"](VENDORS, f"coalesce(l_suppkey, o_custkey) % {len(VENDORS)}")} AS text
+  SELECT o_orderkey, 0 AS block, {pick(VENDORS, "coalesce(l_suppkey, o_custkey)")} AS text
   FROM orders LEFT JOIN li ON l_orderkey = o_orderkey AND k = 1
   UNION ALL
-  SELECT o_orderkey, 1, CASE o_orderkey % 5 WHEN 0 THEN concat('Date: ', {day("o_orderdate", "dd-MM-yyyy")}) WHEN 1 THEN concat('Date ', {day("o_orderdate", "yyyy/MM/dd")})
-    WHEN 2 THEN {day("o_orderdate", "dd/MM/yy")} WHEN 3 THEN concat('Bill date ', {day("o_orderdate", "MM-dd-yyyy")}) ELSE 'Server 7' END
+  SELECT o_orderkey, 1, CASE o_orderkey % 5 WHEN 0 THEN concat('Date: ', strftime(o_orderdate, '%d-%m-%Y')) WHEN 1 THEN concat('Date ', strftime(o_orderdate, '%Y/%m/%d'))
+    WHEN 2 THEN strftime(o_orderdate, '%d/%m/%y') WHEN 3 THEN concat('Bill date ', strftime(o_orderdate, '%m-%d-%Y')) ELSE 'Server 7' END
   FROM orders
   UNION ALL
-  SELECT l_orderkey, 2 * k, {d["pick"](ITEMS, f"l_partkey % {len(ITEMS)}")} FROM li
+  SELECT l_orderkey, 2 * k, {pick(ITEMS, "l_partkey")} FROM li
   UNION ALL
-  SELECT l_orderkey, 2 * k + 1, CASE l_orderkey % 7 WHEN 6 THEN {plain("l_extendedprice")} WHEN 5 THEN concat('EGP ', {money("l_extendedprice")}) ELSE {money("l_extendedprice")} END FROM li
+  SELECT l_orderkey, 2 * k + 1, CASE l_orderkey % 7 WHEN 6 THEN format('{{:.2f}}', l_extendedprice) WHEN 5 THEN concat('EGP ', {money("l_extendedprice")}) ELSE {money("l_extendedprice")} END FROM li
   UNION ALL
   SELECT o_orderkey, 1000001, CASE o_orderkey % 3 WHEN 0 THEN 'Grand Total' ELSE 'Total' END FROM orders WHERE o_orderkey % 6 <> 5
   UNION ALL
@@ -44,14 +74,6 @@ WITH li AS (
 SELECT doc_id, seq, text, CAST(32 + (seq * 7) % 32 AS DOUBLE) / 64 AS confidence FROM numbered"""
 
 
-def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The element rows of the tables in a folder; names of views stay free."""
-    sql, args = elements_sql("spark"), {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")}
-    for t in args:
-        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(sql, **args)
-
-
 #: Angles by which pages are turned, in degrees, by supplier.
 ANGLES = (0, 5, -7, 12, -16, 21, -26, 3)
 
