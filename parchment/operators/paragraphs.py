@@ -55,28 +55,32 @@ def reading_order(boxes: np.ndarray) -> list[int]:
     return out
 
 
-def paragraphs(elements: DataFrame, near_x: float = NEAR_X, near_y: float = NEAR_Y) -> DataFrame:
+def paragraphs(elements: DataFrame, near_x: float = NEAR_X, near_y: float = NEAR_Y, keep: tuple[str, ...] = (), others: bool = False) -> DataFrame:
     """Elements (doc_id, seq, text, confidence, bbox) to one element a paragraph: doc_id, seq (that of its first element),
     text (in reading order, parted by spaces), confidence (mean), bbox (the rectangle around all), n_boxes.
 
     Boxes are joined where they are near, directly or through others. Documents are dealt to tasks by hash and come one
-    after the other, sorted; a task holds the boxes of one image at a time. Elements without a box or a text stay out;
-    a document of none gives no row.
+    after the other, sorted; a task holds the boxes of one image at a time. Elements without a box or a text stay out, or
+    with others=True as they are, with n_boxes 0. Columns `keep`, which are the same for all elements of a document, stay.
     """
-    schema = "doc_id string, seq int, text string, confidence double, left double, top double, right double, bottom double, n_boxes int"
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in elements.schema if f.name in keep)
+    schema = "doc_id string, seq int, text string, confidence double, left double, top double, right double, bottom double, n_boxes int" + more
     types = to_arrow_schema(elements.sparkSession.createDataFrame([], schema).schema)
 
-    def joined(rows: list[dict]) -> list[dict]:
+    def joined(every: list[dict]) -> list[dict]:
+        out = [r | {"n_boxes": 0} for r in every if r["left"] is None or r["text"] is None] if others else []
+        rows = [r for r in every if r["left"] is not None and r["text"] is not None]
+        if not rows:
+            return out
         boxes = np.array([[r["left"], r["top"], r["right"], r["bottom"]] for r in rows])
         number = components(boxes, near_x, near_y)
-        out = []
         for first in sorted(set(number.tolist())):
             of = np.flatnonzero(number == first)
             order = [int(of[i]) for i in reading_order(boxes[of])] if len(of) > 1 else [first]
             known = [rows[i]["confidence"] for i in of if rows[i]["confidence"] is not None]
             out.append({
                 "doc_id": rows[0]["doc_id"], "seq": rows[first]["seq"], "text": " ".join(rows[i]["text"] for i in order), "confidence": sum(known) / len(known) if known else None,
-                "left": boxes[of, 0].min(), "top": boxes[of, 1].min(), "right": boxes[of, 2].max(), "bottom": boxes[of, 3].max(), "n_boxes": len(of),
+                "left": boxes[of, 0].min(), "top": boxes[of, 1].min(), "right": boxes[of, 2].max(), "bottom": boxes[of, 3].max(), "n_boxes": len(of), **{k: rows[0][k] for k in keep},
             })
         return out
 
@@ -96,10 +100,11 @@ def paragraphs(elements: DataFrame, near_x: float = NEAR_X, near_y: float = NEAR
             yield pa.RecordBatch.from_pylist(joined(held), schema=types)
 
     bound = lambda pick, i: pick(F.transform("bbox", lambda p: p[i]))
-    kept = elements.where(F.col("bbox").isNotNull() & (F.size("bbox") > 0) & F.col("text").isNotNull()).select(
-        "doc_id", "seq", "text", "confidence", bound(F.array_min, 0).alias("left"), bound(F.array_min, 1).alias("top"), bound(F.array_max, 0).alias("right"), bound(F.array_max, 1).alias("bottom"),
+    kept = elements if others else elements.where(F.col("bbox").isNotNull() & (F.size("bbox") > 0) & F.col("text").isNotNull())
+    kept = kept.select(
+        "doc_id", "seq", "text", "confidence", bound(F.array_min, 0).alias("left"), bound(F.array_min, 1).alias("top"), bound(F.array_max, 0).alias("right"), bound(F.array_max, 1).alias("bottom"), *keep,
     )
     found = kept.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(run, schema)
     corner = lambda x, y: F.array(F.col(x), F.col(y))
     box = F.array(corner("left", "top"), corner("right", "top"), corner("right", "bottom"), corner("left", "bottom"))
-    return found.select("doc_id", "seq", "text", "confidence", box.alias("bbox"), "n_boxes")
+    return found.select("doc_id", "seq", "text", "confidence", F.when(F.col("left").isNotNull(), box).alias("bbox"), "n_boxes", *keep)

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .extract import with_geometry
 from .images import apply, preprocess
+from .paragraphs import paragraphs
 from .repair import repair
 
 OUT = "doc_id string, seq int, text string, confidence double, bbox array<array<double>>, height int, width int, error string"
@@ -24,6 +25,8 @@ class Options:
     use_gpu: bool = False
     languages: tuple[str, ...] = ("en", "ar")
     post_process: bool = True
+    #: Whether the elements of an image are joined to paragraphs, see paragraphs.paragraphs.
+    paragraph: bool = False
 
 
 @lru_cache(maxsize=2)
@@ -93,7 +96,10 @@ def safely(step: Callable[[np.ndarray], np.ndarray], image: np.ndarray) -> np.nd
 def elements(images: DataFrame, reader, options: Options = Options(), step: Callable[[np.ndarray], np.ndarray] | None = preprocess, keep_failed: bool = False) -> DataFrame:
     """Preprocessing, recognize, box geometry and, if asked for, repair. keep_failed keeps a failed image as one row with
     `error` and no text, and an empty image as one without either; else such rows, and the column, are left out."""
-    out = with_geometry(recognize(prepared(images, step), reader, options)).drop("height", "width")
+    found = recognize(prepared(images, step), reader, options)
+    if options.paragraph:
+        found = paragraphs(found, keep=("height", "width", "error"), others=True).drop("n_boxes")
+    out = with_geometry(found).drop("height", "width")
     out = out if keep_failed else out.where("error IS NULL AND seq IS NOT NULL").drop("error")
     return repair(out) if options.post_process else out
 

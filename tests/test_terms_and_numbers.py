@@ -67,6 +67,21 @@ def test_paragraph_texts(spark):
     assert got["a", 1].confidence == 0.5 and got["a", 1].n_boxes == 3 and got["a", 1].bbox == [[0.0, 0.0], [42.0, 0.0], [42.0, 22.0], [0.0, 22.0]]
 
 
+def test_recognition_by_paragraphs(spark):
+    from parchment.operators import recognize
+
+    rows = spark.createDataFrame([("good", 20, 20, 1, bytearray(400)), ("bad", 2, 2, 1, None), ("none", 1, 1, 1, bytearray(1))], "path string, height int, width int, channels int, content binary")
+
+    def reader(options):
+        box = lambda x, y: [[x, y], [x + 4, y], [x + 4, y + 4], [x, y + 4]]
+        return lambda r: [(box(5, 0), " 5.00", 0.5), (box(0, 0), "Total", 1.0), (box(0, 15), "Thanks", 0.5)] if r["path"] == "good" else []
+
+    found = recognize.elements(rows, reader, recognize.Options(post_process=False, paragraph=True), None, keep_failed=True)
+    got = {(r.doc_id, r.seq): (r.text, r.confidence, r.error, (r.center.x, r.center.y), r.image_dimensions.width) for r in found.collect()}
+    assert got == {("good", 0): ("Total 5.00", 0.75, None, (4, 2), 20), ("good", 2): ("Thanks", 0.5, None, (2, 17), 20), ("bad", 0): (None, None, "Could not read image: bad", (None, None), 2), ("none", None): (None, None, None, (None, None), 1)}
+    assert recognize.elements(rows, reader, recognize.Options(paragraph=True), None).count() == 2
+
+
 @pytest.mark.parametrize("parts", [2, 1024])
 def test_medians(spark, monkeypatch, parts):
     rng = random.Random(3)
