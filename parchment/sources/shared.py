@@ -45,3 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     with shuffles_removed(df.sparkSession):
         df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def discard(table: DataFrame) -> None:
+    """Removes the files of a stored table that nothing reads any more."""
+    spark = table.sparkSession
+    for at in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/parchment/" in at:  # only what `path` gave
+            place = spark._jvm.org.apache.hadoop.fs.Path(at)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -62,3 +62,21 @@ def test_long_document_spans_ranges(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", n)
     monkeypatch.undo()
     assert extract.receipts(rows.where("false"), long=True).count() == 0
+
+
+def test_stored_tables(spark):
+    from pathlib import Path
+
+    from parchment.sources import shared
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    table = shared.stored(spark.range(100).repartition(3), "numbers")
+    (at,) = {f.rsplit("/", 1)[0].removeprefix("file:").replace("///", "/") for f in table.inputFiles()}
+    assert table.count() == 100 and spark.conf.get(key) == before and Path(at).exists()
+    shared.discard(table)
+    assert not Path(at).exists() and Path(at).parent.exists()
+    other = Path(at).parent.parent / "kept"
+    spark.range(3).write.mode("overwrite").parquet(str(other))
+    shared.discard(spark.read.parquet(str(other)))  # not a stored table
+    assert spark.read.parquet(str(other)).count() == 3
