@@ -93,6 +93,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         linked = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         following = stored(linked.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
         state = following.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        shared.discard(now)
         if state == seen:
             return following.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
                 following.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

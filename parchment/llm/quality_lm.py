@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from .common import shuffle_partitions, small, stored, text_or_empty
 
 #: Words that the model knows at most: the most frequent. Others count as unknown.
@@ -174,6 +175,7 @@ def vocabulary(trusted: DataFrame, shards: int, most: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary())], names=["keys"])
 
     kept = [np.frombuffer(r["keys"], np.uint64) for r in table.select("keys", "counts").mapInArrow(frequent, "keys binary").collect()]
+    shared.discard(table)
     return np.sort(np.concatenate([np.empty(0, np.uint64), *kept]))
 
 
@@ -299,8 +301,9 @@ class Model:
 
 
     def close(self) -> None:
-        """Frees what was sent to the tasks; scores that aren't stored by then can't be computed any more."""
+        """Frees what was sent to the tasks and the pair counts; scores that aren't stored by then can't be computed any more."""
         self.send.destroy()
+        shared.discard(self.table)
 
 
 REQUESTS = "shard int, kind int, block long, keys binary, data binary, n int, ids array<{kind}>, langs array<string>, words array<long>, base array<double>, marks array<long>"
