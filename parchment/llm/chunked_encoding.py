@@ -118,14 +118,19 @@ class ChunkEncoder:
         return list(map(self.fold, out))
 
     def _add(self, held: list[tuple[int, list[str]]], out: list[list]) -> None:
-        found = [list(map(self.kept.get, words)) for _, words in held]
-        missing = {w for f, (_, words) in zip(found, held, strict=True) if None in f for w, x in zip(words, f, strict=True) if x is None}
-        new = self.learn(list(missing)) if missing else {}
-        for f, (i, words) in zip(found, held, strict=True):
-            out[i].append(self.fold([new[w] if x is None else x for w, x in zip(words, f, strict=True)] if None in f else f))
+        words: set[str] = set()
+        for _, pieces_ in held:
+            words.update(pieces_)
+        new = self.learn(list(words.difference(self.kept)))
+        self.kept.update(new)
+        value = self.kept.__getitem__
+        for i, pieces_ in held:
+            out[i].append(self.fold(map(value, pieces_)))
+        for word in new:
+            if len(word) > KEPT_CHARS:
+                del self.kept[word]
         if len(self.kept) > KEPT:
             self.kept = {}
-        self.kept.update((w, x) for w, x in new.items() if len(w) <= KEPT_CHARS)
 
 
 @lru_cache(maxsize=4)
