@@ -85,8 +85,9 @@ def write_json_value(rows: DataFrame, path: str, order: list[str], head: str = "
     lines.select(F.concat(before, "json", after).alias("value")).write.text(path)
 
 
-def write_json_array(rows: DataFrame, path: str, order: list[str]) -> None:
-    """All rows as one JSON array, see write_json_value; the order's columns are of rows."""
+def write_json_array(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """All rows as one JSON array, see write_json_value; the order's columns are of rows, the first one unless given."""
+    order = order or rows.columns[:1]
     json = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
     write_json_value(rows.select(*order, json.alias("json")), path, order)
 
