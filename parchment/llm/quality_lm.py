@@ -8,6 +8,8 @@ all trusted text and grow with it. Pairs travel as packed arrays, a row for each
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,22 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64) if kind == "u8" else out
 
 
+@lru_cache(maxsize=1)
+def coder():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeezed(data: bytes) -> bytes:
+    """Packed planes, whose high parts are mostly equal and whose low ones are uneven, as entropy coding shrinks them."""
+    return coder()[0].compress(data)
+
+
+def expanded(data: bytes) -> bytes:
+    return coder()[1].decompress(data)
+
+
 def tokens(batches, column: int = 1):
     """For blocks of BLOCK_WORDS words or so: (row places, document of each word, word hashes). Places index the batch."""
     from parchment.llm.hashing import word_hashes
@@ -333,7 +351,7 @@ def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
             taken, types = pa.array(rows, pa.int64()), [*kinds[:6], pa.list_(batch.column(0).type), *kinds[7:]]
             out = [(block % shards, 1, block, None, None, len(rows), batch.column(0).take(taken).to_pylist(), batch.column(1).take(taken).to_pylist(), np.bincount(docs_, minlength=len(rows)).tolist(), base.tolist(), batch.column(3).take(taken).to_pylist())]
             for s, at in by_shard(where[maybe], shards):
-                out.append((s, 1, block, pack(key[maybe[at]], "u8"), pack(docs_[maybe[at]], "u2"), len(rows), None, None, None, None, None))
+                out.append((s, 1, block, squeezed(pack(key[maybe[at]], "u8")), squeezed(pack(docs_[maybe[at]], "u2")), len(rows), None, None, None, None, None))
             for i in range(0, len(out), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 16], strict=True), types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
@@ -349,7 +367,7 @@ def scores(docs: DataFrame, model: Model, id_col: str, text_col: str, lang_col:
                 if k == 0:
                     now, keys, counts = s, unpack(key, "u8"), unpack(data, "u4")
                 elif key is not None and now == s and len(keys):
-                    asked, docs_ = unpack(key, "u8"), unpack(data, "u2")
+                    asked, docs_ = unpack(expanded(key), "u8"), unpack(expanded(data), "u2")
                     at = np.searchsorted(keys, asked)
                     at[at == len(keys)] = 0
                     hit = keys[at] == asked
