@@ -1,20 +1,19 @@
 """Quality rules: counts of a text, and the divergence of its character-class and common-word histograms from its
-language's. DataFrame functions only."""
+trusted text. DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, small, stored
+from .common import SPACES, small, stored, text_or_empty
 
-#: Common words whose histogram is compared; the last bin holds all other words.
-COMMON = {
-    "en": "the of and to in a is that it for was with be as on by",
-    "de": "der die und in den das von zu mit sich des auf ist im dem ein",
-    "fr": "de la le et les des en un une du que est pour qui dans au",
-    "es": "de la que el en y los se del las un por con una su es",
-}
+#: A language's words whose histogram is compared: those that most of its trusted documents have; the last bin holds all others.
+COMMON_WORDS = 16
+#: A language with fewer trusted documents has no common words, and its characters are compared with those of all its documents.
+LEAST_TRUSTED = 20
+#: Fewer words than these fail the base rules.
+BASE_WORDS = 20
 SYMBOLS = "[#*$%&|<>]"
 SHINGLE = 8
 CHAR_CLASSES = ("lower", "space", "upper", "digit", "punctuation", "other")
@@ -46,14 +45,32 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(sums / 2, F.lit(0.0)))).otherwise(0.0)
 
 
-def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """The numbers of each text, in one pass over it and without a shuffle."""
-    every = sorted({w for ws in COMMON.values() for w in ws.split()})
-    bins = F.create_map(*(x for lang, ws in COMMON.items() for x in (F.lit(lang), F.array(*map(F.lit, ws.split())))))
-    a = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def language(lang: Column) -> Column:
+    """A key that isn't null: a null language is one of its own."""
+    return F.coalesce(F.concat(F.lit("l"), lang), F.lit(""))
+
+
+def common_words(trusted: DataFrame, least: int) -> DataFrame:
+    """(key, bins) of the languages with `least` rows (lang, text) of BASE_WORDS words or more: the COMMON_WORDS words, in
+    lower case, that most of them have, ties in order of the words; fewer are filled up by empty ones, which no text has.
+
+    A word counts once a text. The empty word, given to each text, counts the texts and is the first of its language.
+    """
+    texts = trusted.select(language(F.col("lang")).alias("key"), words_of(F.col("text")).alias("words")).where(F.size("words") >= BASE_WORDS)
+    words = texts.select("key", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.transform("words", F.lower)))).alias("word"))
+    found = words.groupBy("key", "word").agg(F.count("*").alias("n"))
+    first = found.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= COMMON_WORDS + 1)
+    ranked = first.groupBy("key").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("words"))
+    filled = F.slice(F.concat(F.array_remove("words.word", ""), F.array_repeat(F.lit(""), COMMON_WORDS)), 1, COMMON_WORDS)
+    return ranked.where(F.col("n") >= least).select("key", filled.alias("bins"))
+
+
+def counts(docs: DataFrame, bins: DataFrame) -> DataFrame:
+    """The numbers of each of docs (id, lang, text), in one pass over it; bins are broadcast if their counted size allows."""
+    a = docs.select("id", language(F.col("lang")).alias("key"), "text").join(small(bins, 64 * COMMON_WORDS), "key", "left")
     a = a.withColumn("words", words_of(F.col("text")))
     a = a.withColumns({
-        "common": F.filter(F.transform("words", F.lower), lambda w: w.isin(every)), "bins": bins[F.coalesce("lang", F.lit(""))],
+        "common": F.when(F.isnotnull("bins"), F.filter(F.transform("words", F.lower), lambda w: F.array_contains("bins", w))).otherwise(F.array().cast("array<string>")),
         "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "hashes": F.transform("words", lambda w: F.xxhash64(w)),
     })
     # hashes are used twice here, which keeps the optimizer from computing them anew inside the lambda for each window
@@ -66,7 +83,7 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     covered = F.aggregate(F.transform("at", lambda p, k: F.least(F.lit(SHINGLE), F.coalesce(F.get("at", k + 1) - p, F.lit(SHINGLE)))), F.lit(0), lambda s, x: s + x)
     held = F.transform("bins", lambda w: (F.size("common") - F.size(F.array_remove("common", w))).cast("double"))
     out = a.select(
-        "id", "lang", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.length("text").alias("n_chars"),
+        "id", "key", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.length("text").alias("n_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"), F.array(*(c.cast("double") for c in char_classes("text").values())).alias("classes"), F.coalesce(held, F.array().cast("array<double>")).alias("held"),
     )
@@ -74,22 +91,31 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     return out.withColumn("held", F.when(F.size("held") > 0, F.concat("held", F.array(rest))).otherwise(F.col("held")))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_trusted: int = LEAST_TRUSTED) -> DataFrame:
     """One row a document: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
     char_distance, word_distance (Jensen-Shannon, from the language's reference).
 
-    The references are the summed histograms of all of a language's documents that pass the base rules; a distance is
-    judged only at LEAST_CHARS characters or LEAST_WORDS words or more (and is 0 without a reference). Languages
-    without a list of common words are judged by character classes alone; a null language is one of its own. Null and
-    empty texts have counts of 0 and fail the base rules; repeated rows are repeated; an empty table gives an empty
-    result; other columns of docs are ignored.
+    Trusted are the documents that `labels` (id_col, quality, toxic) gives quality 1 and toxic 0, whole and all of them; a
+    reference is the summed histograms of those of a language that pass the base rules. A distance is judged only at
+    LEAST_CHARS characters or LEAST_WORDS words or more. A language with fewer than least_trusted such documents, or no
+    labels at all, takes the characters of all its documents that pass the base rules, and its words aren't judged (the
+    distance is 0); a null language is one of its own. Null and empty texts have counts of 0 and fail the base rules;
+    very long texts are worked on whole, as arrays of one row; repeated rows are repeated, rows of null id are judged and
+    never trusted; an empty table gives an empty result; other columns of docs are ignored.
     """
-    seen = stored(counts(docs, id_col, text_col, lang_col).withColumn("key", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit(""))), "counts")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, quality int, toxic int")
+    good = small(labels.where("quality = 1 AND toxic = 0").select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct(), 16)
+    trusted = lambda table: table.where("id IS NOT NULL").join(good, "id", "left_semi")
+    seen = stored(counts(rows, stored(common_words(trusted(rows), least_trusted), "bins")), "counts")
+    failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     sums = lambda c, n: F.array(*(F.coalesce(F.sum(F.get(c, i)), F.lit(0.0)) for i in range(n)))
-    n_bins = len(next(iter(COMMON.values())).split()) + 1
-    reference = seen.where(~failed).groupBy("key").agg(sums("classes", len(CHAR_CLASSES)).alias("class_ref"), sums("held", n_bins).alias("held_ref"))
-    out = seen.join(small(reference, 400), "key", "left").withColumn("base_failed", failed)
+    classes, held = sums("classes", len(CHAR_CLASSES)), sums("held", COMMON_WORDS + 1)
+    known = trusted(seen.where(~failed)).groupBy("key").agg(F.count("*").alias("n"), classes.alias("classes_known"), held.alias("held_ref"))
+    reference = seen.where(~failed).groupBy("key").agg(classes.alias("classes_all")).join(known.where(F.col("n") >= least_trusted), "key", "left")
+    reference = reference.select("key", F.coalesce("classes_known", "classes_all").alias("class_ref"), "held_ref")
+    out = seen.join(small(stored(reference, "reference"), 400), "key", "left").withColumn("base_failed", failed)
     none = F.array().cast("array<double>")
     out = out.withColumns({
         "char_distance": F.when(F.col("n_chars") >= LEAST_CHARS, jensen_shannon(F.col("classes"), F.coalesce("class_ref", none))).otherwise(0.0),

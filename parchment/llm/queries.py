@@ -46,7 +46,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("char_distance", "word_distance")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

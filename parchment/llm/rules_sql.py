@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from .quality_rules import CHAR_CLASSES, COMMON, LEAST_CHARS, LEAST_WORDS, MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE
-
-N_CLASSES, N_BINS = len(CHAR_CLASSES), len(COMMON["en"].split()) + 1
-LISTS = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words.split())}]" for lang, words in COMMON.items())
+# Fixed values, the same as the operator's.
+N_CLASSES, N_WORDS, N_BINS = 6, 16, 17
+LEAST_TRUSTED, LEAST_CHARS, LEAST_WORDS, MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 20, 200, 100, 0.25, 0.28
 
 
 def distance(p: str, q: str, n: int) -> str:
@@ -16,13 +15,24 @@ def distance(p: str, q: str, n: int) -> str:
     return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(({' + '.join(terms)}) / 2, 0)) ELSE 0 END"
 
 
-def total(column: str, n: int) -> str:
-    return "[" + ", ".join(f"sum({column}[{i}])" for i in range(1, n + 1)) + "]"
+def total(column: str, n: int, which: str = "") -> str:
+    return "[" + ", ".join(f"sum({column}[{i}]){which}" for i in range(1, n + 1)) + "]"
 
 
+TRUSTED = " FILTER (WHERE trusted)"
 SQL = rf"""
-WITH d AS (
-  SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+WITH good AS (
+  SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id IS NOT NULL
+), d AS (
+  SELECT doc_id, coalesce('l' || lang, '') AS k, coalesce(doc_id IN (SELECT doc_id FROM good), false) AS trusted, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), seen AS (
+  SELECT k, unnest(list_append(list_distinct(list_transform(w, lambda x: lower(x))), '')) AS word FROM d WHERE trusted AND len(w) >= 20
+), ranked AS (
+  SELECT k, word, count(*) AS n, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, word) AS r FROM seen GROUP BY 1, 2
+), common AS (
+  SELECT k, list_concat(list(word ORDER BY r) FILTER (WHERE word <> ''), list_transform(range({N_WORDS}), lambda i: ''))[1:{N_WORDS}] AS bins
+  FROM ranked WHERE r <= {N_BINS} GROUP BY k HAVING max(n) >= {LEAST_TRUSTED}
 ), g AS (
   SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8
 ), g8 AS (
@@ -40,19 +50,21 @@ WITH d AS (
 ), left4 AS (
   SELECT *, regexp_replace(t3, '\p{{Nd}}+', '', 'g') AS t4 FROM left3
 ), left5 AS (
-  SELECT *, regexp_replace(t4, '[.,;:!?''"()\-]+', '', 'g') AS t5, CASE lang {LISTS} END AS bins, list_transform(w, lambda x: lower(x)) AS lw,
+  SELECT *, regexp_replace(t4, '[.,;:!?''"()\-]+', '', 'g') AS t5, list_transform(w, lambda x: lower(x)) AS lw,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM left4
 ), counts AS (
-  SELECT doc_id, coalesce('l' || lang, '') AS k, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(text) AS n_chars,
+  SELECT doc_id, k, trusted, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(text) AS n_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
     list_transform([length(text) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4) - length(t5), length(t5)], lambda x: x::DOUBLE) AS classes,
     list_transform(bins, lambda b: len(list_filter(lw, lambda x: x = b))::DOUBLE) AS held
-  FROM left5 LEFT JOIN covered c USING (doc_id)
+  FROM left5 LEFT JOIN covered c USING (doc_id) LEFT JOIN common USING (k)
 ), judged AS (
   SELECT * EXCLUDE (held), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     CASE WHEN held IS NULL THEN [] ELSE list_append(held, n_words - list_sum(held)) END AS held FROM counts
 ), reference AS (
-  SELECT k, {total("classes", N_CLASSES)} AS class_ref, {total("held", N_BINS)} AS held_ref FROM judged WHERE NOT base_failed GROUP BY 1
+  SELECT k, CASE WHEN count(*){TRUSTED} >= {LEAST_TRUSTED} THEN {total("classes", N_CLASSES, TRUSTED)} ELSE {total("classes", N_CLASSES)} END AS class_ref,
+    CASE WHEN count(*){TRUSTED} >= {LEAST_TRUSTED} THEN {total("held", N_BINS, TRUSTED)} END AS held_ref
+  FROM judged WHERE NOT base_failed GROUP BY 1
 ), far AS (
   SELECT j.*, CASE WHEN n_chars >= {LEAST_CHARS} THEN {distance("classes", "class_ref", N_CLASSES)} ELSE 0 END AS char_distance,
     CASE WHEN n_words >= {LEAST_WORDS} AND len(held) > 0 THEN {distance("held", "held_ref", N_BINS)} ELSE 0 END AS word_distance

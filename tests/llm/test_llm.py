@@ -310,6 +310,58 @@ def test_quality_rules(spark):
     assert quality_rules.judge(frame(spark, [])).count() == 0
 
 
+def distance_by_hand(p, q):
+    if not sum(p) or not sum(q):
+        return 0.0
+    a, b = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    m = [(x + y) / 2 for x, y in zip(a, b, strict=True)]
+    kl = lambda x: sum(u * math.log2(u / v) for u, v in zip(x, m, strict=True) if u)
+    return math.sqrt(max(0.0, (kl(a) + kl(b)) / 2))
+
+
+def test_quality_rules_take_trusted_text_as_reference(spark):
+    """Common words, references, distances and verdicts against plain loops; languages with and without trusted text, a
+    null language, labels of null id, of absent documents, repeated and contradicting nothing, rows of one id."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 60 + i % 90), ["en", "de", None, "fr"][i % 4], "a") for i in range(80)]
+    rows += [(None, prose(rng, 120), "en", "a"), (3, "!?; " * 90 + prose(rng, 30), "fr", "a"), (90, None, "en", "a"), (91, "", None, "a")]
+    rows += [(92, "x" * 5000 + " " + " ".join(f"Z{i}" for i in range(130)), "en", "b"), rows[0], (93, "only short", "es", "a")]
+    good = [i for i in range(0, 80, 1) if i % 4 != 1 or i < 8] + [90, 91, 93, 500]
+    labels = spark.createDataFrame([(i, 1, 0, "extra") for i in good] + [(0, 1, 0, ""), (None, 1, 0, ""), (92, 0, 0, ""), (61, 1, 1, ""), (65, None, 0, "")], "doc_id long, quality int, toxic int, lang string")
+    docs, least, trusted = [], 10, set(good)
+    for i, text, lang, _ in rows:
+        text = text or ""
+        w = WORD.findall(text)
+        windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        cover = {k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        kind = lambda c: 0 if c.islower() else 1 if c in " \t\n\v\f\r" else 2 if c.isupper() else 3 if c.isdigit() else 4 if c in ".,;:!?'\"()-" else 5
+        n = Counter(map(kind, text))
+        docs.append((i, lang, text, [x.lower() for x in w], len(w) < 20 or 100 * len(cover) > 30 * len(w), [n[j] for j in range(6)]))
+    refs = {}
+    for lang in {d[1] for d in docs}:
+        mine = [d for d in docs if d[1] == lang]
+        known = [d for d in mine if d[0] in trusted]
+        having = Counter(x for d in known if len(d[3]) >= 20 for x in set(d[3]))
+        bins = [x for x, _ in sorted(having.items(), key=lambda h: (-h[1], h[0].encode()))[:16]] if sum(len(d[3]) >= 20 for d in known) >= least else None
+        known = [d for d in known if not d[4]]
+        held = lambda d: [d[3].count(b) for b in bins] + [sum(x not in bins for x in d[3])]  # noqa: B023, E731
+        enough = len(known) >= least
+        of = known if enough else [d for d in mine if not d[4]]
+        refs[lang] = [sum(x) for x in zip(*(d[5] for d in of), strict=True)] if of else [], bins, [sum(x) for x in zip(*map(held, known), strict=True)] if bins and enough else []
+    assert [lang for lang in refs if refs[lang][1]] and refs["de"][1] is None and refs["es"][1] is None
+    out = quality_rules.judge(frame(spark, rows), labels, least_trusted=least).collect()
+    assert len(out) == len(rows)
+    want = []
+    for i, lang, text, w, failed, classes in docs:
+        ref, bins, words = refs[lang]
+        c = distance_by_hand(classes, ref) if len(text) >= 200 else 0.0
+        v = distance_by_hand([w.count(b) for b in bins] + [sum(x not in bins for x in w)], words) if bins and len(w) >= 100 else 0.0
+        want.append((i, failed, not failed and c <= 0.25 and v <= 0.28, round(c, 9), round(v, 9)))
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r.doc_id, r.base_failed, r.kept, round(r.char_distance, 9), round(r.word_distance, 9)) for r in out), key=key) == sorted(want, key=key)
+    assert any(x[4] > 0.28 for x in want) and sum(x[2] for x in want) > 60
+
+
 def by_hand(text, words=4):
     parts = [w for w in WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
     if not parts:
