@@ -105,7 +105,7 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
     if labels is None:
-        labels = docs.sparkSession.createDataFrame([], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, quality int, toxic int")
+        labels = docs.select(id_col, F.lit(1).alias("quality"), F.lit(0).alias("toxic")).where("false")
     good = small(labels.where("quality = 1 AND toxic = 0").select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct(), 16)
     trusted = lambda table: table.where("id IS NOT NULL").join(good, "id", "left_semi")
     seen = stored(counts(rows, stored(common_words(trusted(rows), least_trusted), "bins")), "counts")
