@@ -328,8 +328,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     Each byte is removed that a string of `length` bytes covers which also starts anywhere else, in the same document
     or another; overlaps count, matches never cross documents, and strings are judged on the input. Null counts as
-    empty; texts shorter than `length` stay; repeated rows are copies of each other; an empty table gives an empty
-    result; other columns of docs are ignored.
+    empty; texts shorter than `length` stay; very long texts are worked on whole, each in one task; repeated rows are
+    copies of each other; an empty table gives an empty result; other columns of docs are ignored.
     """
     spans = stored(repeated_spans(docs, length, gram, cap, text_col), "spans")
     by_text = spans.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
