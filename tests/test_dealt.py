@@ -1,10 +1,11 @@
 """Elements are dealt by document once, and what is parsed is parsed once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from parchment import queries
 from parchment.functions import text_repair
-from parchment.operators import extract
+from parchment.operators import extract, images
 from parchment.sources import synthetic
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,3 +32,35 @@ def test_stripped_is_strip(spark):
     texts = [f"{a}x{a} y{a}{a}" for a in spaces] + ["", "   ", "​x", "x"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text_repair.stripped(F.col("t")).alias("s"))
     assert [(r["t"], r["s"]) for r in rows.collect() if r["t"].strip() != r["s"]] == []
+
+
+def test_pages_fill_all_parts(spark):
+    rows = synthetic.pages(spark, SMALL).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(rows) > 1
+
+
+def test_images_are_handed_over_in_bounded_batches(spark):
+    size = images.BATCH_BYTES // 4
+    one = F.expr(f"cast(repeat('x', {size}) AS binary)").alias("content")
+    rows = spark.range(0, 24, 1, 1).select(F.col("id").cast("string").alias("path"), F.lit(1).alias("height"), F.lit(size).alias("width"), F.lit(1).alias("channels"), one)
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int32())})
+
+    found = [r["n"] for r in images.handed(rows).mapInArrow(count, "n int").collect()]
+    assert sum(found) == 24 and max(found) <= 5
+
+
+def test_denoise_is_by_the_definition():
+    page = np.random.default_rng(7).integers(0, 256, (9, 12)).astype(np.uint8)
+    source, padded, total, weights = page.astype(float), np.pad(page.astype(float), 2, mode="reflect"), 0, 0
+    for dy in range(5):
+        for dx in range(5):
+            moved = padded[dy : dy + 9, dx : dx + 12]
+            square = np.pad((source - moved) ** 2, 1, mode="edge")
+            weight = np.exp(-sum(square[i : i + 9, j : j + 12] for i in range(3) for j in range(3)) / 9 / 30**2)
+            total, weights = total + weight * moved, weights + weight
+    assert (images.denoise(page, 30, 3, 5) == np.rint(total / weights)).all()
