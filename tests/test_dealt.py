@@ -64,3 +64,13 @@ def test_denoise_is_by_the_definition():
             weight = np.exp(-sum(square[i : i + 9, j : j + 12] for i in range(3) for j in range(3)) / 9 / 30**2)
             total, weights = total + weight * moved, weights + weight
     assert (images.denoise(page, 30, 3, 5) == np.rint(total / weights)).all()
+
+
+def test_parsing_is_compiled(spark):
+    """The JVM only interprets methods of over 8,000 bytes."""
+    rows = extract.parsed(spark.range(3).select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("seq"), F.col("id").cast("string").alias("text")))
+    stages = rows._jdf.queryExecution().debug().codegenToSeq().iterator()
+    sizes = []
+    while stages.hasNext():
+        sizes.append(stages.next()._3().maxMethodCodeSize())
+    assert max(sizes) < 8000
