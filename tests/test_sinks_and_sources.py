@@ -84,6 +84,27 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     assert names(tmp_path / "out") == ["d1_result.json"] and len(list((tmp_path / "out").iterdir())) == 1
 
 
+def test_receipts_are_made_once_for_their_files(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = spark.createDataFrame([(f"d{i}.png", True) for i in range(40)], "doc_id string, success boolean").repartition(4)
+    datasets.write_results(rows.withColumn("extra", counted("doc_id")), str(tmp_path / "out"))
+    assert len(names(tmp_path / "out")) == 40 and made.value == 40
+
+
+def test_a_file_that_cannot_be_written_leaves_none(spark, tmp_path):
+    spark.dataSource.register(datasets.ResultFiles)
+    rows = spark.createDataFrame([("a_result.json", "{}"), ("no/such_result.json", "{}")], "name string, value string").repartition(2)
+    with pytest.raises(Exception):  # noqa: B017
+        rows.write.format("result_files").mode("append").save(str(tmp_path / "out"))
+    assert names(tmp_path / "out") == []
+
+
 def joined(path):
     return "".join(p.read_text(encoding="utf-8") for p in sorted(Path(path).glob("part-*")))
 
