@@ -2,6 +2,7 @@
 
 import random
 import struct
+from collections import Counter
 from statistics import median
 
 import numpy as np
@@ -59,6 +60,33 @@ def test_paragraphs_against_all_pairs():
         assert paragraphs.components(np.array(boxes, float)).tolist() == paragraphs_by_hand(boxes)
 
 
+def test_paragraphs_of_many_documents_at_once():
+    random = np.random.default_rng(4)
+    size = random.integers(1, 60, 50)
+    corner = random.integers(0, 150, (size.sum(), 2))
+    boxes = np.concatenate([corner, corner + random.integers(3, 14, corner.shape)], 1).astype(float)
+    first = np.cumsum(size) - size
+    got = paragraphs.components_of_all(boxes, first, size)
+    for a, n in zip(first.tolist(), size.tolist(), strict=True):
+        assert (got[a : a + n] - a).tolist() == paragraphs_by_hand(boxes[a : a + n].tolist())
+
+
+def test_paragraphs_of_documents_over_several_batches(spark):
+    boxes = lambda d: [[20.0 * (i % 9), 14.0 * (i // 9) + d % 3, 20.0 * (i % 9) + 11, 14.0 * (i // 9) + d % 3 + 9] for i in range(1 + d * 7 % 40)]
+    rows = [(None if d == 0 else f"d{d}", i, f"t{i}", None if i % 5 == 1 else i / 7, [[a, b], [c, b], [c, e], [a, e]]) for d in range(12) for i, (a, b, c, e) in enumerate(boxes(d))]
+    table = spark.createDataFrame(rows, "doc_id string, seq int, text string, confidence double, bbox array<array<double>>")
+    of = lambda: sorted(map(repr, paragraphs.paragraphs(table).collect()))
+    whole = of()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 5)
+    try:
+        assert of() == whole
+    finally:
+        spark.conf.unset(key)
+    want = sorted((f"d{d}" if d else "", s, n) for d in range(12) for s, n in Counter(paragraphs_by_hand(boxes(d))).items())
+    assert sorted((r.doc_id or "", r.seq, r.n_boxes) for r in paragraphs.paragraphs(table).collect()) == want
+
+
 def test_paragraph_texts(spark):
     box = lambda x, y, w=20, h=10: [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
     rows = [("a", 3, "two", 0.5, box(22.0, 1.0)), ("a", 1, "one", 1.0, box(0.0, 0.0)), ("a", 2, "three", 0.0, box(0.0, 12.0)), ("a", 4, "far", 0.25, box(200.0, 200.0)), ("b", 0, None, None, None), ("c", 0, "x", None, box(0.0, 0.0))]
