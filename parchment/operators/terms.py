@@ -14,15 +14,20 @@ LIMIT = 64 << 20
 
 
 def grams(text: Column, size: int) -> Column:
-    """The different stretches of `size` characters of a text; the empty one for size 0. Linear in the text: characters are
-    parted once, since a character of a long text can't be reached by its place."""
+    """The different stretches of `size` characters of a text, in UTF-32; the empty one for size 0.
+
+    In UTF-32 a stretch is a slice of bytes, reached by its place, so a text costs in proportion to its length, and each
+    stretch one look.
+    """
     if not size:
-        return F.array(F.lit(""))
-    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    if size == 1:
-        return F.array_distinct(letters)
-    cut = [F.slice(letters, k + 1, F.greatest(F.size(letters) - size + 1, F.lit(0))) for k in range(size)]
-    return F.array_distinct(F.transform(F.arrays_zip(*(c.alias(f"c{k}") for k, c in enumerate(cut))), lambda z: F.concat(*(z[f"c{k}"] for k in range(size)))))
+        return F.array(F.encode(F.lit(""), "UTF-32"))
+
+    def over(points: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(points) - 4 * (size - 1), F.lit(1)), F.lit(4))
+        every = F.array_distinct(F.transform(starts, lambda i: F.substring(points, i, F.lit(4 * size))))
+        return F.when(F.octet_length(points) < 4 * size, F.array().cast("array<binary>")).otherwise(every)
+
+    return F.get(F.transform(F.array(F.encode(text, "UTF-32")), over), F.lit(0))
 
 
 def index(texts: DataFrame, terms: DataFrame, sizes: list[int], text_col: str) -> DataFrame:
@@ -32,7 +37,7 @@ def index(texts: DataFrame, terms: DataFrame, sizes: list[int], text_col: str) -
     """
     size = F.least(F.length("term"), F.lit(Q))
     own = terms.select("term").distinct()
-    own = own.withColumn("gram", F.explode(sum_of([F.when(size == s, grams(F.col("term"), s)).otherwise(F.array().cast("array<string>")) for s in sizes])))
+    own = own.withColumn("gram", F.explode(sum_of([F.when(size == s, grams(F.col("term"), s)).otherwise(F.array().cast("array<binary>")) for s in sizes])))
     own = stored(own, "grams")
     counts = texts.select(F.explode(sum_of([grams(F.col(text_col), s) for s in sizes])).alias("gram")).join(bounded(own.select("gram").distinct(), 64), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = own.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key"))
@@ -52,7 +57,8 @@ def matches(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
 
     terms has a column term; rows of one term, as in a list with a word twice, each count. A term is looked up by one q-gram,
     the rarest among the texts; texts that have it are checked for the whole term. A term shorter than a q-gram is looked
-    up by itself, an empty one is in every text, a null one in none. The index is broadcast if its counted rows fit the
+    up by itself, an empty one is in every text, a null one in none. A text is checked for a term once, however many rows
+    the term has; the rows are joined to what was found. The index is broadcast if its counted rows fit the
     limit; else candidates (id, term) are joined by q-gram and texts are fetched by id, which must be unique then.
     """
     terms = stored(terms.where("term IS NOT NULL"), "terms")
@@ -60,13 +66,13 @@ def matches(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
     if not sizes:
         return texts.select(id_col).join(terms, F.lit(False))
     rows = stored(texts.where(F.col(text_col).isNotNull()).select(id_col, text_col), "texts")
-    keys = stored(index(rows, terms, sizes, text_col), "index")
+    keys = stored(index(rows, terms.select("term").distinct(), sizes, text_col), "index")
     cut = F.explode(sum_of([grams(F.col(text_col), s) for s in sizes])).alias("gram")
     if keys.count() * 128 <= LIMIT:
         found = rows.select(id_col, text_col, cut).join(F.broadcast(keys), "gram")
     else:
         found = rows.select(id_col, cut).join(keys, "gram").join(rows.select(id_col, text_col), id_col)
-    return found.where(F.contains(text_col, "term")).select(id_col, *terms.columns)
+    return found.where(F.contains(text_col, "term")).select(id_col, "term").join(bounded(terms, 128), "term").select(id_col, *terms.columns)
 
 
 def scores(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

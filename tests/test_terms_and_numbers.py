@@ -60,6 +60,14 @@ def test_paragraphs_against_all_pairs():
         assert paragraphs.components(np.array(boxes, float)).tolist() == paragraphs_by_hand(boxes)
 
 
+def test_a_term_of_many_rows_is_looked_up_once(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "abcd é😀x") for i in range(5)], "doc_id long, text string")
+    rows = spark.createDataFrame([(t, f"c{k}") for t in ("bc", "é😀x", "zz", "") for k in range(40)], "term string, category string")
+    index, sought = terms.index, []
+    monkeypatch.setattr(terms, "index", lambda texts, known, *more: sought.append(known.count()) or index(texts, known, *more))
+    assert terms.matches(texts, rows).count() == 5 * 3 * 40 and sought == [4]
+
+
 def test_paragraphs_of_many_documents_at_once():
     random = np.random.default_rng(4)
     size = random.integers(1, 60, 50)
