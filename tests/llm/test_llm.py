@@ -789,3 +789,19 @@ def test_pipeline(spark, tmp_path):
     assert 600 in dedup and 600 not in clean and set(clean) >= set(dedup) - {600}
     assert set(mixed) <= set(clean) and max(Counter(mixed).values()) <= 2 and sorted(map(str, shards)) == sorted(map(str, mixed))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(shards)
+
+
+def test_similar_pairs_are_compared_once(spark, monkeypatch):
+    """Lines that share most shingles, in more than a small bucket and not alike: no pair is compared in two rounds."""
+    rng, seen, plain = random.Random(26), [], line_dedup.similar
+    word = lambda: f"{rng.getrandbits(36):09x}"
+    common_part = [word() for _ in range(16)]
+    rows = [(i, " ".join([*common_part, *(word() for _ in range(3))]), "en", "a") for i in range(80)]
+
+    def watched(pairs, *more):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "similar", watched)
+    assert line_dedup.dedup_lines(frame(spark, rows)).count() == 80
+    assert len(seen) > 80 and len(seen) == len(set(seen))
