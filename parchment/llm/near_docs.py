@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, joined, small, stored, text_or_empty
+from .common import joined, small, stored, text_or_empty
+from .line_dedup import components_of
 
 #: 16 bands of 4 rows: a pair at a similarity of 0.8 shares a band with probability 0.9998.
 BANDS, ROWS = 16, 4
 LEAST = 0.8
-#: Documents of a bucket that are all compared with each other; of larger buckets each is compared with four of them,
-#: and then all documents of such buckets that this left apart are joined by their rarest shingles.
-SMALL_BUCKET = 32
-#: Ratio of the sizes in a class of sets, for that join.
-SIZE_STEP = 1.05
 
 
 def shingle_sets(texts: list[bytes], words: int):
@@ -71,66 +67,13 @@ def _found(words: int, signed: bool):
     return run
 
 
-def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), a < b, of ids that share a band's key, from (id, keys) of different sets, and the ids of
-    those in large buckets, which `rare_pairs` compares further.
-
-    Bucket sizes and four representatives a bucket come from a partly aggregated count; single lines leave there.
-    Buckets of up to SMALL_BUCKET lines give their pairs; each line of a larger bucket is paired with the four
-    representatives, so what is emitted here grows with the lines and not with a bucket's square.
-    """
-    members = lines.select("id", F.explode("keys").alias("key"))
-    other = F.xxhash64("id")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("r1"), F.max("id").alias("r2"), F.min_by("id", other).alias("r3"), F.max_by("id", other).alias("r4")).where("n > 1")
-    placed = stored(members.join(sizes, "key").select("key", "id", "n", F.array("r1", "r2", "r3", "r4").alias("reps")), "buckets")
-    few = placed.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_set("id").alias("ids"))
-    few = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
-    many = placed.where(F.col("n") > SMALL_BUCKET).select("id", F.explode("reps").alias("r")).where("id <> r").select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b"))
-    return few.unionByName(many).distinct(), placed.where(F.col("n") > SMALL_BUCKET).select("id").distinct()
-
-
-def rare_pairs(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b), a < b, of the rows (id, component, hashes) of different components, among them all whose Jaccard
-    similarity is `least` or more: an exact prefix filter.
-
-    Sets that share o elements share one of the first size - o + 1 in any common order, here the rarest first. The o
-    that `least` asks for follows from both sizes, so a set is sought once for each class of sizes it can be like.
-    """
-    spread = sets.select("id", F.explode("hashes").alias("h"))
-    ranked = spread.join(spread.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda s: s["h"]).alias("ranked"))
-    rows = sets.select("id", "component").join(ranked, "id").withColumn("size", F.size("ranked"))
-    of_size = lambda size: F.floor(F.log(size) / F.log(F.lit(SIZE_STEP)) + 1e-9).cast("int")
-    rows = rows.withColumn("own", of_size(F.col("size"))).withColumn("other", F.explode(F.sequence(of_size(F.greatest(F.col("size") * least - 1e-6, F.lit(1.0))), of_size(F.col("size") / least + 1e-6))))
-    shared = F.ceil((F.col("size") + F.floor(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6)) * (least / (1 + least)) - 1e-6)
-    first = F.slice("ranked", F.lit(1), F.least(F.greatest(F.col("size") - shared + 1, F.lit(1)), F.col("size")).cast("int"))
-    keyed = stored(rows.select("id", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(first).alias("h")), "rare")
-    a, b = (keyed.select("low", "high", "h", F.col("id").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
-    return a.join(b, ["low", "high", "h"]).where("a < b and component_a <> component_b").select("a", "b").distinct()
-
-
-def alike(pairs: DataFrame, large: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(node, component) by the likeness of the pairs, and of all pairs of the large buckets' lines."""
-    edges = stored(similar(pairs, sets, least), "alike")
-    found = stored(connected_components(edges), "components")
-    if large.isEmpty():
-        return found
-    open_ = sets.join(large, "id", "left_semi").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"), "hashes")
-    return stored(connected_components(edges.unionByName(similar(rare_pairs(stored(open_, "open"), least), sets, least))), "components")
-
-
-def similar(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of `least` or more."""
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return rows.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) of each row of docs: component_id is the smallest id reachable over pairs whose sets of
     shingles (lower-cased A-Z) have a Jaccard similarity of `least` or more.
 
-    Candidates share a SimHash component or a MinHash band; all are verified exactly, and an exact join covers the large
-    buckets. Equal sets are one row of all this. Texts without a word are alike. ids are whole numbers; rows
+    Candidates share a SimHash component or a MinHash band; all are verified exactly. Documents of large bands' buckets are
+    dealt again by finer bands, in which a pair at a similarity of 0.8 meets with a probability of 0.999, see
+    `line_dedup.components_of`. Equal sets are one row of all this. Texts without a word are alike. ids are whole numbers; rows
     of null id have their set's component, or null where no row of the component has an id; repeated rows are repeated;
     an empty table gives an empty result; other columns of docs are ignored. A text's set is held whole by one task.
     """
@@ -151,11 +94,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = LEAST, id_co
         found = chosen.mapInArrow(_found(words, False), f"doc {kind}, id binary, hashes array<long>")
         return found.join(small(some.select("id"), 32), "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("hashes"))
 
-    pairs, large = candidates(distinct)
-    pairs = stored(pairs.unionByName(more).distinct(), "pairs")
-    large = stored(large, "large")
-    wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct(), "wanted")
-    found = alike(pairs, large, stored(sets(wanted), "sets"), least)
+    found = components_of(distinct.select("id", "keys"), sets, "hashes", lambda hashes: hashes, least, more)
     classes = distinct.join(found, F.col("id") == F.col("node"), "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
     firsts = classes.groupBy("component").agg(F.min("doc").alias("component_id"))
     counts = signed.groupBy("id").agg(F.count("*").alias("n"))
