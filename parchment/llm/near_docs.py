@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -12,10 +14,12 @@ from .common import connected_components, joined, small, stored, text_or_empty
 BANDS, ROWS = 16, 4
 LEAST = 0.8
 #: Documents of a bucket that are all compared with each other; of larger buckets each is compared with four of them,
-#: and then all documents of such buckets that this left apart are joined by their rarest shingles.
+#: and then those of different components with each other.
 SMALL_BUCKET = 32
-#: Ratio of the sizes in a class of sets, for that join.
-SIZE_STEP = 1.05
+#: Longs of a set's sketch: bit b tells whether an odd number of the set's hashes end in b.
+SKETCH = 16
+#: Documents of a large bucket that meet as many in one block of its pairs.
+PIECE = 512
 
 
 def shingle_sets(texts: list[bytes], words: int):
@@ -52,8 +56,18 @@ def band_keys(hashes, masks):
     return mixed((least.reshape(BANDS, ROWS) * powers(np.uint64(0x9E3779B97F4A7C15), ROWS + 1)[1:]).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def sketch(hashes):
+    """The parities of the hashes' last bits. Each hash that only one of two sets has changes one bit, so the sketches of
+    two sets differ in no more bits than the sets in hashes."""
+    import numpy as np
+
+    bits = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _found(words: int, signed: bool):
-    """Of each text: its id, and the digest of its set with the bands' keys (or with the set itself)."""
+    """Of each text: its id, and the digest of its set with the bands' keys, its size and its sketch (or with the set
+    itself)."""
 
     def run(batches):
         import numpy as np
@@ -62,18 +76,24 @@ def _found(words: int, signed: bool):
 
         masks = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
         for batch in batches:
-            digests, values = [], []
+            digests, values, sizes, sketches = [], [], [], []
             for hashes in shingle_sets([t.as_py().encode().lower() for t in batch.column(1)], words):
                 digests.append(xxh3_128_digest(hashes.tobytes()))
                 values.append(band_keys(hashes, masks) if signed and len(hashes) else hashes.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=["doc", "id", "keys" if signed else "hashes"])
+                if signed:
+                    sizes.append(len(hashes))
+                    sketches.append(sketch(hashes))
+            found = {"doc": batch.column(0), "id": pa.array(digests, pa.binary()), "keys" if signed else "hashes": pa.array(values, pa.list_(pa.int64()))}
+            if signed:
+                found |= {"size": pa.array(sizes, pa.int64()), "sketch": pa.array(sketches, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(found)
 
     return run
 
 
 def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), a < b, of ids that share a band's key, from (id, keys) of different sets, and the ids of
-    those in large buckets, which `rare_pairs` compares further.
+    """Pairs (a, b), a < b, of ids that share a band's key, from (id, keys) of different sets, and the places
+    (key, id) of large buckets, which `bucket_pairs` compares further.
 
     Bucket sizes and four representatives a bucket come from a partly aggregated count; single lines leave there.
     Buckets of up to SMALL_BUCKET lines give their pairs; each line of a larger bucket is paired with the four
@@ -86,58 +106,83 @@ def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = placed.where(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.collect_set("id").alias("ids"))
     few = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
     many = placed.where(F.col("n") > SMALL_BUCKET).select("id", F.explode("reps").alias("r")).where("id <> r").select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b"))
-    return few.unionByName(many).distinct(), placed.where(F.col("n") > SMALL_BUCKET).select("id").distinct()
+    return few.unionByName(many).distinct(), placed.where(F.col("n") > SMALL_BUCKET).select("key", "id")
+
+
+def may_be_alike(least: float) -> Column:
+    """Whether sets of the columns size_a, sketch_a, size_b, sketch_b can have a Jaccard similarity of `least` or more: if
+    they do, at most a part (1 - least) / (1 + least) of their sizes' sum is in one of them only, and so many bits of the
+    sketches differ at most. No such pair is left out; few others pass."""
+    a, b = F.col("size_a"), F.col("size_b")
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)))
+    return (F.least(a, b) >= least * F.greatest(a, b) - 1e-6) & (differ * (1 + least) <= (a + b) * (1 - least) + 1e-6)
+
+
+def sketched(end: str) -> list[Column]:
+    """Size and sketch of a pair's end, by their names there."""
+    return [F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")]
+
+
+def hopeful(pairs: DataFrame, lines: DataFrame, least: float = LEAST) -> DataFrame:
+    """The pairs (a, b) that may be alike, by the sketches of the rows (id, size, sketch): whole sets are read and moved for
+    these only."""
+    for end in "ab":
+        pairs = pairs.join(lines.select(F.col("id").alias(end), *sketched(end)), end)
+    return pairs.where(may_be_alike(least)).select("a", "b")
 
 
-def rare_pairs(sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b), a < b, of the rows (id, component, hashes) of different components, among them all whose Jaccard
-    similarity is `least` or more: an exact prefix filter.
+def bucket_pairs(placed: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b, of_a, of_b), in some order, of different components of the places (key, id, component, size, sketch)
+    that share a key, among them all whose sets have a Jaccard similarity of `least` or more.
 
-    Sets that share o elements share one of the first size - o + 1 in any common order, here the rarest first. The o
-    that `least` asks for follows from both sizes, so a set is sought once for each class of sizes it can be like.
+    A bucket's lines are dealt to pieces and its pairs to blocks of two pieces, so that no task holds a bucket; pairs
+    are formed and judged by their sketches inside the join, and only those that may be alike leave it.
     """
-    spread = sets.select("id", F.explode("hashes").alias("h"))
-    ranked = spread.join(spread.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda s: s["h"]).alias("ranked"))
-    rows = sets.select("id", "component").join(ranked, "id").withColumn("size", F.size("ranked"))
-    of_size = lambda size: F.floor(F.log(size) / F.log(F.lit(SIZE_STEP)) + 1e-9).cast("int")
-    rows = rows.withColumn("own", of_size(F.col("size"))).withColumn("other", F.explode(F.sequence(of_size(F.greatest(F.col("size") * least - 1e-6, F.lit(1.0))), of_size(F.col("size") / least + 1e-6))))
-    shared = F.ceil((F.col("size") + F.floor(F.pow(F.lit(SIZE_STEP), F.col("other")) - 1e-6)) * (least / (1 + least)) - 1e-6)
-    first = F.slice("ranked", F.lit(1), F.least(F.greatest(F.col("size") - shared + 1, F.lit(1)), F.col("size")).cast("int"))
-    keyed = stored(rows.select("id", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.explode(first).alias("h")), "rare")
-    a, b = (keyed.select("low", "high", "h", F.col("id").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab")
-    return a.join(b, ["low", "high", "h"]).where("a < b and component_a <> component_b").select("a", "b").distinct()
-
-
-def alike(pairs: DataFrame, large: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(node, component) by the likeness of the pairs, and of all pairs of the large buckets' lines."""
-    edges = stored(similar(pairs, sets, least), "alike")
-    found = stored(connected_components(edges), "components")
+    sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = placed.join(sizes.where("low <> high").select("key", "pieces"), "key").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int"))
+    mixed = stored(mixed, "mixed")
+    ends = lambda end: [F.col("id").alias(end), F.col("component").alias(f"of_{end}"), *sketched(end)]
+    a = mixed.select("key", F.col("piece").alias("p"), F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("q"), *ends("a"))
+    b = mixed.select("key", F.explode(F.sequence(F.lit(0), "piece")).alias("p"), F.col("piece").alias("q"), *ends("b"))
+    once = (a["p"] < a["q"]) | (F.col("a") < F.col("b"))  # in a block of a piece with itself
+    on = (a["key"] == b["key"]) & (a["p"] == b["p"]) & (a["q"] == b["q"]) & once & (F.col("of_a") != F.col("of_b")) & may_be_alike(least)
+    return a.join(b, on).select("a", "b", "of_a", "of_b").distinct()
+
+
+def alike(pairs: DataFrame, large: DataFrame, lines: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """(node, component) by the likeness of the pairs, and of all pairs that share a large bucket's key."""
+    found = stored(connected_components(stored(similar(pairs, sets, least), "alike")), "components")
     if large.isEmpty():
         return found
-    open_ = sets.join(large, "id", "left_semi").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"), "hashes")
-    return stored(connected_components(edges.unionByName(similar(rare_pairs(stored(open_, "open"), least), sets, least))), "components")
+    placed = large.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    more = stored(bucket_pairs(placed.join(lines.select("id", "size", "sketch"), "id"), least), "pairs")
+    links = similar(more, sets, least).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    whole = stored(connected_components(links).select(F.col("node").alias("part"), F.col("component").alias("whole")), "wholes")
+    merged = found.join(whole, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
+    single = whole.join(found, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("component"))
+    return stored(merged.unionByName(single), "components")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of `least` or more."""
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return rows.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return rows.where(shared >= least * (F.size("x") + F.size("y") - shared)).select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) of each row of docs: component_id is the smallest id reachable over pairs whose sets of
     shingles (lower-cased A-Z) have a Jaccard similarity of `least` or more.
 
-    Candidates share a SimHash component or a MinHash band; all are verified exactly, and an exact join covers the large
-    buckets. Equal sets are one row of all this. Texts without a word are alike. ids are whole numbers; rows
+    Candidates share a SimHash component or a MinHash band; all are verified exactly, in large buckets too, but for those
+    that their sketches rule out and those already of one component. Equal sets are one row of all this. Texts without a word are alike. ids are whole numbers; rows
     of null id have their set's component, or null where no row of the component has an id; repeated rows are repeated;
     an empty table gives an empty result; other columns of docs are ignored. A text's set is held whole by one task.
     """
     rows = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = stored(rows.mapInArrow(_found(words, True), f"doc {kind}, id binary, keys array<long>"), "signed")
-    distinct = stored(signed.groupBy("id").agg(F.first("keys").alias("keys"), F.min("doc").alias("doc")), "distinct")
+    signed = stored(rows.mapInArrow(_found(words, True), f"doc {kind}, id binary, keys array<long>, size long, sketch array<long>"), "signed")
+    distinct = stored(signed.groupBy("id").agg(*(F.first(c).alias(c) for c in ("keys", "size", "sketch")), F.min("doc").alias("doc")), "distinct")
     linked = simhash.near_duplicates(docs, words, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("x"), F.col("component_id").alias("y")).distinct()
     of = lambda doc, name: signed.where("doc IS NOT NULL").select(F.col("doc").alias(doc), F.col("id").alias(name)).distinct()
     ends = linked.join(of("x", "p"), "x").join(of("y", "q"), "y").where("p <> q")
@@ -152,10 +197,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = LEAST, id_co
         return found.join(small(some.select("id"), 32), "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("hashes"))
 
     pairs, large = candidates(distinct)
-    pairs = stored(pairs.unionByName(more).distinct(), "pairs")
-    large = stored(large, "large")
+    pairs = stored(hopeful(pairs.unionByName(more).distinct(), distinct, least), "pairs")
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct(), "wanted")
-    found = alike(pairs, large, stored(sets(wanted), "sets"), least)
+    found = alike(pairs, large, distinct, stored(sets(wanted), "sets"), least)
     classes = distinct.join(found, F.col("id") == F.col("node"), "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
     firsts = classes.groupBy("component").agg(F.min("doc").alias("component_id"))
     counts = signed.groupBy("id").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -766,6 +767,40 @@ def test_near_documents(spark):
     assert near_docs.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_documents_of_large_buckets(spark, monkeypatch):
+    """Documents that share most shingles with hundreds and are alike in pairs: all pairs are found, and what is made on
+    the way grows with the documents' bands, neither with a bucket's square nor with the shingles."""
+    rng, made, plain = random.Random(61), [], near_docs.stored
+    shared = prose(rng, 60, 10**6)
+    rows = []
+    for i in range(150):
+        own = prose(rng, 25, 10**6)
+        rows += [(2 * i, f"{shared} {own}", "en", "a"), (2 * i + 1, f"{shared} {own} end", "en", "a")]
+
+    def counted(df, name):
+        out = plain(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_docs, "stored", counted)
+    monkeypatch.setattr(near_docs, "PIECE", 20, raising=False)
+    out = {r.doc_id: r.component_id for r in near_docs.near_duplicates(frame(spark, rows)).collect()}
+    assert out == {i: i - i % 2 for i in range(300)}
+    assert max(n for _, n in made) <= near_docs.BANDS * len(rows)
+
+
+def test_sketches_rule_out_no_alike_pair(spark):
+    rng, rows = np.random.default_rng(62), []
+    for size in (1, 4, 5, 9, 40, 400, 3000):
+        for k in range(40):
+            x = rng.integers(0, 2**64, size, dtype=np.uint64)
+            y = np.concatenate([x[rng.integers(0, size // 4 + 1) :], rng.integers(0, 2**64, rng.integers(0, size // 4 + 1), dtype=np.uint64)])
+            n = len(np.intersect1d(x, y))
+            rows.append((n >= 0.8 * (len(x) + len(y) - n), len(x), near_docs.sketch(x).tolist(), len(y), near_docs.sketch(y).tolist()))
+    out = spark.createDataFrame(rows, "alike boolean, size_a long, sketch_a array<long>, size_b long, sketch_b array<long>").withColumn("may", near_docs.may_be_alike(0.8))
+    assert out.where("alike AND NOT may").count() == 0 and out.where("alike").count() > 80 and out.where("NOT may").count() > 40
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(12)
     rows = [(i, prose(rng, rng.randint(30, 100)), "en", rng.choice(["a", "b", "hot", None])) for i in range(300)]
