@@ -105,6 +105,19 @@ def test_a_file_that_cannot_be_written_leaves_none(spark, tmp_path):
     assert names(tmp_path / "out") == []
 
 
+def test_result_files_are_read_back_many_a_task(spark, tmp_path):
+    ids = [f"d{i}.png" for i in range(2000)] + [".hidden", "é b.png", "_x"]
+    rows = spark.createDataFrame([(i, "é\n") for i in ids], "doc_id string, error string").repartition(3)
+    datasets.write_results(rows, str(tmp_path / "out"))
+    (tmp_path / "out" / "other.txt").write_text("no result")
+    read = datasets.read_results(spark, str(tmp_path / "out"))
+    assert read.rdd.getNumPartitions() == 1 and datasets.read_results(spark, str(tmp_path / "out"), filesPerPartition="500").rdd.getNumPartitions() == 5
+    found = {r["name"]: json.loads(r.value) for r in datasets.read_results(spark, str(tmp_path / "out"), filesPerPartition="500").collect()}
+    assert set(found) == {n for n in names(tmp_path / "out") if n != "other.txt"} and sorted(r["doc_id"] for r in found.values()) == sorted(ids)
+    assert all(r["error"] == "é\n" for r in found.values()) and {".hidden_result.json", "é b_result.json", "_x_result.json"} < set(found)
+    assert datasets.read_results(spark, str(tmp_path / "absent")).count() == 0
+
+
 def joined(path):
     return "".join(p.read_text(encoding="utf-8") for p in sorted(Path(path).glob("part-*")))
 
