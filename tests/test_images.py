@@ -148,3 +148,33 @@ def test_pages_are_straightened(spark, tmp_path):
     rows = queries.image_skew(spark, str(tmp_path)).collect()
     assert len(rows) == 16 and all(r.within_a_degree for r in rows)
     assert all(r.straight for r in queries.image_deskew(spark, str(tmp_path)).collect())
+
+
+def denoised_by_hand(image, strength, patch, search):
+    """Non-local means pixel by pixel in double precision: a patch is of differences, whose borders repeat."""
+    (h, w), r, half = image.shape, search // 2, patch // 2
+    padded = np.pad(image.astype(int), r, mode="reflect" if min(h, w) > r else "edge")
+    out = np.zeros((h, w))
+    clamp = lambda v, n: min(max(v, 0), n - 1)
+    for y in range(h):
+        for x in range(w):
+            total = weights = 0.0
+            for dy in range(search):
+                for dx in range(search):
+                    apart = sum((int(image[j, i]) - int(padded[j + dy, i + dx])) ** 2 for j in (clamp(y + a, h) for a in range(-half, half + 1)) for i in (clamp(x + a, w) for a in range(-half, half + 1)))
+                    weight = math.exp(-apart / patch**2 / strength**2)
+                    weights, total = weights + weight, total + weight * int(padded[y + dy, x + dx])
+            out[y, x] = total / weights
+    return np.rint(out).clip(0, 255)
+
+
+def test_denoise_is_of_double_precision_however_it_is_cut(monkeypatch):
+    for seed, (h, w), (strength, patch, search) in ((0, (9, 14), (10, 7, 5)), (1, (14, 6), (5, 3, 9)), (2, (3, 4), (10, 7, 11)), (3, (1, 1), (10, 7, 5)), (4, (8, 8), (40, 1, 3))):
+        image = np.random.default_rng(seed).integers(0, 60, (h, w)).astype(np.uint8)
+        want = denoised_by_hand(image, strength, patch, search)
+        for cells in (1, 60, 1 << 16):
+            monkeypatch.setattr(images, "CELLS", cells)
+            assert (images.denoise(image, strength, patch, search) == want).all()
+        monkeypatch.setattr(images, "HALF", 1.0)  # all pixels are made again
+        assert (images.denoise(image, strength, patch, search) == want).all()
+        monkeypatch.undo()
