@@ -178,3 +178,13 @@ def test_denoise_is_of_double_precision_however_it_is_cut(monkeypatch):
         monkeypatch.setattr(images, "HALF", 1.0)  # all pixels are made again
         assert (images.denoise(image, strength, patch, search) == want).all()
         monkeypatch.undo()
+
+
+def test_steps_do_not_depend_on_how_many_numbers_are_worked_on_at_a_time(monkeypatch):
+    image = page(7, 60, 90)
+    edge = images.edges(images.blurred(image, 9))
+    whole = images.rotate(image, 11.5), images.blurred(image, 9), images.line_angles(edge, 8)
+    monkeypatch.setattr(images, "RUN", 100)
+    for a, b in zip(whole, (images.rotate(image, 11.5), images.blurred(image, 9), images.line_angles(edge, 8)), strict=True):
+        assert np.array_equal(a, b)
+    assert whole[2] == lines_by_hand(edge, 8)
