@@ -11,43 +11,47 @@ from ..sources.shared import stored
 Q = 3
 #: Largest index, in estimated bytes, that is broadcast.
 LIMIT = 64 << 20
+#: Most q-grams of terms that are written into the plan.
+LISTED = 1024
 
 
-def grams(text: Column, size: int) -> Column:
-    """The different stretches of `size` characters of a text, in UTF-32; the empty one for size 0.
+def grams(text: Column, sizes: list[int]) -> Column:
+    """Hashes of the stretches of `sizes` characters of a text, repeats included; size 0 has the empty one.
 
-    In UTF-32 a stretch is a slice of bytes, reached by its place, so a text costs in proportion to its length, and each
-    stretch one look.
+    In UTF-32 a stretch is a slice of bytes, reached by its place, so a text costs in proportion to its length. They are
+    numbers, as only arrays of these are told apart by a table: arrays of bytes are by comparing each with all others.
+    Stretches of one hash only give more candidates, which are checked.
     """
-    if not size:
-        return F.array(F.encode(F.lit(""), "UTF-32"))
+    none = F.array().cast("array<bigint>")
 
-    def over(points: Column) -> Column:
+    def over(points: Column, size: int) -> Column:
+        if not size:
+            return F.array(F.xxhash64(F.encode(F.lit(""), "UTF-32")))
         starts = F.sequence(F.lit(1), F.greatest(F.octet_length(points) - 4 * (size - 1), F.lit(1)), F.lit(4))
-        every = F.array_distinct(F.transform(starts, lambda i: F.substring(points, i, F.lit(4 * size))))
-        return F.when(F.octet_length(points) < 4 * size, F.array().cast("array<binary>")).otherwise(every)
+        every = F.transform(starts, lambda i: F.xxhash64(F.substring(points, i, F.lit(4 * size))))
+        return F.when(F.octet_length(points) < 4 * size, none).otherwise(every)
 
-    return F.get(F.transform(F.array(F.encode(text, "UTF-32")), over), F.lit(0))
+    return F.get(F.transform(F.array(F.encode(text, "UTF-32")), lambda points: F.concat(none, *(over(points, s) for s in sizes))), F.lit(0))
 
 
-def index(texts: DataFrame, terms: DataFrame, sizes: list[int], text_col: str) -> DataFrame:
-    """terms with `gram`: of the term's q-grams that which the fewest texts have. A term with a gram that no text has is left out.
+def own_grams(terms: DataFrame, sizes: list[int]) -> DataFrame:
+    """(term, gram) of the different terms: the q-grams of each, or itself where it is shorter."""
+    size, none = F.least(F.length("term"), F.lit(Q)), F.array().cast("array<bigint>")
+    own = F.concat(*(F.when(size == s, F.array_distinct(grams(F.col("term"), [s]))).otherwise(none) for s in sizes))
+    return terms.select("term").distinct().select("term", F.explode(own).alias("gram"))
+
+
+def index(texts: DataFrame, terms: DataFrame, own: DataFrame) -> DataFrame:
+    """terms with `gram`: of the term's q-grams, those of `own`, that which the fewest texts have. A term with a gram that no text has is
+    left out. texts have an array `grams` of different ones.
 
     Grams of texts are counted only where a term has them, in partial sums.
     """
-    size = F.least(F.length("term"), F.lit(Q))
-    own = terms.select("term").distinct()
-    own = own.withColumn("gram", F.explode(sum_of([F.when(size == s, grams(F.col("term"), s)).otherwise(F.array().cast("array<binary>")) for s in sizes])))
-    own = stored(own, "grams")
-    counts = texts.select(F.explode(sum_of([grams(F.col(text_col), s) for s in sizes])).alias("gram")).join(bounded(own.select("gram").distinct(), 64), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    counts = texts.select(F.explode("grams").alias("gram")).join(bounded(own.select("gram").distinct(), 64), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = own.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key"))
     return terms.join(rarest.where("key.n > 0").select("term", "key.gram"), "term")
 
 
-def sum_of(arrays: list[Column]) -> Column:
-    return F.concat(*arrays)
-
-
 def bounded(rows: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() * row_bytes <= LIMIT else rows
 
@@ -65,9 +69,17 @@ def matches(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
     sizes = sorted(r[0] for r in terms.select(F.least(F.length("term"), F.lit(Q))).distinct().collect())  # Q + 1 at most
     if not sizes:
         return texts.select(id_col).join(terms, F.lit(False))
-    rows = stored(texts.where(F.col(text_col).isNotNull()).select(id_col, text_col), "texts")
-    keys = stored(index(rows, terms.select("term").distinct(), sizes, text_col), "index")
-    cut = F.explode(sum_of([grams(F.col(text_col), s) for s in sizes])).alias("gram")
+    different = terms.select("term").distinct()
+    own = stored(own_grams(different, sizes), "grams")
+    wanted = [r["gram"] for r in own.select("gram").distinct().limit(LISTED + 1).collect()]
+    every, few = grams(F.col(text_col), sizes), len(wanted) <= LISTED
+    rows = texts.where(F.col(text_col).isNotNull()).select(id_col, text_col)
+    if few:  # a text is cut once and what it has of the terms' grams is written beside it
+        rows = stored(rows.withColumn("grams", F.array_intersect(every, F.array(*map(F.lit, wanted)).cast("array<bigint>"))), "texts")
+    else:
+        rows = stored(rows, "texts").withColumn("grams", F.array_distinct(every))
+    keys = stored(index(rows, different, own), "index")
+    cut = F.explode("grams").alias("gram")
     if keys.count() * 128 <= LIMIT:
         found = rows.select(id_col, text_col, cut).join(F.broadcast(keys), "gram")
     else:

@@ -35,6 +35,20 @@ def test_categories_by_table(spark):
     assert key(terms.with_category(rows, C.term_table(spark))) == key(C.with_category(rows))
 
 
+def test_terms_of_many_grams_and_of_long_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzد é😀") for _ in range(n))) for i, n in enumerate([0, 1, 2, 5, 300, 60_000])]
+    known = sorted({x[k : k + n] for _, x in texts for n in (0, 1, 2, 3, 7) for k in rng.sample(range(max(1, len(x))), min(len(x), 9))} | {"zzzzzzz"})
+    want = sorted((i, t) for i, x in texts for t in known if t in x)
+    a, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(t,) for t in known], "term string")
+    get = lambda: sorted((r.doc_id, r.term) for r in terms.matches(a, b).collect())
+    assert get() == want
+    monkeypatch.setattr(terms, "LISTED", 0)  # the texts' grams are joined
+    assert get() == want
+    cut = a.select(terms.grams(F.col("text"), [2, 3]).alias("g")).schema["g"].dataType.simpleString()
+    assert cut == "array<bigint>"  # different ones are found by a table, not by comparing all with all
+
+
 def paragraphs_by_hand(boxes):
     up = list(range(len(boxes)))
     height = [b[3] - b[1] for b in boxes]
